@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from filelake.functions import formats, media, paths, pii, text, vectors
 from filelake.operators import components, incremental, rules, similarity, upsert
+from filelake.operators.skew import spread
 from filelake.plans import corpus, reports
-from filelake.session import ship_package
+from filelake.session import cut_lineage, ship_package
 
 HAMMING = 18
 COSINE = 0.40
@@ -82,12 +83,13 @@ def extract_html_text(spark, d):
 
 
 def embed_text(spark, d):
-    docs = corpus.documents_as_files(spark, d).select("path", vectors.embed_text(F.col("content")).alias("v"))
+    files = spread(corpus.documents_as_files(spark, d).select("path", "content"), "path")
+    docs = files.select("path", vectors.embed_text(F.col("content")).alias("v"))
     return docs.select("path", F.posexplode("v").alias("dim", "w")).where("w <> 0").select("path", "dim", F.round("w", 6).alias("weight"))
 
 
 def _with_pii(spark, d):
-    files = corpus.file_index(spark, d)
+    files = spread(corpus.file_index(spark, d).select("path", "content"), "path")
     return files.select("path", pii.pii_types(F.col("content"), LANGUAGES).alias("pii_types"))
 
 
@@ -96,7 +98,8 @@ def pii_types(spark, d):
 
 
 def list_pii_files(spark, d):
-    return reports.list_pii_files(_with_pii(spark, d))
+    # The report's sort reads its input twice, so the types are found once, as in the index.
+    return reports.list_pii_files(cut_lineage(_with_pii(spark, d)))
 
 
 def format_bytes(spark, d):

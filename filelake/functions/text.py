@@ -154,7 +154,7 @@ def extract_text(
                     if blob is None:
                         with open(where, "rb") as f:
                             blob = f.read()
-                    text = plain_text(blob) if kind.startswith("text/plain") else table[kind](blob)
+                    text = (plain_text(blob) if kind.startswith("text/plain") else table[kind](blob)).strip() or None
                 except Exception:
                     text = None
             out.append(text)
@@ -166,9 +166,9 @@ def extract_text(
     # Decided by built-in code: bytes at hand that are valid UTF-8 plain text.
     native = wanted & F.coalesce(mime.startswith("text/plain") & F.is_valid_utf8(as_text), F.lit(False))
     foreign = wanted & ~native
-    parsed = by_type(
+    # Marked as not repeatable, so that the optimizer does not copy the parse into filters.
+    parsed = by_type.asNondeterministic()(
         F.when(foreign, mime), F.when(foreign, content), F.when(foreign, path if path is not None else F.lit(None).cast("string"))
     )
-    lines = F.regexp_replace(as_text, "\r\n?", "\n")
-    stripped = strip(F.when(native, lines).otherwise(parsed))
-    return F.when(stripped != "", stripped)
+    lines = strip(F.regexp_replace(as_text, "\r\n?", "\n"))
+    return F.when(native, F.when(lines != "", lines)).otherwise(parsed)

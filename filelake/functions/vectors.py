@@ -76,4 +76,5 @@ def embed_text(text: Column, make_encoder: Callable[[], Callable[[str], np.ndarr
         for batch in batches:
             yield pd.Series([encode(t) if t else None for t in batch], index=batch.index, dtype=object)
 
-    return run(text)
+    # Marked as not repeatable, so that the optimizer does not copy the work into filters.
+    return run.asNondeterministic()(text)

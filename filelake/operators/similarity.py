@@ -9,8 +9,10 @@ representatives are compared with each other. The edges are ``(src, dst, distanc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filelake.operators.skew import lookup, pair_tasks, with_group_stats
+from filelake.operators.skew import pair_tasks, spread, with_group_stats
 from filelake.session import cut_lineage
 
 # Rows per side of one comparison task.
@@ -29,6 +31,8 @@ MAX_PIVOTS = 256
 MAX_BAND_DISTANCE = 10
 # Band schemes with more key columns than this are not considered.
 MAX_BAND_KEYS = 256
+# Heaviest terms whose product is known exactly when two documents meet.
+HEAD_TERMS = 32
 HASH_BITS = 64
 
 
@@ -311,14 +315,56 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int
 # --- sparse term vectors -------------------------------------------------------------
 
 
-@F.pandas_udf(T.DoubleType())
-def _shared_product(tx: pd.Series, wx: pd.Series, ty: pd.Series, wy: pd.Series) -> pd.Series:
-    """Dot product of two sparse vectors given as parallel term and weight arrays."""
-    out = np.empty(len(tx))
-    for row, (a, wa, b, wb) in enumerate(zip(tx, wx, ty, wy)):
-        weights = dict(zip(b, wb))
-        out[row] = sum(w * weights.get(term, 0.0) for term, w in zip(a, wa))
-    return pd.Series(out)
+def _exact_products(pairs: pa.Table, bags: pa.Table) -> pa.Table:
+    """Cosines of the pairs of one group, from the term lists of its documents."""
+    terms = bags.column("terms").combine_chunks()
+    ids = terms.flatten().dictionary_encode()
+    width, ids = len(ids.dictionary), ids.indices.to_numpy(zero_copy_only=False)
+    weights = bags.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))
+    starts = np.concatenate([[0], ends[:-1]])
+    norms = bags.column("norm").to_numpy()
+    position = {path: i for i, path in enumerate(bags.column("path").to_pylist())}
+
+    pairs = pairs.sort_by("src")
+    src, dst = pairs.column("src").to_pylist(), pairs.column("dst").to_pylist()
+    out, row, last = np.empty(len(src)), np.zeros(width), None
+    for k, (x, y) in enumerate(zip(src, dst)):
+        i, j = position[x], position[y]
+        if i != last:
+            if last is not None:
+                row[ids[starts[last] : ends[last]]] = 0.0
+            row[ids[starts[i] : ends[i]]] = weights[starts[i] : ends[i]]
+            last = i
+        out[k] = row[ids[starts[j] : ends[j]]] @ weights[starts[j] : ends[j]] / (norms[i] * norms[j])
+    return pa.table({"src": pairs.column("src"), "dst": pairs.column("dst"), "cosine": pa.array(out)})
+
+
+def _verify(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """Exact cosines of candidate pairs, given the term counts of all documents.
+
+    Documents are hashed into blocks and pairs grouped by block pair, with the term lists
+    their documents need. The number of blocks follows the number of pairs and of terms,
+    so a group stays small and a document with many partners is spread over many groups.
+    """
+    blocks = max(1, ceil((candidates.count() / 2000) ** 0.5), ceil(counts.count() / 4_000_000))
+
+    def block(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(blocks))
+
+    pairs = candidates.withColumns(
+        {"lo": F.least(block("src"), block("dst")), "hi": F.greatest(block("src"), block("dst"))}
+    )
+    needed = pairs.select("lo", "hi", F.explode(F.array("src", "dst")).alias("path")).distinct()
+    bags = counts.groupBy("path").agg(
+        F.collect_list(F.struct("term", "tf")).alias("bag"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")
+    )
+    lists = bags.select("path", F.col("bag.term").alias("terms"), F.col("bag.tf").alias("tfs"), "norm")
+    wanted = needed.join(lists, "path").withColumnsRenamed({"lo": "first", "hi": "second"})
+    # Fresh column ids: both sides come from the candidates.
+    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])
+    grouped = pairs.groupBy("lo", "hi").cogroup(wanted.groupBy("first", "second"))
+    return grouped.applyInArrow(_exact_products, "src string, dst string, cosine double")
 
 
 def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -328,15 +374,17 @@ def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows:
     2014). Terms are ordered from rare to common. A document is indexed only under its
     first terms, up to where the norm of the rest falls below the threshold: two documents
     that meet only in the rest cannot reach it. A meeting at a term is kept only if the
-    norms of both remainders from that term on allow the threshold, which always holds at
-    the first term a true pair shares.
+    exact product over the few heaviest terms of the corpus, plus the norms of both
+    remainders from that term on, allow the threshold. That always holds at the first
+    term a true pair shares.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    split = documents.where("text is not null").select("path", words.alias("words")).where(F.size("words") > 0)
+    texts = spread(documents.where("text is not null").select("path", "text"), "path")
+    split = texts.where(F.col("text").rlike(r"[^ \t\n\r\f\x0b]")).select("path", words.alias("words"))
     # Equal term counts mean equal sorted word lists.
-    signed = split.withColumn("key", F.sha2(F.array_join(F.array_sort("words"), " "), 256))
+    signed = split.withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256))
     marked = cut_lineage(
         with_group_stats(signed.select("path", "key"), "key", "path", minimum={"rep": F.col("path")})
     )
@@ -352,46 +400,49 @@ def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows:
     weighted = with_group_stats(counts, "term", "path", F.col("df") > 1, count="df")
     norms = counts.groupBy("path").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
 
-    # Terms found in one document only never meet, but they come first in the order and so
-    # count towards the norm of the part before: the remainders below leave them out.
+    # The heaviest terms of the whole corpus: a fixed number of strings.
+    shares = counts.join(norms, "path").select("path", "term", (F.col("tf") / F.col("norm")).alias("w"))
+    heaviest = shares.groupBy("term").agg(F.sum(F.col("w") * F.col("w")).alias("m")).orderBy(F.desc("m"), "term")
+    head = [row["term"] for row in heaviest.limit(HEAD_TERMS).collect()]
+    slots = [F.coalesce(F.max(F.when(F.col("term") == h, F.col("w"))), F.lit(0.0)) for h in head]
+    heads = shares.where(F.col("term").isin(head)).groupBy("path").agg(F.array(*slots).alias("head"))
+
+    # Terms found in one document only never meet, so the remainders below leave them out.
     tail = Window.partitionBy("path").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    rest = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(tail)) / F.col("norm")
+    square = F.col("tf") * F.col("tf")
+    light = F.when(~F.col("term").isin(head), square).otherwise(0.0)
     limit = threshold - 1e-9
     indexed = (
         weighted.join(norms, "path")
-        .withColumn("rest", rest)
+        .withColumn("rest", F.sqrt(F.sum(square).over(tail)) / F.col("norm"))
+        .withColumn("light", F.sqrt(F.sum(light).over(tail)) / F.col("norm"))
         .where(F.col("rest") >= limit)
-        .select("term", "path", "rest")
+        .join(heads, "path", "left")
+        .select("term", "path", "rest", "light", F.coalesce("head", F.array(*[F.lit(0.0)] * len(head))).alias("head"))
     )
     met = with_group_stats(indexed, "term", "path", F.col("n") > 1, count="n")
     tasks = pair_tasks(met, ["term"], "path", "n", block_rows)
     join_key = ["term", "lo", "hi"]
-    left = tasks.where("block = lo").select(*join_key, F.col("path").alias("x"), F.col("rest").alias("xr"))
-    right = tasks.where("block = hi").select(*join_key, F.col("path").alias("y"), F.col("rest").alias("yr"))
+
+    def side(block: str, letter: str) -> DataFrame:
+        renamed = {"path": letter, "rest": f"{letter}r", "light": f"{letter}l", "head": f"{letter}h"}
+        return tasks.where(F.col("block") == F.col(block)).select(
+            *join_key, *[F.col(c).alias(name) for c, name in renamed.items()]
+        )
+
+    # Element by element, since that is compiled; a higher-order function is not.
+    head_product = reduce(add, [F.col("xh")[i] * F.col("yh")[i] for i in range(len(head))])
     candidates = (
-        left.join(right, join_key)
-        .where(((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))) & (F.col("xr") * F.col("yr") >= limit))
+        side("lo", "x")
+        .join(side("hi", "y"), join_key)
+        .where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+        .where(F.col("xr") * F.col("yr") >= limit)
+        .where(head_product + F.col("xl") * F.col("yl") >= limit)
         .select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
         .distinct()
     )
 
-    # Vectors of the documents that are candidates, one row each, for the exact product.
-    bags = counts.groupBy("path").agg(
-        F.collect_list(F.struct("term", "tf")).alias("bag"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")
-    )
-
-    def bag(side: str, letter: str) -> DataFrame:
-        return bags.select(
-            F.col("path").alias(side),
-            F.col("bag.term").alias(f"t{letter}"),
-            F.col("bag.tf").alias(f"w{letter}"),
-            F.col("norm").alias(f"n{letter}"),
-        )
-
-    with_x = lookup(candidates, bag("src", "x"), "src", "dst")
-    with_both = lookup(with_x, bag("dst", "y"), "dst", "src")
-    cosine = _shared_product("tx", "wx", "ty", "wy") / (F.col("nx") * F.col("ny"))
-    near = with_both.select("src", "dst", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    near = _verify(cut_lineage(candidates), counts).where(F.col("cosine") >= threshold)
     return copies.unionByName(near)

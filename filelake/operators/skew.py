@@ -62,6 +62,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str | Sequence[s
     return sliced.join(used, [key, _SLICE]).drop(_SLICE)
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Deal rows out to all cores before heavy per-row work, if the input has too few splits.
+
+    A small Parquet file is one row group and so one task. Inputs with at least as many
+    splits as there are cores are left alone, so large tables are never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, by)
+
+
 def pair_tasks(rows: DataFrame, key: Sequence[str], ident: str, size: str, task_rows: int) -> DataFrame:
     """Split each group into blocks of about ``task_rows`` rows and list the block pairs of every row.
 
