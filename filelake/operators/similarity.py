@@ -15,11 +15,9 @@ from math import ceil, comb
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filelake.operators.skew import pair_tasks, spread, with_group_stats
 from filelake.session import cut_lineage
@@ -27,6 +25,8 @@ from filelake.session import cut_lineage
 # Rows per side of one comparison task.
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 256
+# Rows of one outgoing Arrow batch of copies.
+COPY_ROWS = 4096
 # Largest distance for which bands stay selective; beyond it metric blocks are used.
 MAX_BAND_DISTANCE = 10
 # Band schemes with more key columns than this are not considered.
@@ -50,7 +50,7 @@ def stars(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 class Angular:
-    """Unit vectors under the angle between them."""
+    """Vectors under the angle between them."""
 
     def __init__(self, cosine: float):
         self.cosine = cosine
@@ -58,7 +58,9 @@ class Angular:
 
     def load(self, column: pa.Array) -> np.ndarray:
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(len(column), -1)
+        rows = flat.reshape(len(column), -1)
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
     def distances(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
@@ -88,24 +90,9 @@ class Hamming:
         return i, j, bits[i, j].astype(np.float64)
 
 
-def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs of ``(path, value)`` rows within the metric's radius: ``(src, dst, score)``.
-
-    Points are assigned to the nearest of at most ``MAX_PIVOTS`` pivots. By the triangle
-    inequality a point can only have partners in a cell whose ball it comes near and whose
-    pivot is not too much farther than its own (the filters of ClusterJoin, Das Sarma et
-    al. 2014), so most pairs of cells never meet at small radii. Cells are cut into blocks
-    of about ``block_rows`` points, and a point travels once per block it may have
-    partners in. A huge cell therefore becomes many tasks of bounded size. Only the pivots
-    and one count and radius per pivot pass through the driver.
-    """
-    spark = points.sparkSession
-    points = cut_lineage(points.select("path", "value"))
-    total = points.count()
-    # Nothing is filtered at 90 degrees and more, so one cell will do.
-    prune = not (isinstance(metric, Angular) and metric.cosine <= 0)
-    wanted = min(MAX_PIVOTS, ceil(total / (4 * block_rows))) if prune else 1
-    picked = points.select("value", F.xxhash64("path").alias("h"), "path").orderBy("h", "path").limit(max(wanted, 1))
+def _cells(points: DataFrame, metric: Angular | Hamming, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots, and the number of points and the radius of the cell of each."""
+    picked = points.select("value", F.xxhash64("path").alias("h"), "path").orderBy("h", "path").limit(wanted)
     pivots = metric.load(picked.select("value").toArrow().column("value").combine_chunks())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,59 +105,83 @@ def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int =
                 )
 
     cells = points.select("value").mapInArrow(assign, "cell int, reach double")
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect()
-    size = np.zeros(max(len(pivots), 1), dtype=np.int64)
-    reach = np.full(max(len(pivots), 1), -np.inf)
-    for row in stats:
+    size, reach = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
+    for row in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect():
         size[row["cell"]], reach[row["cell"]] = row["n"], row["reach"]
+    return pivots, size, reach
+
+
+def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs of ``(path, value)`` rows within the metric's radius: ``(src, dst, score)``.
+
+    Points are assigned to the nearest of at most ``MAX_PIVOTS`` pivots. By the triangle
+    inequality a point can only have partners in a cell whose ball it comes near and whose
+    pivot is not too much farther than its own (the filters of ClusterJoin, Das Sarma et
+    al. 2014), so most pairs of cells never meet at small radii. Cells are cut into blocks
+    of about ``block_rows`` points, and a point travels once per block it may have
+    partners in. A huge cell therefore becomes many tasks of bounded size. Only the pivots
+    and one count and radius per pivot pass through the driver.
+    """
+    points = cut_lineage(points.select("path", "value"))
+    total = points.count()
+    wanted = min(MAX_PIVOTS, ceil(total / (4 * block_rows)))
+    # One cell will do for few points, and at 90 degrees and more, where nothing can be ruled out.
+    prune = wanted > 1 and not (isinstance(metric, Angular) and metric.cosine <= 0)
+    if prune:
+        pivots, size, reach = _cells(points, metric, wanted)
+    else:
+        pivots, size, reach = None, np.array([total]), np.array([0.0])
     blocks = np.ceil(size / block_rows).astype(np.int64)
     first_block = np.concatenate([[0], np.cumsum(blocks)])
     slack = metric.radius + 1e-6
     value_type = points.schema["value"].dataType.simpleString()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row has at most one copy per block; parts of a batch bound what is held at once.
+        part_rows = max(1, 500_000 // int(blocks.sum()))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.arange(batch.num_rows)
-            far = metric.distances(metric.load(batch.column("value")), pivots)
-            home = far.argmin(axis=1)
-            near = far[rows, home][:, None]
-            salt = batch.column("salt").to_numpy(zero_copy_only=False)
-            own = first_block[home] + salt % blocks[home]
-            open_cells = blocks[None, :] > 0
-            if prune:
-                open_cells = open_cells & (far - reach[None, :] <= slack) & ((far - near) / 2 <= slack)
-            open_cells[rows, home] = True
-            row, cell = np.nonzero(open_cells)
-            # One copy per block of every open cell.
-            repeat = blocks[cell]
-            row, cell = np.repeat(row, repeat), np.repeat(cell, repeat)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            other = first_block[cell] + step
-            mine = own[row]
-            take = pa.array(row)
-            # Copies are cut into small batches, since a row may have many of them.
-            for start in range(0, len(row), 4096):
-                part = slice(start, start + 4096)
-                picked_rows = take[part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(mine, other)[part], pa.int64()),
-                        pa.array(np.maximum(mine, other)[part], pa.int64()),
-                        pa.array(mine[part], pa.int64()),
-                        batch.column("path").take(picked_rows),
-                        batch.column("value").take(picked_rows),
-                    ],
-                    names=["lo", "hi", "own", "path", "value"],
-                )
+            for start in range(0, batch.num_rows, part_rows):
+                part = batch.slice(start, part_rows)
+                rows = np.arange(part.num_rows)
+                if prune:
+                    far = metric.distances(metric.load(part.column("value")), pivots)
+                else:
+                    far = np.zeros((part.num_rows, 1))
+                home = far.argmin(axis=1)
+                near = far[rows, home][:, None]
+                salt = part.column("salt").to_numpy(zero_copy_only=False)
+                mine = first_block[home] + salt % blocks[home]
+                open_cells = np.repeat(blocks[None, :] > 0, part.num_rows, axis=0)
+                if prune:
+                    open_cells &= (far - reach[None, :] <= slack) & ((far - near) / 2 <= slack)
+                open_cells[rows, home] = True
+                row, cell = np.nonzero(open_cells)
+                # One copy per block of every open cell.
+                repeat = blocks[cell]
+                row, cell = np.repeat(row, repeat), np.repeat(cell, repeat)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+                other, mine = first_block[cell] + step, mine[row]
+                for cut in range(0, len(row), COPY_ROWS):
+                    some = slice(cut, cut + COPY_ROWS)
+                    copies = part.take(pa.array(row[some]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.minimum(mine, other)[some], pa.int64()),
+                            pa.array(np.maximum(mine, other)[some], pa.int64()),
+                            pa.array(mine[some], pa.int64()),
+                            copies.column("path"),
+                            copies.column("value"),
+                        ],
+                        names=["lo", "hi", "own", "path", "value"],
+                    )
 
     def compare(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         own = table.column("own").to_numpy()
         left = table.filter(pa.array(own == lo))
         right = left if lo == hi else table.filter(pa.array(own == hi))
-        out: list[pa.Table] = []
+        i = j = np.array([], dtype=np.int64)
+        score = np.array([], dtype=np.float64)
         if left.num_rows and right.num_rows:
             a = metric.load(left.column("value").combine_chunks())
             b = a if lo == hi else metric.load(right.column("value").combine_chunks())
@@ -178,11 +189,7 @@ def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int =
             if lo == hi:
                 once = i < j
                 i, j, score = i[once], j[once], score[once]
-            x = left.column("path").take(pa.array(i)).combine_chunks()
-            y = right.column("path").take(pa.array(j)).combine_chunks()
-            out = [pa.table({"x": x, "y": y, "score": pa.array(score, pa.float64())})]
-        empty = pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        return out[0] if out else empty
+        return pa.table({"x": left.column("path").take(i), "y": right.column("path").take(j), "score": score})
 
     routed = points.select("path", "value", F.pmod(F.xxhash64("path", F.lit(7)), F.lit(1 << 40)).alias("salt")).mapInArrow(
         route, f"lo long, hi long, own long, path string, value {value_type}"
@@ -232,6 +239,7 @@ def band_pairs(
     first agreeing bands, which the other rows of the mask list check on the spot, so no
     ``distinct`` is needed. A key shared by very many hashes is cut into block pairs.
     """
+    points = cut_lineage(points)
     bands, agreeing = scheme or band_scheme(distance, points.count())
     masks = _band_masks(bands)
     specs = []
@@ -274,7 +282,7 @@ def similar_images(index: DataFrame, threshold: int = 0, method: str = "auto") -
     )
     if threshold == 0:
         return copies
-    points = cut_lineage(marked.where("path = rep").select("path", "value"))
+    points = marked.where("path = rep").select("path", "value")
     if method == "bands" or (method == "auto" and threshold <= MAX_BAND_DISTANCE):
         near = band_pairs(points, threshold)
     else:
@@ -282,13 +290,6 @@ def similar_images(index: DataFrame, threshold: int = 0, method: str = "auto") -
     return copies.unionByName(near.select("src", "dst", F.col("score").cast("int").alias("distance")))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _unit(batch: pd.Series) -> pd.Series:
-    rows = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, 1))
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return pd.Series(list(np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)))
-
-
 def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``(src, dst, cosine)`` between vectors with a cosine of at least ``threshold``.
 
@@ -307,7 +308,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int
     copies = marked.where("path <> rep").select(
         F.col("rep").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("cosine")
     )
-    points = marked.where("path = rep").select("path", _unit("embedding").alias("value"))
+    points = marked.where("path = rep").select("path", F.col("embedding").alias("value"))
     near = metric_pairs(points, Angular(threshold), block_rows)
     return copies.unionByName(near.withColumnRenamed("score", "cosine"))
 
