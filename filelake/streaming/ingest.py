@@ -15,6 +15,8 @@ from filelake.plans.pipeline import ScanOptions, archive_members, derive
 from filelake.session import cut_lineage
 from filelake.sources.index_store import IndexStore
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def binary_to_probed(files: DataFrame) -> DataFrame:
     """Rows of the ``binaryFile`` source in the form of probed files with their bytes."""
@@ -58,6 +60,7 @@ def ingest(
 
     stream = (
         store.spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(folder)
