@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import os
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.functions.formats import identify_formats, with_format
 from filelake.functions.images import image_hashes
-from filelake.functions.paths import parent_dir, suffix
+from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
 from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
 from filelake.functions.vectors import embed_text, hashed_encoder
@@ -32,6 +34,10 @@ from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import list_files
 from filelake.sources.probe import present_files, probe_files, text_chunks
 
+# Up to these numbers, folders and extensions are named to the image source.
+MAX_FOLDERS = 1000
+MAX_EXTENSIONS = 200
+
 
 @dataclass(frozen=True)
 class ScanOptions:
@@ -126,27 +132,46 @@ def archive_members(rows: DataFrame, options: ScanOptions) -> DataFrame:
     return expand_archives(containers.select("path"), options.unexpanded)
 
 
-def image_hash_stage(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """Hashes of the images below some folders, decoded by the image source."""
-    reader = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true")
-    return image_hashes(reader.load(list(roots)))
-
+def image_hash_stage(needed: DataFrame) -> DataFrame:
+    """Hashes of the images among ``(path, size_bytes, mtime)`` rows, decoded by the image source.
 
-def build_rows(spark: SparkSession, listing: DataFrame, options: ScanOptions, roots: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    The source reads whole folders, so what it reads is narrowed to what the rows need: their
+    folders, extensions and times, as far as those are few. Each of these only leaves out
+    files that no row asks for. The source does not show names that begin with ``.`` or ``_``.
+    """
+    spark = needed.sparkSession
+    shaped = needed.select(
+        parent_dir(F.col("path")).alias("parent"), suffix(file_name(F.col("path"))).alias("ext"), "mtime"
+    )
+    folders = [r["parent"] or "/" for r in shaped.select("parent").distinct().limit(MAX_FOLDERS + 1).collect()]
+    if not folders:
+        return spark.createDataFrame([], "path string, perceptual_hash string")
+    reader = spark.read.format("image").option("dropInvalid", "true")
+    if len(folders) > MAX_FOLDERS:
+        # Too many to name: the folder above them all, from its least and greatest member.
+        ends = shaped.agg(F.min("parent").alias("a"), F.max("parent").alias("b")).first()
+        folders = [os.path.commonpath([ends["a"] or "/", ends["b"] or "/"])]
+        reader = reader.option("recursiveFileLookup", "true")
+    extensions = [r["ext"] for r in shaped.select("ext").distinct().limit(MAX_EXTENSIONS + 1).collect()]
+    if len(extensions) <= MAX_EXTENSIONS and all(e[1:].isalnum() for e in extensions):
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions)) + "}")
+    oldest = datetime.fromtimestamp(math.floor(shaped.agg(F.min("mtime")).first()[0]) - 1, timezone.utc)
+    reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    return needed.select("path").join(image_hashes(reader.load(folders)), "path")
+
+
+def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)`` for listed files, archive members included."""
     probed = cut_lineage(probe_files(drop_junk(listing)))
     rows = derive(probed, options)
     # Types need no text, so the members do not wait for it.
-    members = cut_lineage(archive_members(with_format(probed.where("error is null")), options))
+    typed = with_format(probed.where("error is null"))
+    members = cut_lineage(archive_members(typed, options))
     rows = rows.unionByName(derive(drop_junk(members), options, archived=True, from_disk=False))
-    if options.perceptual_hash and roots:
-        hashes = image_hash_stage(spark, roots).withColumnRenamed("perceptual_hash", "__phash")
-        is_image = F.col("mime_type").startswith("image")
-        rows = (
-            rows.join(hashes, "path", "left")
-            .withColumn("perceptual_hash", F.when(is_image, F.col("__phash")))
-            .drop("__phash")
-        )
+    if options.perceptual_hash:
+        images = typed.where(F.col("mime_type").startswith("image")).select("path", "size_bytes", "mtime")
+        hashes = image_hash_stage(images).withColumnRenamed("perceptual_hash", "__phash")
+        rows = rows.join(hashes, "path", "left").withColumn("perceptual_hash", F.col("__phash")).drop("__phash")
     now = F.current_timestamp()
     errors = (
         probed.where("error is not null")
@@ -174,12 +199,10 @@ def scan(store: IndexStore, roots: Sequence[str], options: ScanOptions | None =
     try:
         listing = list_files(spark, roots, options.rules)
         if incremental:
-            listing = changed_files(listing, store.read())
-        rows, errors = build_rows(spark, listing, options, roots)
-        rows = cut_lineage(rows)
-        count = rows.count()
-        if count:
-            store.replace(rows)
+            listing = cut_lineage(changed_files(listing, store.read()))
+        rows, errors = build_rows(listing, options)
+        if not listing.isEmpty():
+            count = store.count_of(store.replace(rows))
         status = "completed"
         return errors
     finally:
@@ -203,9 +226,9 @@ def refine_text(store: IndexStore, prefixes: Sequence[str] | None = None, option
 
 def refine_images(store: IndexStore, prefixes: Sequence[str], mime_types: Sequence[str] | None = None) -> int:
     """Hash images below the given folders that have no hash yet."""
-    chosen = images_to_refine_under(store.read(), prefixes, mime_types)
-    hashes = image_hash_stage(store.spark, prefixes)
-    return store.patch(chosen.select("path").join(hashes, "path"), ["perceptual_hash"])
+    chosen = images_to_refine_under(store.read(), prefixes, mime_types).where(~F.col("is_archived_file"))
+    needed = cut_lineage(chosen.select("path", "size_bytes", "mtime"))
+    return store.patch(image_hash_stage(needed), ["perceptual_hash"])
 
 
 def refine_formats(store: IndexStore, prefixes: Sequence[str] | None = None) -> int:
@@ -217,5 +240,6 @@ def refine_formats(store: IndexStore, prefixes: Sequence[str] | None = None) ->
         "size_bytes", "mtime",
     )
     # Files that are gone drop out while they are probed.
-    probed = probe_files(files).where("error is null")
-    return store.write(update_formats(index, identify_formats(probed)))
+    hits = cut_lineage(identify_formats(probe_files(files).where("error is null")))
+    changed = update_formats(index.join(hits.select("path"), "path", "left_semi"), hits)
+    return store.patch(changed, ["pronom_id", "mime_type"])

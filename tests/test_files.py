@@ -331,5 +331,26 @@ def test_continuous_ingest(spark, mixed_tree, tmp_path):
 
 def test_index_store_versions(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "store"))
-    os.makedirs(tmp_path / "store" / "index" / "v00000007")
-    assert store.current_version() == 0
+    os.makedirs(tmp_path / "store" / "index" / "v00000007.full")
+    assert store.current_version() == 0 and store.read().count() == 0
+
+
+def test_index_store_batches_and_snapshots(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "store"), max_batches=3)
+
+    def rows(**contents):
+        df = spark.createDataFrame([(p, p, 1, 1.0, "h", c, False) for p, c in contents.items()], "path string, filename string, size_bytes long, mtime double, crypto_hash string, content string, is_archived_file boolean")
+        return pipeline.to_metadata(df)
+
+    def contents(version=None):
+        return {r.path: r.content for r in store.read(version).collect()}
+
+    assert store.patch(rows(a="x"), ["content"]) == 0
+    assert store.replace(rows(a="1", b="1")) == 1
+    assert store.replace(rows(b="2", c="2")) == 2
+    assert store.patch(rows(c="3", z="3").withColumn("content", F.nullif("content", F.lit("3"))), ["content"]) == 3
+    assert [k for _, k, _ in store.versions()] == ["full", "replace", "patch"]
+    assert contents() == {"a": "1", "b": "2", "c": None} and contents(2)["c"] == "2"
+    assert store.replace(rows(a="4")) == 4
+    assert [k for _, k, _ in store.versions()] == ["full", "replace", "patch", "replace", "full"]
+    assert contents() == contents(4) == {"a": "4", "b": "2", "c": None}
