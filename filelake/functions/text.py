@@ -135,40 +135,29 @@ def is_extractable(mime: Column, size: Column, extractors: dict[str, Extractor]
     return (mime.startswith("text/plain") | mime.isin(kinds)) & (size <= MAX_TEXT_BYTES)
 
 
-def extract_text(
-    mime: Column, content: Column, path: Column | None = None, extractors: dict[str, Extractor] | None = None
-) -> Column:
-    """Text of a file given its bytes, or its path where there are no bytes; NULL if there is none.
-
-    A failing parser gives NULL.
-    """
+def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None) -> Column:
+    """Text of a file's bytes; NULL if there is none or the parser fails."""
     table = EXTRACTORS if extractors is None else extractors
 
     @F.pandas_udf("string")
-    def by_type(kinds: pd.Series, blobs: pd.Series, paths: pd.Series) -> pd.Series:
+    def by_type(kinds: pd.Series, blobs: pd.Series) -> pd.Series:
         out: list[str | None] = []
-        for kind, blob, where in zip(kinds, blobs, paths):
+        for kind, blob in zip(kinds, blobs):
             text = None
-            if kind is not None and (blob is not None or where is not None):
+            if kind is not None:
                 try:
-                    if blob is None:
-                        with open(where, "rb") as f:
-                            blob = f.read()
                     text = (plain_text(blob) if kind.startswith("text/plain") else table[kind](blob)).strip() or None
                 except Exception:
                     text = None
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    size = F.coalesce(F.octet_length(content), F.lit(0))
-    wanted = F.coalesce(is_extractable(mime, size, table), F.lit(False))
+    wanted = F.coalesce(is_extractable(mime, F.octet_length(content), table), F.lit(False))
     as_text = content.cast("string")
-    # Decided by built-in code: bytes at hand that are valid UTF-8 plain text.
-    native = wanted & F.coalesce(mime.startswith("text/plain") & F.is_valid_utf8(as_text), F.lit(False))
+    # Decided by built-in code: bytes that are valid UTF-8 plain text.
+    native = wanted & mime.startswith("text/plain") & F.is_valid_utf8(as_text)
     foreign = wanted & ~native
     # Marked as not repeatable, so that the optimizer does not copy the parse into filters.
-    parsed = by_type.asNondeterministic()(
-        F.when(foreign, mime), F.when(foreign, content), F.when(foreign, path if path is not None else F.lit(None).cast("string"))
-    )
+    parsed = by_type.asNondeterministic()(F.when(foreign, mime), F.when(foreign, content))
     lines = strip(F.regexp_replace(as_text, "\r\n?", "\n"))
     return F.when(native, F.when(lines != "", lines)).otherwise(parsed)

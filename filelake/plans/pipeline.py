@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from filelake.functions.formats import identify_formats, with_format
 from filelake.functions.images import image_hashes
 from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
-from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
+from filelake.functions.text import EXTRACTORS, Extractor, extract_text, is_extractable
 from filelake.functions.vectors import embed_text, hashed_encoder
 from filelake.operators.incremental import (
     changed_files,
@@ -32,7 +33,7 @@ from filelake.session import cut_lineage
 from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable
 from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import list_files
-from filelake.sources.probe import present_files, probe_files, text_chunks
+from filelake.sources.probe import present_files, probe_files, text_chunks, with_bytes
 
 # Up to these numbers, folders and extensions are named to the image source.
 MAX_FOLDERS = 1000
@@ -64,19 +65,21 @@ class ScanOptions:
 
 
 def with_text(files: DataFrame, options: ScanOptions, from_disk: bool) -> DataFrame:
-    """Add text, embedding and personal-data types; ``content`` holds bytes unless ``from_disk``.
+    """Add text, embedding and personal-data types; bytes come from ``content`` unless ``from_disk``.
 
     A text file without an extractor, or too large for one, is scanned for personal data
-    all the same, in chunks of its raw text.
+    all the same: in chunks of its raw text if it is on disk.
     """
-    mime, text_type = F.col("mime_type"), F.coalesce(F.col("mime_type").startswith("text/"), F.lit(False))
-    if from_disk:
-        where = F.when(F.col("size_bytes") <= MAX_TEXT_BYTES, F.col("path"))
-        text, raw = extract_text(mime, F.lit(None).cast("binary"), where, options.extractors), F.lit(None).cast("string")
-    else:
-        text = extract_text(mime, F.col("content"), extractors=options.extractors)
-        raw = F.when(text_type, F.decode(F.col("content"), "UTF-8"))
-    rows = files.withColumns({"__text": text, "__raw": raw})
+    mime = F.col("mime_type")
+    text_type = F.coalesce(mime.startswith("text/"), F.lit(False))
+    extractable = is_extractable(mime, F.col("size_bytes"), options.extractors)
+    rows = with_bytes(files.drop("content", "head", "tail"), extractable) if from_disk else files
+    rows = rows.withColumns(
+        {
+            "__text": extract_text(mime, F.col("content"), options.extractors),
+            "__raw": F.when(text_type, F.make_valid_utf8(F.col("content").cast("string"))),
+        }
+    )
     scan_text = F.when(is_scannable(mime, F.col("__text")), F.coalesce("__text", "__raw"))
     rows = rows.withColumns(
         {
@@ -87,10 +90,9 @@ def with_text(files: DataFrame, options: ScanOptions, from_disk: bool) -> DataFr
         }
     ).drop("__text", "__raw")
     if from_disk:
-        rest = files.where(text_type & (~is_extractable(mime, F.col("size_bytes"), options.extractors)))
-        found = raw_text_pii(rest, options.pii_languages).withColumnRenamed("pii_types", "__raw_pii")
-        rows = rows.join(found, "path", "left").withColumn("pii_types", F.coalesce("pii_types", "__raw_pii"))
-        rows = rows.drop("__raw_pii")
+        found = raw_text_pii(files.where(text_type & ~extractable), options.pii_languages)
+        rows = rows.join(found.withColumnRenamed("pii_types", "__raw_pii"), "path", "left")
+        rows = rows.withColumn("pii_types", F.coalesce("pii_types", "__raw_pii")).drop("__raw_pii")
     return rows
 
 
@@ -152,6 +154,7 @@ def image_hash_stage(needed: DataFrame) -> DataFrame:
         ends = shaped.agg(F.min("parent").alias("a"), F.max("parent").alias("b")).first()
         folders = [os.path.commonpath([ends["a"] or "/", ends["b"] or "/"])]
         reader = reader.option("recursiveFileLookup", "true")
+    folders = [re.sub(r"([\\*?\[\]{}])", r"\\\1", folder) for folder in folders]
     extensions = [r["ext"] for r in shaped.select("ext").distinct().limit(MAX_EXTENSIONS + 1).collect()]
     if len(extensions) <= MAX_EXTENSIONS and all(e[1:].isalnum() for e in extensions):
         reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions)) + "}")

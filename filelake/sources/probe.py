@@ -7,12 +7,15 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filelake.functions.formats import HEAD_BYTES, TAIL_BYTES
 
 _CHUNK = 1 << 20
+_HELD_BYTES = 64 << 20
 PROBED = "path string, filename string, ext string, parent string, size_bytes long, mtime double, crypto_hash string, head binary, tail binary, error string"
 _COLUMNS = [part.split()[0] for part in PROBED.split(", ")]
 
@@ -64,6 +67,38 @@ def present_files(files: DataFrame) -> DataFrame:
     return files.where(exists("path"))
 
 
+def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
+    """Add ``content``, the bytes of the wanted files; NULL for others and for unreadable ones.
+
+    Rows are handed on whenever a moderate number of bytes is held, however many rows a
+    batch of paths has.
+    """
+    columns = files.columns
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(path: str) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, flags = batch.column("path").to_pylist(), batch.column("__wanted").to_pylist()
+            start, held, blobs = 0, 0, []
+            for i, (path, flag) in enumerate(zip(paths, flags)):
+                blobs.append(read(path) if flag else None)
+                held += len(blobs[-1] or b"")
+                if held >= _HELD_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(start, len(blobs))
+                    arrays = [part.column(c) for c in columns] + [pa.array(blobs, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "content"])
+                    start, held, blobs = i + 1, 0, []
+
+    return files.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).mapInArrow(run, schema)
+
+
 def text_chunks(files: DataFrame, chars: int = 500_000, overlap: int = 1_000) -> DataFrame:
     """``(path, chunk)`` rows of whole text files, however large; invalid UTF-8 is dropped.
 

@@ -22,6 +22,7 @@ from filelake.plans.pipeline import ScanOptions
 from filelake.sources.archives import expand_archives
 from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import list_files, resolve_roots
+from filelake.sources.probe import with_bytes
 from filelake.streaming.ingest import ingest
 
 DOCX = text.DOCX
@@ -187,15 +188,16 @@ def test_extraction(spark, tmp_path, from_disk):
         (tmp_path / str(i)).write_bytes(data)
         rows.append((i, mime, None if from_disk else bytearray(data), str(tmp_path / str(i))))
     df = spark.createDataFrame(rows, "i int, mime string, content binary, path string")
-    path = F.col("path") if from_disk else None
-    got = {r.i: r.t for r in df.select("i", text.extract_text(F.col("mime"), F.col("content"), path).alias("t")).collect()}
+    if from_disk:
+        df = with_bytes(df.drop("content"), F.col("mime").isNotNull())
+    got = {r.i: r.t for r in df.select("i", text.extract_text(F.col("mime"), F.col("content")).alias("t")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
 def test_further_extractors(spark):
     df = spark.createDataFrame([("application/pdf", bytearray(b"abc"))], "mime string, content binary")
     table = {**text.EXTRACTORS, "application/pdf": lambda data: data.decode().upper()}
-    assert df.select(text.extract_text(F.col("mime"), F.col("content"), extractors=table).alias("t")).first().t == "ABC"
+    assert df.select(text.extract_text(F.col("mime"), F.col("content"), table).alias("t")).first().t == "ABC"
 
 
 def test_perceptual_hash(spark, tmp_path):
@@ -263,7 +265,7 @@ def test_failed_scan_is_logged(spark, corpus_tree, tmp_path):
 def mixed_tree(tmp_path):
     root = tmp_path / "mixed"
     root.mkdir()
-    (root / "a.zip").write_bytes(zip_bytes({"in.txt": b"inside the archive", "t.log": b"junk", "i.tar": tar_bytes({"deep.html": HTML})}))
+    (root / "a.zip").write_bytes(zip_bytes({"in.txt": b"inside the archive", "t.log": b"junk", "l.csv": b"\xe9,x@y.io", "i.tar": tar_bytes({"deep.html": HTML})}))
     (root / "book.epub").write_bytes(zip_bytes({"mimetype": "application/epub+zip", "x": b"x"}))
     (root / "bad.zip").write_bytes(zip_bytes({"c.txt": b"c" * 100})[:60])
     (root / "p.png").write_bytes(png_bytes(picture(1)))
@@ -281,9 +283,11 @@ def test_scan_of_a_mixed_tree(spark, mixed_tree, tmp_path):
     errors = pipeline.scan(store, [str(mixed_tree)], ScanOptions(identify_formats=True))
     rows = {os.path.relpath(r.path, mixed_tree): r for r in store.read().collect()}
     assert set(rows) == {
-        "a.zip", "a.zip/in.txt", "a.zip/i.tar", "a.zip/i.tar/deep.html", "book.epub", "bad.zip", "p.png", "q.png", "d.docx",
+        "a.zip", "a.zip/in.txt", "a.zip/l.csv", "a.zip/i.tar", "a.zip/i.tar/deep.html", "book.epub", "bad.zip", "p.png", "q.png", "d.docx",
         "m.eml", "data.csv", "z.bz2",
     }
+    # Not UTF-8, so no text by type, but the legible part is scanned.
+    assert rows["a.zip/l.csv"].pii_types == ["EMAIL_ADDRESS"]
     assert rows["a.zip/in.txt"].content == "inside the archive" and rows["a.zip/in.txt"].is_archived_file
     assert rows["a.zip/i.tar/deep.html"].mime_type == "text/html" and "five" in rows["a.zip/i.tar/deep.html"].content
     assert rows["a.zip"].mime_type == "application/zip" and not rows["a.zip"].is_archived_file
