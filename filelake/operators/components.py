@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.operators.skew import with_group_stats
+from filelake.operators.skew import lookup, with_group_stats
 from filelake.session import cut_lineage
 
 
@@ -41,25 +41,34 @@ def _is_done(edges: DataFrame) -> bool:
     return counts.where("out > 1 or (out = 1 and least = 0)").isEmpty()
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(node, label)`` for every node of an edge ``(src, dst)``; the label is the least node."""
-    current = cut_lineage(
-        edges.where("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Turn distinct edges ``(u, v)``, ``u > v``, into one star per component around its least node."""
+    for _ in range(max_rounds):
+        if _is_done(edges):
+            return edges
+        edges = cut_lineage(_small_star(_large_star(edges)).distinct())
+    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(group_id, node, group_size)`` for every node of an edge ``(src, dst)`` between two nodes.
+
+    The group id is the least node of the group. The rounds run on numbers given to the
+    nodes, which are far shorter than paths; the numbers are fixed in the shared folder, as
+    they may come out differently when they are computed again.
+    """
+    pairs = cut_lineage(edges.where("src <> dst").select("src", "dst"))
+    nodes = cut_lineage(
+        pairs.select(F.explode(F.array("src", "dst")).alias("node"))
         .distinct()
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    for _ in range(max_rounds):
-        if _is_done(current):
-            break
-        current = cut_lineage(_small_star(_large_star(current)).distinct())
-    else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    # Now every node points straight at the least node of its component.
-    roots = current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``(group_id, node, group_size)``; the group id is the least node of the group."""
-    labels = component_labels(edges).select(F.col("label").alias("group_id"), "node")
-    return with_group_stats(labels, "group_id", "node", count="group_size")
+    numbered = lookup(pairs, nodes.select(F.col("node").alias("src"), F.col("id").alias("a")), "src", "dst")
+    numbered = lookup(numbered, nodes.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst", "src")
+    ends = numbered.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stars = _stars(cut_lineage(ends.distinct()), max_rounds)
+
+    # Every node but the centres points at its centre.
+    named = nodes.join(stars.withColumnRenamed("u", "id"), "id", "left").select("node", F.coalesce("v", "id").alias("label"))
+    groups = with_group_stats(named, "label", "node", count="group_size", minimum={"group_id": F.col("node")})
+    return groups.select("group_id", "node", "group_size")
