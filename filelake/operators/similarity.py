@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log2
 from operator import add
 
 import numpy as np
@@ -31,6 +31,8 @@ COPY_ROWS = 4096
 MAX_BAND_DISTANCE = 10
 # Band schemes with more key columns than this are not considered.
 MAX_BAND_KEYS = 256
+# What shuffling and sorting one key costs, in comparisons of two hashes.
+KEY_COST = 10.0
 # Heaviest terms whose product is known exactly when two documents meet.
 HEAD_TERMS = 32
 HASH_BITS = 64
@@ -201,7 +203,18 @@ def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int =
 # --- bands ---------------------------------------------------------------------------
 
 
-def band_scheme(distance: int, rows: int) -> tuple[int, int]:
+def bit_entropy(points: DataFrame) -> tuple[int, list[float]]:
+    """Number of hashes, and the information in each of their bits, lowest bit first."""
+    ones = [F.sum(F.getbit("value", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(HASH_BITS)]
+    row = points.agg(F.count(F.lit(1)).alias("n"), *ones).first()
+    total, shares = row["n"], []
+    for i in range(HASH_BITS):
+        share = (row[f"b{i}"] or 0) / total if total else 0.0
+        shares.append(-sum(q * log2(q) for q in (share, 1 - share) if q > 0))
+    return total, shares
+
+
+def band_scheme(distance: int, rows: int, information: float = HASH_BITS) -> tuple[int, int]:
     """``(bands, agreeing)``: hashes within ``distance`` agree in at least that many of the bands.
 
     With ``distance + k`` bands at most ``distance`` can differ, so ``k`` agree (Manku et
@@ -214,16 +227,25 @@ def band_scheme(distance: int, rows: int) -> tuple[int, int]:
         keys = comb(bands, agreeing)
         if keys > MAX_BAND_KEYS and agreeing > 1:
             break
-        key_bits = agreeing * (HASH_BITS // bands)
-        cost = keys * (1.0 + rows / 2.0**key_bits)
+        cost = keys * (KEY_COST + rows / 2.0 ** (agreeing * information / bands))
         if best is None or cost < best[0]:
             best = (cost, bands, agreeing)
     return best[1], best[2]
 
 
-def _band_masks(bands: int) -> list[int]:
-    edges = [HASH_BITS * i // bands for i in range(bands + 1)]
-    return [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(bands)]
+def band_masks(entropy: list[float], bands: int) -> list[int]:
+    """Deal the bits out to bands of about equal information.
+
+    Any split of the bits into bands is exact. Bits that hardly vary, such as those of
+    images with equal borders, would make a band of neighbouring bits one huge bucket.
+    """
+    masks, held, sizes = [0] * bands, [0.0] * bands, [0] * bands
+    for bit in sorted(range(HASH_BITS), key=lambda i: -entropy[i]):
+        band = min(range(bands), key=lambda j: (held[j], sizes[j]))
+        masks[band] |= 1 << bit
+        held[band] += entropy[bit]
+        sizes[band] += 1
+    return masks
 
 
 def _signed(value: int) -> int:
@@ -240,8 +262,9 @@ def band_pairs(
     ``distinct`` is needed. A key shared by very many hashes is cut into block pairs.
     """
     points = cut_lineage(points)
-    bands, agreeing = scheme or band_scheme(distance, points.count())
-    masks = _band_masks(bands)
+    rows, entropy = bit_entropy(points)
+    bands, agreeing = scheme or band_scheme(distance, rows, sum(entropy))
+    masks = band_masks(entropy, bands)
     specs = []
     for combo in combinations(range(bands), agreeing):
         before = [j for j in range(combo[-1]) if j not in combo]

@@ -53,6 +53,20 @@ def test_band_scheme_takes_longer_keys_for_more_rows():
     assert large[1] > small[1]
 
 
+def test_bands_share_out_the_information():
+    entropy = [0.0] * 24 + [1.0] * 40
+    masks = similarity.band_masks(entropy, 5)
+    assert sum(masks) == 2**64 - 1 and all(bin(m >> 24).count("1") == 8 for m in masks)
+    assert band_scheme(4, 10**6, 40.0)[1] > 1
+
+
+def test_band_pairs_with_constant_bits(spark):
+    values = list(range(0, 4000, 7))
+    df = spark.createDataFrame([(f"i{v:04d}", v) for v in values], "path string, value long")
+    want = {(f"i{a:04d}", f"i{b:04d}") for a in values for b in values if a < b and bin(a ^ b).count("1") <= 2}
+    assert pairs_of(band_pairs(df, 2, block_rows=32)) == want
+
+
 def test_band_join_is_an_equi_join(hashes):
     plan = plan_of(band_pairs(hashes[0], 4))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
