@@ -140,7 +140,7 @@ def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int =
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row has at most one copy per block; parts of a batch bound what is held at once.
-        part_rows = max(1, 500_000 // int(blocks.sum()))
+        part_rows = max(1, 500_000 // max(1, int(blocks.sum())))
         for batch in batches:
             for start in range(0, batch.num_rows, part_rows):
                 part = batch.slice(start, part_rows)
@@ -409,9 +409,8 @@ def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows:
     split = texts.where(F.col("text").rlike(r"[^ \t\n\r\f\x0b]")).select("path", words.alias("words"))
     # Equal term counts mean equal sorted word lists.
     signed = split.withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256))
-    marked = cut_lineage(
-        with_group_stats(signed.select("path", "key"), "key", "path", minimum={"rep": F.col("path")})
-    )
+    signed = cut_lineage(signed.select("path", "key"))
+    marked = cut_lineage(with_group_stats(signed, "key", "path", minimum={"rep": F.col("path")}))
     copies = marked.where("path <> rep").select(
         F.col("rep").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("cosine")
     )
@@ -428,6 +427,8 @@ def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows:
     shares = counts.join(norms, "path").select("path", "term", (F.col("tf") / F.col("norm")).alias("w"))
     heaviest = shares.groupBy("term").agg(F.sum(F.col("w") * F.col("w")).alias("m")).orderBy(F.desc("m"), "term")
     head = [row["term"] for row in heaviest.limit(HEAD_TERMS).collect()]
+    if not head:
+        return copies
     slots = [F.coalesce(F.max(F.when(F.col("term") == h, F.col("w"))), F.lit(0.0)) for h in head]
     heads = shares.where(F.col("term").isin(head)).groupBy("path").agg(F.array(*slots).alias("head"))
 
@@ -443,11 +444,13 @@ def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows:
         .withColumn("rest", F.sqrt(F.sum(square).over(tail)) / F.col("norm"))
         .withColumn("light", F.sqrt(F.sum(light).over(tail)) / F.col("norm"))
         .where(F.col("rest") >= limit)
-        .join(heads, "path", "left")
-        .select("term", "path", "rest", "light", F.coalesce("head", F.array(*[F.lit(0.0)] * len(head))).alias("head"))
+        .select("term", "path", "rest", "light")
     )
-    met = with_group_stats(indexed, "term", "path", F.col("n") > 1, count="n")
-    tasks = pair_tasks(met, ["term"], "path", "n", block_rows)
+    # Read three times below, and narrow until the heads are added.
+    met = cut_lineage(with_group_stats(indexed, "term", "path", F.col("n") > 1, count="n"))
+    no_head = F.array(*[F.lit(0.0)] * len(head))
+    headed = met.join(heads, "path", "left").withColumn("head", F.coalesce("head", no_head))
+    tasks = pair_tasks(headed, ["term"], "path", "n", block_rows)
     join_key = ["term", "lo", "hi"]
 
     def side(block: str, letter: str) -> DataFrame:

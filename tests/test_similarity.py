@@ -141,6 +141,13 @@ def test_similar_documents_equal_brute_force(spark, threshold):
         assert got == want
 
 
+def test_empty_inputs(spark):
+    assert similar_documents(spark.createDataFrame([("a", " ")], "path string, text string")).count() == 0
+    assert similar_vectors(spark.createDataFrame([], "path string, embedding array<float>")).count() == 0
+    assert similar_images(spark.createDataFrame([], "path string, perceptual_hash string"), 4).count() == 0
+    assert similar_images(spark.createDataFrame([], "path string, perceptual_hash string"), 40).count() == 0
+
+
 def closure(edges):
     parent = {}
 
