@@ -15,15 +15,6 @@ DIMENSIONS = 384
 _SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def cosine_to(vector: Column, query: list[float]) -> Column:
     """Cosine of a vector column and a constant vector, in double; 0 for a zero vector."""
     unit = np.asarray(query, dtype=np.float64)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 512
+SMALL_SPLIT_BYTES = 32 << 20
 _SLICE = "__slice"
 
 
@@ -34,7 +35,8 @@ def with_group_stats(
 
     ``having`` filters groups by the attached columns. Rows are aggregated per
     (key, slice) before the shuffle, the at most ``SLICES`` partial results of a key are
-    combined, and the rows meet the result again on (key, slice).
+    combined, and the rows meet the result again on (key, slice). Rows with a NULL key have
+    no group and are left out.
     """
     key = [key] if isinstance(key, str) else list(key)
     spread = [spread] if isinstance(spread, str) else list(spread)
@@ -63,13 +65,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str | Sequence[s
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
-    """Deal rows out to all cores before heavy per-row work, if the input has too few splits.
+    """Deal rows out to all cores before heavy per-row work, if the input is small.
 
-    A small Parquet file is one row group and so one task. Inputs with at least as many
-    splits as there are cores are left alone, so large tables are never shuffled for this.
+    A small Parquet file is one row group and so one task. Inputs whose estimated size
+    gives every core a fair part of a split are left alone, so large tables are never
+    shuffled for this. Only the planner's estimate is asked; nothing runs.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, by)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, by) if size < cores * SMALL_SPLIT_BYTES else rows
 
 
 def pair_tasks(rows: DataFrame, key: Sequence[str], ident: str, size: str, task_rows: int) -> DataFrame:
