@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filelake.llm import langid, merkle, mixing, packing, records, surrogates, warc
+from filelake.llm import jaccard, langid, merkle, mixing, packing, records, suffix_dedup, surrogates, warc
 from filelake.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_document_fingerprints(spark, d):
     return merkle.fingerprint_edits(_docs(spark, d))
 
 
+def op2_suffix_dedup(spark, d):
+    return suffix_dedup.remove_repeats(_docs(spark, d)).drop("kept")
+
+
 def op3_pii_surrogates(spark, d):
     found = surrogates.replace_entities(_docs(spark, d).select("doc_id", "text"), SURROGATE_KEY)
     return found.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
@@ -46,16 +50,22 @@ def op9_pattern_packing(spark, d):
     return packing.pack_documents(_docs(spark, d), public_tokenizers.path(TOKENIZER))
 
 
+def op10_ngram_jaccard(spark, d):
+    return jaccard.jaccard_components(_docs(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_suffix_dedup,
         op3_pii_surrogates,
         op4_language_id,
         op5_binary_records,
         op6_warc_zstd,
         op8_source_mixing,
         op9_pattern_packing,
+        op10_ngram_jaccard,
     )
 }
 
