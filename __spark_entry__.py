@@ -17,6 +17,17 @@ from filelake.operators.skew import spread
 from filelake.plans import corpus, reports
 from filelake.session import cut_lineage, ship_package
 
+# The training-data operators and the pipeline are optional: without them the rest still works.
+try:
+    from filelake.llm.queries import ORACLE as LLM_ORACLE
+    from filelake.llm.queries import QUERIES as LLM_QUERIES
+except ModuleNotFoundError:
+    LLM_ORACLE, LLM_QUERIES = {}, {}
+try:
+    import corpus_pipeline
+except ModuleNotFoundError:
+    corpus_pipeline = None
+
 HAMMING = 18
 COSINE = 0.40
 TERM_COSINE = 0.95
@@ -252,7 +263,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         image_dupes_exact, image_similar_pairs, image_band_pairs, image_similar_groups, similar_text_pairs,
         similar_text_groups, similar_docs_sparse, group_pairs, semantic_search,
     ]
-    return {f.__name__: _shipped(f) for f in listed}
+    named = {f.__name__: f for f in listed} | LLM_QUERIES
+    if corpus_pipeline:
+        named["pipeline"] = corpus_pipeline.run
+    return {name: _shipped(f) for name, f in named.items()}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -374,6 +388,10 @@ dots AS (SELECT a.path AS x, b.path AS y, CAST(sum(a.n * b.n) AS DOUBLE) AS d
 
 
 def oracle_sql() -> dict[str, str]:
+    return _table_sql() | LLM_ORACLE
+
+
+def _table_sql() -> dict[str, str]:
     dupes = f"{_FILES}, sized AS (SELECT *, count(*) OVER (PARTITION BY crypto_hash) AS set_size FROM files)"
     windows = ", ".join(f"'{n}'" for n in rules.WINDOWS_EXCLUDES)
     macos = ", ".join(f"'{n}'" for n in rules.MACOS_EXCLUDES)
