@@ -24,8 +24,8 @@ from filelake.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 48
 _UNIT = 1 << 30
-_ITEM = "struct<r:bigint,doc_id:bigint,size:bigint,p:double>"
-_DONE = "array<struct<doc_id:bigint,size:bigint,k:double>>"
+_ITEM = "struct<r:bigint,doc_id:bigint,h:bigint,size:bigint,p:double>"
+_DONE = "array<struct<doc_id:bigint,h:bigint,size:bigint,k:double>>"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -79,10 +79,10 @@ def _meet(state: Column, x: Column, seed: int) -> Column:
 
     def settle(t: Column) -> Column:
         def item(y: Column, p: Column) -> Column:
-            return F.struct(y["r"].alias("r"), y["doc_id"].alias("doc_id"), y["size"].alias("size"), p.alias("p"))
+            return F.struct(y["r"].alias("r"), y["doc_id"].alias("doc_id"), y["h"].alias("h"), y["size"].alias("size"), p.alias("p"))
 
         def done(y: Column, k: Column) -> Column:
-            return F.struct(y["doc_id"].alias("doc_id"), y["size"].alias("size"), k.alias("k"))
+            return F.struct(y["doc_id"].alias("doc_id"), y["h"].alias("h"), y["size"].alias("size"), k.alias("k"))
 
         return F.struct(
             F.when(t["c_ends"], item(x, t["b"])).otherwise(item(c, t["a"])).cast(_ITEM).alias("c"),
@@ -102,25 +102,25 @@ def _round_blocks(pool: DataFrame, seed: int) -> DataFrame:
 
 
 def pivotal_copies(items: DataFrame, largest: int, seed: int = 0) -> DataFrame:
-    """Round the fractions of ``items (source, doc_id, r, size, p)``; gives ``source, doc_id, size, k``, k 0 or 1.
+    """Round the fractions of ``items (source, doc_id, h, r, size, p)``; gives ``source, doc_id, h, size, k``, k 0 or 1.
 
     ``r`` orders the items of a source at random and is the same in every run; ``largest``
     bounds the items of a source.
     """
     settled, level = [], 0
-    pool = items.select("source", F.struct("r", "doc_id", "size", "p").cast(_ITEM).alias("item"))
+    pool = items.select("source", F.struct("r", "doc_id", "h", "size", "p").cast(_ITEM).alias("item"))
     width = max(1, -(-largest // BLOCK))
     while True:
         # Blocks are dealt by the hash of the random order, so they are alike in size.
         block = F.pmod(F.xxhash64(F.lit(seed + level), "item.r"), F.lit(width)).cast("int")
         folded = cut_lineage(_round_blocks(pool.withColumn("block", block), seed + level))
-        settled.append(folded.select("source", F.explode("s.done").alias("d")).select("source", "d.doc_id", "d.size", "d.k"))
+        settled.append(folded.select("source", F.explode("s.done").alias("d")).select("source", "d.doc_id", "d.h", "d.size", "d.k"))
         pool = folded.select("source", F.col("s.c").alias("item"))
         if width == 1:
             break
         width, level = max(1, -(-width // BLOCK)), level + 1
     last = (_uniform(F.lit(seed), F.lit("last"), F.col("item.r")) < F.col("item.p")).cast("double")
-    settled.append(pool.select("source", "item.doc_id", "item.size", last.alias("k")))
+    settled.append(pool.select("source", "item.doc_id", "item.h", "item.size", last.alias("k")))
     return reduce(DataFrame.unionByName, settled)
 
 
@@ -128,7 +128,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     """Copies of every document so that each source's words come near its target.
 
     Reads ``doc_id, text, source``; other columns are ignored. Returns one row per row:
-    ``doc_id, source, size, source_size, target, copies, taken``. A NULL or empty text has
+    ``doc_id, source, h, size, source_size, target, copies, taken``, with ``h`` a hash of the
+    text. A NULL or empty text has
     size 0 and takes nothing; NULL is a source of its own; repeated rows are rounded one by
     one; an empty table gives no row. The same rows give the same copies in every run.
     """
@@ -149,9 +150,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     each = each.withColumn("r", F.xxhash64(F.lit(seed), "doc_id", "h", "i"))
     is_open = (F.col("p") > 0) & (F.col("size") > 0)
     rounded = pivotal_copies(each.where(is_open), largest, seed)
-    fixed = each.where(~is_open).select("source", "doc_id", "size", F.lit(0.0).alias("k"))
+    fixed = each.where(~is_open).select("source", "doc_id", "h", "size", F.lit(0.0).alias("k"))
     taken = rounded.unionByName(fixed).join(named, F.col("source").eqNullSafe(F.col("s")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("k").cast("long")).otherwise(0).cast("long")
     return taken.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "h", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def take_mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture takes it, which may be never.
+
+    Rows alike in id, source and text share their copies: every one of them appears with the
+    mean of what they were given, rounded down, and the rest goes to the first of them.
+    """
+    given = mix_sources(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id", "source", "h")
+    given = given.agg(F.sum("copies").cast("int").alias("copies")).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "h", "copies")])
+    names = docs.columns
+    alike = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__h"))
+    turn = Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(0))
+    shared = alike.join(given, same).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source", "__text")))
+    shared = shared.withColumn("__turn", F.row_number().over(turn))
+    own = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__turn") == 1, F.col("__copies") % F.col("__n")).otherwise(0)
+    return shared.withColumn("__copy", F.explode(F.sequence(F.lit(0), own.cast("int")))).where("__copy > 0").select(*[F.col(f"`{c}`") for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filelake.llm import jaccard, langid, merkle, mixing, packing, records, suffix_dedup, surrogates, warc
+from filelake.llm import hnsw, jaccard, langid, merkle, mixing, packing, records, suffix_dedup, surrogates, warc
 from filelake.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op6_warc_zstd(spark, d):
     return warc.archive_pages(table(prepare(spark), d, "pages"))
 
 
+def op7_hnsw_near_dedup(spark, d):
+    return hnsw.near_duplicates(table(prepare(spark), d, "embeddings"))
+
+
 def op8_source_mixing(spark, d):
     mixed = mixing.mix_sources(_docs(spark, d))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -63,6 +67,7 @@ QUERIES = {
         op4_language_id,
         op5_binary_records,
         op6_warc_zstd,
+        op7_hnsw_near_dedup,
         op8_source_mixing,
         op9_pattern_packing,
         op10_ngram_jaccard,
