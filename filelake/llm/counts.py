@@ -43,18 +43,50 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return arrays
 
 
+def pack_bits(values: np.ndarray) -> np.ndarray:
+    """Small whole numbers as planes of bytes, the last one of half bytes where that is enough."""
+    values = values.astype("<u8")
+    bits = int(values.max()).bit_length() if len(values) else 0
+    planes = values.view(np.uint8).reshape(-1, 8)
+    parts = [np.frombuffer(len(values).to_bytes(8, "little") + bytes([bits]), np.uint8)]
+    parts += [planes[:, k] for k in range(bits // 8 + (bits % 8 > 4))]
+    if 0 < bits % 8 <= 4:
+        half = np.append(planes[:, bits // 8], np.uint8(0))
+        parts.append(half[: len(half) // 2 * 2 : 2] | half[1::2] << 4)
+    return np.concatenate(parts)
+
+
+def unpack_bits(data: np.ndarray) -> np.ndarray:
+    count, bits = int.from_bytes(data[:8].tobytes(), "little"), int(data[8])
+    planes, at = np.zeros((count, 8), np.uint8), 9
+    for k in range(bits // 8 + (bits % 8 > 4)):
+        planes[:, k] = data[at : at + count]
+        at += count
+    if 0 < bits % 8 <= 4:
+        half = data[at:]
+        planes[:, bits // 8] = np.stack([half & 15, half >> 4], 1).ravel()[:count]
+    return planes.view("<u8").ravel()
+
+
 def pack_sorted(values: np.ndarray) -> np.ndarray:
-    """Bytes of the differences of rising 64-bit values, in the least width that holds all of them, after one byte for it."""
-    steps = np.diff(values, prepend=np.uint64(0))
+    """Differences of rising 64-bit values as planes of bytes; the highest, which is far from even, is compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return np.concatenate(([np.uint8(width)], steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].ravel()))
+    planes = steps.view(np.uint8).reshape(-1, 8)
+    top = pa.compress(np.ascontiguousarray(planes[:, width - 1]), codec="zstd", asbytes=True)
+    head = len(values).to_bytes(8, "little") + bytes([width]) + len(top).to_bytes(8, "little") + top
+    return np.concatenate([np.frombuffer(head, np.uint8), *(planes[:, k] for k in range(width - 1))])
 
 
 def unpack_sorted(data: np.ndarray) -> np.ndarray:
-    width = int(data[0])
-    steps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    steps[:, :width] = data[1:].reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    count, width, size = (int.from_bytes(data[a:b].tobytes(), "little") for a, b in ((0, 8), (8, 9), (9, 17)))
+    planes, at = np.zeros((count, 8), np.uint8), 17 + size
+    top = pa.decompress(data[17:at].tobytes(), decompressed_size=count, codec="zstd", asbytes=True)
+    planes[:, width - 1] = np.frombuffer(top, np.uint8)
+    for k in range(width - 1):
+        planes[:, k] = data[at : at + count]
+        at += count
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +99,13 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarr
     return order, np.flatnonzero(fresh)
 
 
-def ask(chunk: int, buckets: int, a: np.ndarray, b: np.ndarray | None, counts: np.ndarray, note: bytes) -> pa.RecordBatch:
-    """Rows of one chunk: its distinct pairs ``(a, b)`` in sorted order by bucket of ``a``, and its note to itself."""
+def ask(
+    chunk: int, buckets: int, a: np.ndarray, b: np.ndarray | None, counts: np.ndarray, note: bytes, carry: np.ndarray | None = None
+) -> pa.RecordBatch:
+    """Rows of one chunk: its distinct pairs ``(a, b)`` in sorted order by bucket of ``a``, and its note to itself.
+
+    ``carry`` holds a small number per pair that comes back with its answer.
+    """
     share = (1 << 64) // buckets + 1
     edges = np.searchsorted(a, np.array([min(k * share, (1 << 64) - 1) for k in range(1, buckets)], np.uint64))
     edges = [0, *edges.tolist(), len(a)]
@@ -77,7 +114,8 @@ def ask(chunk: int, buckets: int, a: np.ndarray, b: np.ndarray | None, counts: n
         if start < end:
             many = np.flatnonzero(counts[start:end] > 1)
             second = np.empty(0, np.uint64) if b is None else b[start:end]
-            body = pack(pack_sorted(a[start:end]), second, many.astype(np.uint32), counts[start:end][many].astype(np.uint32))
+            own = np.empty(0, np.uint8) if carry is None else pack_bits(carry[start:end])
+            body = pack(pack_sorted(a[start:end]), second, many.astype(np.uint32), counts[start:end][many].astype(np.uint32), own)
             rows.append((k, chunk, start, body))
     rows.append((-1 - chunk, chunk, -1, note))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_ASKED)], schema=_ASKED)
@@ -117,23 +155,39 @@ def answer(asked: DataFrame, choose: Choice, with_values: bool) -> DataFrame:
             distinct[order] = np.repeat(per_pair, sizes)
         info = choose(total, distinct, first).astype(np.uint32)
         out = []
-        for (chunk, offset, _), end, v in zip(rows, ends, values):
+        for (chunk, offset, _), end, v, p in zip(rows, ends, values, parts):
             own = info[end - len(v) : end]
             hit = np.flatnonzero(own)
             if len(hit):
-                body = pack((hit + offset).astype(np.uint32), own[hit], v[hit] if with_values else np.empty(0, np.uint64))
+                carry = pack_bits(unpack_bits(p[4])[hit]) if len(p[4]) else p[4]
+                places = pack_sorted((hit + offset).astype(np.uint64))
+                body = pack(places, pack_bits(own[hit]), pack_sorted(v[hit]) if with_values else np.empty(0, np.uint8), carry)
                 out.append({"chunk": chunk, "first": offset, "body": body})
         return pa.Table.from_pylist(out, _ANSWERED)
 
     return asked.groupBy("target").applyInArrow(bucket, ANSWERED)
 
 
-def answers_of(table: pa.Table) -> tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows of one chunk: its number, its note, and positions, answers and values in rising order."""
+class Answers(NamedTuple):
+    """What one chunk hears: its number and note, and per answered pair, in rising order, place, answer, value and carried number."""
+
+    chunk: int
+    note: bytes
+    places: np.ndarray
+    info: np.ndarray
+    values: np.ndarray
+    carry: np.ndarray
+
+
+def answers_of(table: pa.Table) -> Answers:
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "first", "body"))), key=lambda r: r[1])
     parts = [unpack(r[2]) for r in rows if r[1] >= 0]
-    joined = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64 if i == 2 else np.uint32) for i in range(3)]
-    return rows[0][0], rows[0][2], *joined
+
+    def joined(i: int, read: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *(read(p[i]) for p in parts if len(p[i]))])
+
+    places, info = joined(0, unpack_sorted).astype(np.int64), joined(1, unpack_bits).astype(np.int64)
+    return Answers(rows[0][0], rows[0][2], places, info, joined(2, unpack_sorted), joined(3, unpack_bits).astype(np.int64))
 
 
 def bucket_count(values: int) -> int:

@@ -81,12 +81,13 @@ def _ask_task(buckets: int, words: int):
             order, starts = counts.distinct_pairs(values)
             many = np.diff(np.append(starts, len(values)))
             multi = np.flatnonzero(many > 1)
-            owner = owner[order].astype(np.uint16 if len(sets) <= 1 << 16 else np.uint32)
+            owner = owner[order]
+            # The one document of an n-gram travels with it; several are noted by its place.
             note = counts.pack(
                 np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64), sizes, digests,
-                owner, multi.astype(np.uint32), many[multi].astype(np.uint32), np.array([len(starts)], np.int64),
+                owner[np.repeat(many > 1, many)], multi.astype(np.uint32), many[multi].astype(np.uint32),
             )
-            yield counts.ask(chunk, buckets, values[order][starts], None, many, note)
+            yield counts.ask(chunk, buckets, values[order][starts], None, many, note, carry=owner[starts])
 
     return task
 
@@ -104,15 +105,16 @@ _SIGNATURE = pa.schema(
 
 def _signatures(percent: int):
     def chunk(table: pa.Table) -> pa.Table:
-        _, note, places, df, values = counts.answers_of(table)
-        empty, ids, sizes, digests, owner, multi, many, distinct = counts.unpack(note)
-        per_value = np.ones(int(distinct[0]), np.int64)
-        per_value[multi] = many
-        ends = np.cumsum(per_value)
-        # Expand the answered values to the documents that hold them.
-        each = per_value[places]
-        held = np.repeat(ends[places] - each, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        doc, value, freq = owner[held].astype(np.int64), np.repeat(values, each), np.repeat(df.astype(np.int64), each)
+        heard = counts.answers_of(table)
+        empty, ids, sizes, digests, owner, multi, many = counts.unpack(heard.note)
+        # Answered n-grams of one document, and those of several, which are all answered.
+        single = ~np.isin(heard.places, multi)
+        at = np.searchsorted(heard.places, multi)
+        doc = np.concatenate((heard.carry[single], owner.astype(np.int64)))
+        value = np.concatenate((heard.values[single], np.repeat(heard.values[at], many)))
+        freq = np.concatenate((heard.info[single], np.repeat(heard.info[at], many)))
+        by_value = np.argsort(value, kind="stable")
+        doc, value, freq = doc[by_value], value[by_value], freq[by_value]
         by_doc = np.argsort(doc, kind="stable")  # values stay in rising order within a document
         doc, value, freq = doc[by_doc], value[by_doc], freq[by_doc]
         edges = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -127,7 +129,7 @@ def _signatures(percent: int):
             rows.append(
                 {
                     "doc_id": None if empty[k] else int(ids[k]), "n_shingles": n, "digest": digests[2 * k : 2 * k + 2].tobytes(),
-                    "shared": value[a:b].tobytes() if rest > 0 else b"", "prefix": prefix,
+                    "shared": counts.pack_sorted(value[a:b]).tobytes() if rest > 0 else b"", "prefix": prefix,
                 }
             )
         return pa.Table.from_pylist(rows, _SIGNATURE)
@@ -209,7 +211,7 @@ def _multiply(percent: int):
             return schema.empty_table()
         na, nb = (np.array([r["n_shingles"] for r in x], np.int64) for x in (left, right))
         wa, wb = (np.array([r["copies"] for r in x], np.int64) for x in (left, right))
-        common = overlaps(*([np.frombuffer(r["shared"], np.uint64) for r in x] for x in (left, right)))
+        common = overlaps(*([counts.unpack_sorted(np.frombuffer(r["shared"], np.uint8)) for r in x] for x in (left, right)))
         sums = na[:, None] + nb[None, :]
         linked = (100 + percent) * common.round().astype(np.int64) >= percent * sums
         linked &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])

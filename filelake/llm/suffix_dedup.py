@@ -94,7 +94,7 @@ def _note(keys: list[str], doc: list[np.ndarray], extra: list[np.ndarray], order
     """What a chunk must know again: keys, and for its entries in sorted order the document and ``extra``."""
     many = np.diff(np.append(starts, len(order)))
     multi = np.flatnonzero(many > 1)
-    columns = [doc[order].astype(np.uint32)] + [e[order].astype(np.uint32) for e in extra]
+    columns = [counts.pack_bits(c[order]) for c in (doc, *extra)]
     names = np.frombuffer("\n".join(keys).encode(), np.uint8)
     return counts.pack(names, np.array([len(starts)], np.int64), multi.astype(np.uint32), many[multi].astype(np.uint32), *columns)
 
@@ -102,6 +102,7 @@ def _note(keys: list[str], doc: list[np.ndarray], extra: list[np.ndarray], order
 def _entries(note: bytes, places: np.ndarray, info: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray]]:
     """Answered entries: keys, whether an entry is the first of its value, its answer, and its columns."""
     names, distinct, multi, many, *columns = counts.unpack(note)
+    columns = [counts.unpack_bits(c) for c in columns]
     per = np.ones(int(distinct[0]), np.int64)
     per[multi] = many
     ends = np.cumsum(per)
@@ -147,8 +148,8 @@ _SPANS = pa.schema([("key", pa.string()), ("spans", pa.binary()), ("refine", pa.
 
 def _settle_blocks(length: int):
     def chunk(table: pa.Table) -> pa.Table:
-        _, note, places, info, _ = counts.answers_of(table)
-        keys, lead, flags, (doc, start, size) = _entries(note, places, info)
+        heard = counts.answers_of(table)
+        keys, lead, flags, (doc, start, size) = _entries(heard.note, heard.places, heard.info)
         rows = []
         repeated = (flags & _REPEATED) > 0
         refine = ((flags & _REFINE) > 0) & lead
@@ -197,8 +198,8 @@ def _ask_suffixes(buckets: int, length: int):
 
 def _settle_suffixes(length: int):
     def chunk(table: pa.Table) -> pa.Table:
-        _, note, places, info, _ = counts.answers_of(table)
-        keys, _, _, (doc, at, is_open) = _entries(note, places, info)
+        heard = counts.answers_of(table)
+        keys, _, _, (doc, at, is_open) = _entries(heard.note, heard.places, heard.info)
         doc, at = doc[is_open > 0], at[is_open > 0]
         rows = []
         for k in np.unique(doc).tolist():
