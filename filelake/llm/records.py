@@ -149,7 +149,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     parts = F.sequence(F.lit(0), F.floor((F.col("records") - 1) / READ_RECORDS).cast("int"))
-    work = files.select("path", "base", "records", F.explode(parts).alias("part")).repartition("path", "part")
+    count = manifest.agg(F.sum(F.ceil(F.col("records") / READ_RECORDS))).first()[0] or 1
+    work = files.select("path", "base", "records", F.explode(parts).alias("part")).repartition(int(count), "path", "part")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,69 +7,76 @@ and pieces met before are taken from a bounded cache; only new pieces reach the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
 
 _BLANK = re.compile(r" (?<=\S )")
-# Letters and signs of which the cuts are known; pieces with anything else go to the library whole.
+# Letters and signs of which all cuts are known; other texts are split at blanks alone.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_L}\x20-\x26\x28-\x7e\n]+")
 _DOUBLE = re.compile(r"\s\s")
 _PART = re.compile(rf" ?[{_L}]+|(?:(?! [{_L}])[^{_L}])+")
 
 
+def _pieces(text: str) -> list[str]:
+    """Parts of a text that the library cuts in the same way alone as in place."""
+    if _PLAIN.fullmatch(text) and not _DOUBLE.search(text):
+        return _PART.findall(text)
+    first, *rest = _BLANK.split(text)
+    return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
+
+
 class PieceEncoder:
     """Ids of whole texts; ``cache_pieces`` bounds what is remembered between calls."""
 
-    def __init__(self, path: str, cache_pieces: int = 300_000):
+    def __init__(self, path: str, cache_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._limit = cache_pieces
-        self._known: dict[str, bytes] = {}  # by piece without its leading blank
-        self._parts: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        # What was known before the cache was last full; pieces in use move back.
+        self._before: dict[str, bytes] = {}
         self.vocabulary = self._tokenizer.get_vocab_size()
 
     def _library(self, pieces: Sequence[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _resolve(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pieces given with their leading blank."""
-        cut, whole = {}, []
-        for p in pieces:
-            if _PLAIN.fullmatch(p) and not _DOUBLE.search(p):
-                cut[p] = _PART.findall(p)
-            else:
-                whole.append(p)
-        new = sorted({q for parts in cut.values() for q in parts} - self._parts.keys())
-        if len(self._parts) + len(new) > self._limit:
-            self._parts.clear()
-            new = sorted({q for parts in cut.values() for q in parts})
-        self._parts.update(zip(new, self._library(new)))
-        get = self._parts.__getitem__
-        found = {p: b"".join(map(get, parts)) for p, parts in cut.items()}
-        found.update(zip(whole, self._library(whole)))
-        return found
+    def _learn(self, pieces: set[str]) -> None:
+        """Make the ids of all ``pieces`` known."""
+        new = pieces - self._known.keys()
+        if len(self._known) + len(new) > self._limit:
+            self._known, self._before = {}, self._known
+            new = pieces
+        old = self._before
+        self._known.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in self._known]
+        self._known.update(zip(new, self._library(new)))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids as little-endian unsigned 32-bit numbers; NULL is empty."""
-        split = [_BLANK.split(t or "") for t in texts]
-        heads = self._resolve({s[0] for s in split if s[0]})
-        missing = set().union(*(s[1:] for s in split)) - self._known.keys()
-        if len(self._known) + len(missing) > self._limit:
-            self._known.clear()
-            missing = set().union(*(s[1:] for s in split))
-        found = self._resolve([" " + p for p in missing])
-        self._known.update((p[1:], ids) for p, ids in found.items())
+        # Millions of small objects and no cycles: the collector would only walk the caches.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        split = [_pieces(t or "") for t in texts]
+        self._learn(set().union(*split))
         get = self._known.__getitem__
-        return [np.frombuffer(heads.get(s[0], b"") + b"".join(map(get, s[1:])), "<u4") for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
 
 @cache

@@ -220,7 +220,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     raise ValueError(f"{path}: {count} records, {records} were written")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.repartition("path").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.repartition(max(1, archives.count()), "path").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
