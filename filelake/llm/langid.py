@@ -35,7 +35,7 @@ def _codes(part: str) -> np.ndarray:
     points = np.concatenate(([32], points, [32]))
     points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
     two = points[:-1] << 21 | points[1:]
-    three = two[:-1] << 21 | points[2:]
+    three = (two[:-1] << 21 | points[2:])[points[1:-1] != 32]  # within a word and its blanks
     return np.concatenate((points[points != 32], two, three))
 
 

@@ -136,7 +136,7 @@ def _email(value: str, canonical: str, draw: _Stream) -> str:
     local, _, domain = canonical.partition("@")
     host, _, top = domain.rpartition(".")
     new = f"{_alike(local, draw)}@{_alike(host, draw)}.{top}"
-    return new.upper() if value.isupper() else new
+    return "".join(n.upper() if v.isupper() else n for n, v in zip(new, value))
 
 
 def _secret(value: str, canonical: str, draw: _Stream) -> str:
