@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import os
 import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,13 @@ from filelake.operators.rules import DEFAULT_EXCLUDE_DIRS, drop_junk
 from filelake.operators.upsert import update_formats
 from filelake.schemas import FILE_METADATA
 from filelake.session import cut_lineage
-from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable
+from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable, last_entries
 from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import list_files
 from filelake.sources.probe import present_files, probe_files, text_chunks, with_bytes
 
-# Up to these numbers, folders and extensions are named to the image source.
-MAX_FOLDERS = 1000
+# Folders named to the image source in one read; extensions are named up to their number.
+FOLDERS_PER_READ = 1000
 MAX_EXTENSIONS = 200
 
 
@@ -85,7 +85,8 @@ def with_text(files: DataFrame, options: ScanOptions, from_disk: bool) -> DataFr
         {
             "content_embedding": embed_text(F.col("__text"), options.make_encoder).cast("array<float>"),
             "pii_types": pii_types(scan_text, options.pii_languages),
-            "text_extracted": F.lit(True),
+            # Files without an extractor stay untried, so that a later run with one takes them.
+            "text_extracted": F.coalesce(is_extractable(mime, F.col("size_bytes"), options.extractors), F.lit(False)),
             "content": F.col("__text"),
         }
     ).drop("__text", "__raw")
@@ -138,29 +139,26 @@ def image_hash_stage(needed: DataFrame) -> DataFrame:
     """Hashes of the images among ``(path, size_bytes, mtime)`` rows, decoded by the image source.
 
     The source reads whole folders, so what it reads is narrowed to what the rows need: their
-    folders, extensions and times, as far as those are few. Each of these only leaves out
-    files that no row asks for. The source does not show names that begin with ``.`` or ``_``.
+    folders, extensions and times. Each of these only leaves out files that no row asks for.
+    The folder names of the images reach the driver.
     """
     spark = needed.sparkSession
     shaped = needed.select(
         parent_dir(F.col("path")).alias("parent"), suffix(file_name(F.col("path"))).alias("ext"), "mtime"
     )
-    folders = [r["parent"] or "/" for r in shaped.select("parent").distinct().limit(MAX_FOLDERS + 1).collect()]
+    folders = [r["parent"] or "/" for r in shaped.select("parent").distinct().toLocalIterator()]
     if not folders:
         return spark.createDataFrame([], "path string, perceptual_hash string")
     reader = spark.read.format("image").option("dropInvalid", "true")
-    if len(folders) > MAX_FOLDERS:
-        # Too many to name: the folder above them all, from its least and greatest member.
-        ends = shaped.agg(F.min("parent").alias("a"), F.max("parent").alias("b")).first()
-        folders = [os.path.commonpath([ends["a"] or "/", ends["b"] or "/"])]
-        reader = reader.option("recursiveFileLookup", "true")
-    folders = [re.sub(r"([\\*?\[\]{}])", r"\\\1", folder) for folder in folders]
+    folders = sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", folder) for folder in folders)
     extensions = [r["ext"] for r in shaped.select("ext").distinct().limit(MAX_EXTENSIONS + 1).collect()]
     if len(extensions) <= MAX_EXTENSIONS and all(e[1:].isalnum() for e in extensions):
         reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions)) + "}")
     oldest = datetime.fromtimestamp(math.floor(shaped.agg(F.min("mtime")).first()[0]) - 1, timezone.utc)
     reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
-    return needed.select("path").join(image_hashes(reader.load(folders)), "path")
+    # Named folders show every file, so however many there are, all are named, some at a time.
+    parts = [reader.load(folders[k : k + FOLDERS_PER_READ]) for k in range(0, len(folders), FOLDERS_PER_READ)]
+    return needed.select("path").join(image_hashes(reduce(DataFrame.unionByName, parts)), "path")
 
 
 def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +167,7 @@ def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, Dat
     rows = derive(probed, options)
     # Types need no text, so the members do not wait for it.
     typed = with_format(probed.where("error is null"))
-    members = cut_lineage(archive_members(typed, options))
+    members = last_entries(cut_lineage(archive_members(typed, options)))
     rows = rows.unionByName(derive(drop_junk(members), options, archived=True, from_disk=False))
     if options.perceptual_hash:
         images = typed.where(F.col("mime_type").startswith("image")).select("path", "size_bytes", "mtime")

@@ -28,7 +28,7 @@ from filelake.functions.formats import HEAD_BYTES, TAIL_BYTES
 ARCHIVE_TYPES = ["application/zip", "application/x-tar", "application/gzip", "application/x-bzip2", "application/x-xz"]
 UNEXPANDED_EXTENSIONS = [".epub", ".cbz", ".cbr"]
 
-MEMBERS = "path string, filename string, ext string, parent string, size_bytes long, mtime double, crypto_hash string, head binary, tail binary, content binary, error string"
+MEMBERS = "path string, filename string, ext string, parent string, size_bytes long, mtime double, crypto_hash string, head binary, tail binary, content binary, error string, entry long"
 _COLUMNS = [part.split()[0] for part in MEMBERS.split(", ")]
 _ZIP_MAGIC = (b"PK\x03\x04", b"PK\x05\x06")
 _TAR_MAGIC = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00")
@@ -113,7 +113,8 @@ def expand_archives(
     """Member rows of the containers, with the path ``container/member``.
 
     Rows with ``error`` tell what could not be read; members before the fault are kept.
-    Zip members carry the entry's own time, read as UTC.
+    Zip members carry the entry's own time, read as UTC. ``entry`` counts a container's
+    members in order.
     """
     parallelism = parallelism or containers.sparkSession.sparkContext.defaultParallelism * 4
     limits = {
@@ -126,19 +127,27 @@ def expand_archives(
         for batch in batches:
             for path in batch["path"]:
                 rows: list[tuple] = []
-                held = 0
+                held = entry = 0
                 try:
                     with open(path, "rb") as source:
                         for row in _expand(path, source, 1, limits):
-                            rows.append(row)
+                            rows.append((*row, entry))
+                            entry += 1
                             held += len(row[9] or b"") + HEAD_BYTES
                             # Hand rows on before much is held in memory.
                             if held > 64 << 20:
                                 yield pd.DataFrame(rows, columns=_COLUMNS)
                                 rows, held = [], 0
                 except _FAULTS as e:
-                    rows.append((path, *[None] * 9, f"{type(e).__name__}: {e}"))
+                    rows.append((path, *[None] * 9, f"{type(e).__name__}: {e}", entry))
                 if rows:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return containers.select("path").repartition(parallelism, "path").mapInPandas(run, MEMBERS)
+
+
+def last_entries(members: DataFrame) -> DataFrame:
+    """The last of the entries a container has under one path, as unpacking would leave it; errors stay."""
+    good = members.where("error is null")
+    last = good.groupBy("path").agg(F.max("entry").alias("entry"))
+    return good.join(last, ["path", "entry"], "left_semi").unionByName(members.where("error is not null")).drop("entry")

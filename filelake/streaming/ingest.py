@@ -13,6 +13,7 @@ from filelake.operators.rules import drop_junk
 from filelake.operators.upsert import latest_per_path
 from filelake.plans.pipeline import ScanOptions, archive_members, derive
 from filelake.session import cut_lineage
+from filelake.sources.archives import last_entries
 from filelake.sources.index_store import IndexStore
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -54,10 +55,15 @@ def ingest(
         if fresh.isEmpty():
             return
         files = files.join(fresh, "path", "left_semi")
-        members = cut_lineage(archive_members(with_format(files), options))
+        members = last_entries(cut_lineage(archive_members(with_format(files), options)))
         rows = derive(files, options, from_disk=False).unionByName(
             derive(drop_junk(members), options, archived=True, from_disk=False)
         )
+        # Image hashes are the batch scan's work; those of unchanged content are kept.
+        kept = store.read().where("perceptual_hash is not null").select("path", F.col("crypto_hash").alias("__hash"), F.col("perceptual_hash").alias("__phash"))
+        rows = rows.join(kept, "path", "left")
+        same = F.when(F.col("crypto_hash") == F.col("__hash"), F.col("__phash"))
+        rows = rows.withColumn("perceptual_hash", F.coalesce("perceptual_hash", same)).drop("__hash", "__phash")
         store.replace(latest_per_path(rows.withColumn("__order", F.col("mtime")), "__order"))
 
     stream = (

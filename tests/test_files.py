@@ -358,3 +358,31 @@ def test_index_store_batches_and_snapshots(spark, tmp_path):
     assert store.replace(rows(a="4")) == 4
     assert [k for _, k, _ in store.versions()] == ["full", "replace", "patch", "replace", "full"]
     assert contents() == contents(4) == {"a": "4", "b": "2", "c": None}
+
+
+def test_scan_faults_stay_mended(spark, mixed_tree, tmp_path, monkeypatch):
+    """Repeated member names, files without an extractor, images in hidden folders, hashes kept by ingest."""
+    with tarfile.open(mixed_tree / "twice.tar", "w") as archive:
+        for name, text in (("note.txt", b"old"), ("./note.txt", b"new")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            archive.addfile(info, io.BytesIO(text))
+    for folder in (".hid", "_und"):
+        (mixed_tree / folder).mkdir()
+        (mixed_tree / folder / "i.png").write_bytes((mixed_tree / "p.png").read_bytes())
+    monkeypatch.setattr(pipeline, "FOLDERS_PER_READ", 2)
+    store = IndexStore(spark, str(tmp_path / "store"))
+    pipeline.scan(store, [str(mixed_tree)], ScanOptions(extractors={}))
+
+    def rows():
+        return {os.path.relpath(r.path, mixed_tree): r for r in store.read().collect()}
+
+    first = rows()
+    assert store.read().count() == len(first) and first["twice.tar/note.txt"].content == "new"
+    assert first[".hid/i.png"].perceptual_hash and first["_und/i.png"].perceptual_hash
+    assert not first["d.docx"].text_extracted
+    pipeline.refine_text(store)
+    assert rows()["d.docx"].content == "Report"
+    os.utime(mixed_tree / "p.png", (2_000_000_000, 2_000_000_000))
+    ingest(store, str(mixed_tree), str(tmp_path / "checkpoint")).awaitTermination()
+    assert rows()["p.png"].mtime == 2_000_000_000 and rows()["p.png"].perceptual_hash == first["p.png"].perceptual_hash
