@@ -24,7 +24,10 @@ from filelake.operators.components import connected_components
 from filelake.session import cut_lineage
 
 COSINE = 0.9
-SHARD_ROWS = 8192
+# A search takes steps with the logarithm of a shard and is made once per shard, so shards are
+# as large as a task's memory lets them be. Queries of a shard are dealt to several tasks.
+SHARD_ROWS = 65_536
+QUERY_ROWS = 4096
 NEIGHBOURS = 16
 BUILD_BEAM = 64
 SEARCH_BEAM = 48
@@ -168,8 +171,10 @@ def search_graph(graph: Graph, queries: np.ndarray, width: int) -> tuple[np.ndar
     return beam_search(graph.unit, graph.levels[0], queries, at, width)
 
 
-def _scan(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(queries @ graph.unit.T >= least)
+def _in_parts(rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """Rows in parts that keep a matrix of ``width`` columns below a few million entries."""
+    each = max(16, min(_BLOCK, (1 << 21) // max(1, width)))
+    return [rows[k : k + each] for k in range(0, len(rows), each)]
 
 
 def _audited_width(graph: Graph, queries: np.ndarray, least: float) -> int:
@@ -201,14 +206,18 @@ def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float) -> Iterato
         open_rows, width = np.arange(start, min(len(queries), start + _BLOCK)), base
         while len(open_rows):
             if 4 * width >= len(graph.unit):
-                a, k = _scan(graph, queries[open_rows], least)
-                yield open_rows[a], k
+                for rows in _in_parts(open_rows, len(graph.unit)):
+                    a, k = np.nonzero(queries[rows] @ graph.unit.T >= least)
+                    yield rows[a], k
                 break
-            ids, sims = search_graph(graph, queries[open_rows], width)
-            full = (sims >= least).sum(1) >= min(width, ids.shape[1]) * 3 // 4
-            a, k = np.nonzero((sims >= least) & ~full[:, None])
-            yield open_rows[a], ids[a, k]
-            open_rows, width = open_rows[full], 2 * width
+            still = []
+            for rows in _in_parts(open_rows, width):
+                ids, sims = search_graph(graph, queries[rows], width)
+                full = (sims >= least).sum(1) >= min(width, ids.shape[1]) * 3 // 4
+                a, k = np.nonzero((sims >= least) & ~full[:, None])
+                yield rows[a], ids[a, k]
+                still.append(rows[full])
+            open_rows, width = np.concatenate(still), 2 * width
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -318,14 +327,14 @@ def near_duplicates(rows: DataFrame, threshold: float = COSINE, shard_rows: int
     placed = reps.withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
     graphs = stored(placed.select("dim", "shard", "vec_id", "copies", "embedding").groupBy("dim", "shard").applyInArrow(_build, _GRAPH), "graphs")
 
-    # As many query groups as shards: a task holds one graph and about as many queries as nodes.
-    asked = placed.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.col("shards")).cast("int"))
+    # A task holds one graph and one group of queries.
+    groups = F.lit(1)
+    for dim, count in counts.items():
+        groups = F.when(F.col("dim") == dim, -(-count // QUERY_ROWS)).otherwise(groups)
+    asked = placed.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), groups).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     asked = asked.select("dim", "shard", "part", "vec_id", "embedding")
-    parts = F.lit(1)
-    for dim, count in counts.items():
-        parts = F.when(F.col("dim") == dim, max(1, -(-count // shard_rows))).otherwise(parts)
-    spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
     keys = ["dim", "shard", "part"]
     found = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(threshold), "src long, dst long, links long")
     found = cut_lineage(found)
