@@ -27,7 +27,7 @@ COSINE = 0.9
 # A search takes steps with the logarithm of a shard and is made once per shard, so shards are
 # as large as a task's memory lets them be. Queries of a shard are dealt to several tasks.
 SHARD_ROWS = 65_536
-QUERY_ROWS = 4096
+QUERY_ROWS = 8192
 NEIGHBOURS = 16
 BUILD_BEAM = 64
 SEARCH_BEAM = 48
@@ -36,6 +36,9 @@ AUDIT_RECALL = 0.99
 _MARGIN = 1e-4  # single precision in the search, double in the check
 _STEP = 4  # nodes of a beam opened at once
 _BLOCK = 1024
+# A beam gathers some 32 nodes for each of its own one by one, which costs as much as a product
+# with about this many nodes of the shard in their order.
+_SCAN = 512
 
 
 class Graph(NamedTuple):
@@ -58,7 +61,7 @@ def beam_search(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entrie
     count = len(queries)
     visited = np.zeros((count, len(unit)), bool)
     rows = np.arange(count)
-    ids = entries.reshape(count, -1).astype(np.int64)
+    ids = entries.reshape(count, -1).astype(links.dtype)
     sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", queries, unit[np.maximum(ids, 0)]), -np.inf)
     visited[rows[:, None], np.maximum(ids, 0)] = True
     opened = ids < 0
@@ -100,41 +103,50 @@ def beam_search(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entrie
 
 def _choose(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, count: int) -> np.ndarray:
     """Per row up to ``count`` neighbours: candidates nearer to the node than to a chosen one, then the nearest left."""
+    return np.concatenate([_choose_rows(unit, *(x[k : k + _BLOCK] for x in (own, ids, sims)), count) for k in range(0, len(ids), _BLOCK)])
+
+
+def _choose_rows(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, count: int) -> np.ndarray:
     order = np.argsort(-sims, axis=1, kind="stable")[:, : 4 * count]
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     good = (ids >= 0) & (ids != own[:, None]) & (sims > -np.inf)
-    chosen = np.full((len(ids), count), -1, np.int64)
-    fill = np.zeros(len(ids), np.int64)
-    taken = np.zeros(ids.shape, bool)
-    for k in range(ids.shape[1]):
-        vector = unit[np.maximum(ids[:, k], 0)]
-        to_chosen = np.where(chosen >= 0, np.einsum("bd,bkd->bk", vector, unit[np.maximum(chosen, 0)]), -np.inf).max(1)
-        take = np.flatnonzero(good[:, k] & (fill < count) & (to_chosen < sims[:, k]))
-        chosen[take, fill[take]] = ids[take, k]
-        fill[take] += 1
-        taken[take, k] = True
+    near = unit[np.maximum(ids, 0)]
+    mutual = near @ near.transpose(0, 2, 1)
+    shaded, taken = ~good, np.zeros(ids.shape, bool)
     for k in range(ids.shape[1]):
-        take = np.flatnonzero(good[:, k] & ~taken[:, k] & (fill < count))
-        chosen[take, fill[take]] = ids[take, k]
-        fill[take] += 1
-    return chosen
+        taken[:, k] = ~shaded[:, k]
+        shaded |= taken[:, [k]] & (mutual[:, k] >= sims)
+    # Chosen ones first, then other good ones, each from the nearest on.
+    first = np.argsort(np.where(taken, 0, np.where(good, 1, 2)), axis=1, kind="stable")[:, :count]
+    chosen = np.where(np.take_along_axis(good, first, 1), np.take_along_axis(ids, first, 1), -1)
+    return np.pad(chosen, ((0, 0), (0, count - chosen.shape[1])), constant_values=-1)
 
 
 def _link_back(unit: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen: np.ndarray) -> None:
-    """Add ``nodes`` to the lists of their chosen neighbours; full lists are chosen anew."""
+    """Add ``nodes`` to the lists of their chosen neighbours; lists that would overflow are chosen anew."""
     a, k = np.nonzero(chosen >= 0)
     to, source = chosen[a, k], nodes[a]
+    new = (links[to] != source[:, None]).all(1)
+    to, source = to[new], source[new]
     order = np.argsort(to, kind="stable")
     to, source = to[order], source[order]
     targets, first, counts = np.unique(to, return_index=True, return_counts=True)
     width = links.shape[1]
-    rank = np.arange(len(to)) - np.repeat(first, counts)
-    keep = rank < 2 * width
-    extra = np.full((len(targets), min(int(counts.max(initial=0)), 2 * width)), -1, np.int64)
-    extra[np.repeat(np.arange(len(targets)), counts)[keep], rank[keep]] = source[keep]
-    ids = np.concatenate((links[targets], extra), 1)
-    sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", unit[targets], unit[np.maximum(ids, 0)]), -np.inf)
-    links[targets] = _choose(unit, targets, ids, sims, width)
+    row = np.repeat(np.arange(len(targets)), counts)
+    rank = np.arange(len(to)) - first[row]
+    held = (links[targets] >= 0).sum(1)
+    over = held + counts > width
+    fits = ~over[row]
+    links[to[fits], (held[row] + rank)[fits]] = source[fits]
+    if not over.any():
+        return
+    full, place = targets[over], np.cumsum(over) - 1
+    keep = over[row] & (rank < 2 * width)
+    extra = np.full((len(full), min(int(counts[over].max()), 2 * width)), -1, np.int64)
+    extra[place[row[keep]], rank[keep]] = source[keep]
+    ids = np.concatenate((links[full], extra), 1)
+    sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", unit[full], unit[np.maximum(ids, 0)]), -np.inf)
+    links[full] = _choose(unit, full, ids, sims, width)
 
 
 def build_graph(unit: np.ndarray, seed: int = 0) -> Graph:
@@ -143,7 +155,7 @@ def build_graph(unit: np.ndarray, seed: int = 0) -> Graph:
     rng = np.random.default_rng(seed)
     height = np.minimum((-np.log(rng.random(n)) / np.log(NEIGHBOURS)).astype(np.int64), 6)
     order = np.argsort(-height, kind="stable")  # the highest first, so that the entry never changes
-    levels = [np.full((n, NEIGHBOURS * (2 if k == 0 else 1)), -1, np.int64) for k in range(int(height.max(initial=0)) + 1)]
+    levels = [np.full((n, NEIGHBOURS * (2 if k == 0 else 1)), -1, np.int32) for k in range(int(height.max(initial=0)) + 1)]
     entry, done = int(order[0]), 1
     while done < n:
         batch = order[done : done + min(done, 512)]
@@ -205,7 +217,8 @@ def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float) -> Iterato
     for start in range(0, len(queries), _BLOCK):
         open_rows, width = np.arange(start, min(len(queries), start + _BLOCK)), base
         while len(open_rows):
-            if 4 * width >= len(graph.unit):
+            # A beam to be widened gives way to the whole shard as soon as that is the lesser work.
+            if 4 * width >= len(graph.unit) or (width > base and _SCAN * width >= len(graph.unit)):
                 for rows in _in_parts(open_rows, len(graph.unit)):
                     a, k = np.nonzero(queries[rows] @ graph.unit.T >= least)
                     yield rows[a], k
@@ -241,7 +254,7 @@ def _build(table: pa.Table) -> pa.Table:
     row = {
         "dim": table.column("dim")[0].as_py(), "shard": table.column("shard")[0].as_py(),
         "ids": table.column("vec_id").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(),
-        "vectors": vectors.tobytes(), "links": [x.astype(np.int32).tobytes() for x in graph.levels], "entry": graph.entry,
+        "vectors": vectors.tobytes(), "links": [x.tobytes() for x in graph.levels], "entry": graph.entry,
     }
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
     return pa.Table.from_pylist([row], pa.schema(list(zip(row, types))))
@@ -273,7 +286,7 @@ def _search(threshold: float):
         row = graphs.slice(0, 1).to_pylist()[0]
         ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
         vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-        levels = [np.frombuffer(x, np.int32).reshape(len(ids), -1).astype(np.int64) for x in row["links"]]
+        levels = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row["links"]]
         graph = Graph(_unit(vectors), levels, row["entry"])
         asked = asked.sort_by("vec_id")
         own_ids, own = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"))
