@@ -29,6 +29,7 @@ except ModuleNotFoundError:
     corpus_pipeline = None
 
 HAMMING = 18
+NEAR_HAMMING = 4
 COSINE = 0.40
 TERM_COSINE = 0.95
 EXCLUSIONS = ["src1", "/corpus/src2", "src1?", "*/src7/*"]
@@ -83,6 +84,10 @@ def media_metadata(spark, d):
     return media.video_metadata(corpus.media_tracks(spark, d))
 
 
+def audio_metadata(spark, d):
+    return media.audio_metadata(corpus.audio_tags(spark, d))
+
+
 def exif_projection(spark, d):
     return media.exif_names(corpus.exif_tags(spark, d))
 
@@ -138,6 +143,11 @@ def refine_text_select(spark, d):
     return incremental.text_to_refine(corpus.pending_index(spark, d)).select("path", "mime_type", "size_bytes")
 
 
+def refine_retry_select(spark, d):
+    """Rows tried without an extractor for their type are taken again, the others are not."""
+    return incremental.text_to_refine(corpus.tried_index(spark, d)).select("path", "mime_type", "size_bytes")
+
+
 def refine_text_by_path(spark, d):
     chosen = incremental.text_to_refine_under(corpus.pending_index(spark, d), REFINE_PREFIXES)
     return chosen.select("path", "mime_type", "size_bytes")
@@ -224,6 +234,11 @@ def image_band_pairs(spark, d):
     return similarity.similar_images(corpus.images_with_copies(spark, d), HAMMING, method="bands")
 
 
+def image_near_pairs(spark, d):
+    """The threshold users work with, over images with planted near copies."""
+    return similarity.similar_images(corpus.images_with_near_copies(spark, d), NEAR_HAMMING)
+
+
 def image_similar_groups(spark, d):
     return reports.image_similar_groups(corpus.images_with_copies(spark, d), HAMMING)
 
@@ -252,6 +267,14 @@ def semantic_search(spark, d):
     return reports.semantic_search(index, query)
 
 
+def search_text(spark, d):
+    """Documents most like the first one that has words, given as a text."""
+    docs = spread(corpus.documents_as_files(spark, d).select("path", "content", "mtime"), "path")
+    text = docs.where(F.trim("content") != "").orderBy("mtime").select("content").first()[0]
+    index = docs.select("path", vectors.embed_text(F.col("content")).alias("content_embedding"))
+    return reports.search_text(index, text)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator of the inventory that can run over the given tables."""
     listed = [
@@ -262,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lonely_files, lonely_files_count, largest_files, type_summary, pronom_summary, scan_history, error_rollup,
         image_dupes_exact, image_similar_pairs, image_band_pairs, image_similar_groups, similar_text_pairs,
         similar_text_groups, similar_docs_sparse, group_pairs, semantic_search,
+        search_text, image_near_pairs, audio_metadata, refine_retry_select,
     ]
     named = {f.__name__: f for f in listed} | LLM_QUERIES
     if corpus_pipeline:
@@ -322,26 +346,33 @@ def _format_update(condition: str) -> str:
     FROM files f LEFT JOIN (SELECT * FROM hits WHERE puid <> '' AND {condition}) h ON f.path = h.path"""
 
 
-def _luhn(number: str) -> str:
-    """Luhn test of a string of 16 digits."""
-    return f"""(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1
-        THEN (2 * CAST(substr({number}, i, 1) AS INTEGER)) // 10 + (2 * CAST(substr({number}, i, 1) AS INTEGER)) % 10
-        ELSE CAST(substr({number}, i, 1) AS INTEGER) END)) % 10 = 0)"""
-
-
-def _pii_case(rule: pii.PiiRule) -> str:
-    if rule.validator is None:
-        return f"CASE WHEN regexp_matches(content, '{rule.pattern}') THEN '{rule.entity_type}' END"
-    digits = "regexp_replace(m, '[ -]', '', 'g')"
-    found = f"list_filter(regexp_extract_all(content, '{rule.pattern}'), lambda m: {_luhn(digits)})"
-    return f"CASE WHEN len({found}) > 0 THEN '{rule.entity_type}' END"
+# Written out by hand, apart from the rules under test.
+_PII_KINDS = r"""
+  CASE WHEN len(list_filter(regexp_extract_all(content, '\b\d{4}[ -]?\d{3,4}[ -]?\d{3,4}[ -]?\d{3,5}\b'), lambda m:
+      list_sum(list_transform(range(1, len(regexp_replace(m, '[ -]', '', 'g')) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER)
+        ELSE (2 * CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER)) // 10
+           + (2 * CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER)) % 10 END)) % 10 = 0)) > 0
+    THEN 'CREDIT_CARD' END,
+  CASE WHEN regexp_matches(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'EMAIL_ADDRESS' END,
+  CASE WHEN len(list_filter(regexp_extract_all(content, '\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b'),
+      lambda m: list_reduce(list_prepend(0, list_transform(
+        string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+        lambda a, v: (a * (CASE WHEN v < 10 THEN 10 ELSE 100 END) + v) % 97) = 1)) > 0 THEN 'IBAN_CODE' END,
+  CASE WHEN regexp_matches(content, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b')
+         OR regexp_matches(content, '\b(?:[[:xdigit:]]{1,4}:){7}[[:xdigit:]]{1,4}\b')
+         OR regexp_matches(content, '\b(?:[[:xdigit:]]{1,4}:){1,6}(?::[[:xdigit:]]{1,4}){1,6}\b') THEN 'IP_ADDRESS' END,
+  CASE WHEN regexp_matches(content, '(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b') THEN 'PHONE_NUMBER' END,
+  CASE WHEN regexp_matches(content, 'https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'URL' END,
+  CASE WHEN regexp_matches(content, '\b\d{3}-\d{2}-\d{4}\b') THEN 'US_SSN' END,
+  CASE WHEN regexp_matches(content, '\b\d{8}[A-HJ-NP-TV-Z]\b') THEN 'ES_NIF' END,
+  CASE WHEN regexp_matches(content, '\b[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}\b') THEN 'FR_NIR' END"""
 
 
 def _pii(separator: str) -> str:
-    chosen = [r for r in pii.PII_RULES if not r.languages or set(r.languages) & set(LANGUAGES)]
-    cases = ", ".join(_pii_case(r) for r in chosen)
     return f"""{_FILES}, found AS (
-      SELECT path, list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)) AS kinds FROM files),
+      SELECT path, list_sort(list_filter([{_PII_KINDS}], lambda x: x IS NOT NULL)) AS kinds FROM files),
     pii AS (SELECT path, CASE WHEN len(kinds) > 0 THEN array_to_string(kinds, '{separator}') END AS pii_types FROM found)"""
 
 
@@ -352,12 +383,20 @@ def _size_text(size: str) -> str:
     return f"CASE {whens} ELSE {text_of[4]} END"
 
 
-_IMAGE_EDGES = f"""{_IMAGES}, reps AS (SELECT bits, min(path) AS path FROM copied GROUP BY bits),
+def _image_edges(rows: str, limit: int) -> str:
+    return f"""reps AS (SELECT bits, min(path) AS path FROM {rows} GROUP BY bits),
 edges AS (
-  SELECT r.path AS src, c.path AS dst, 0 AS distance FROM copied c JOIN reps r USING (bits) WHERE c.path <> r.path
+  SELECT r.path AS src, c.path AS dst, 0 AS distance FROM {rows} c JOIN reps r USING (bits) WHERE c.path <> r.path
   UNION ALL
   SELECT a.path, b.path, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) FROM reps a JOIN reps b
-    ON a.path < b.path AND bit_count(xor(a.bits, b.bits)) <= {HAMMING})"""
+    ON a.path < b.path AND bit_count(xor(a.bits, b.bits)) <= {limit})"""
+
+
+_IMAGE_EDGES = f"{_IMAGES}, {_image_edges('copied', HAMMING)}"
+_NEAR_EDGES = f"""{_IMAGES}, near AS (
+  SELECT path, bits FROM copied UNION ALL
+  SELECT replace(path, '/img/', '/img/near/'), xor(bits, 7::UBIGINT * CAST(pow(2, 61 - vec_id % 62) AS UBIGINT))
+  FROM images WHERE vec_id IN (SELECT doc_id FROM labels)), {_image_edges('near', NEAR_HAMMING)}"""
 _VECTOR_EDGES = f"""vecs AS (SELECT '/vec/' || vec_id AS path, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 reps AS (SELECT v, min(path) AS path FROM vecs GROUP BY v),
 edges AS (
@@ -433,6 +472,14 @@ def _table_sql() -> dict[str, str]:
             SELECT v.path, v.k * 16 AS width, v.k * 9 AS height, v.event_id * 10 AS duration_ms, v.value AS frame_rate,
                    'codec-' || v.k AS codec, 'format-' || v.k AS format, 'format-' || a.k AS audio_codec
             FROM v LEFT JOIN a ON v.path = a.path AND a.n = 1 WHERE v.n = 1""",
+        "audio_metadata": f"""WITH {_EVENTS}, t AS (
+              SELECT '/audio/' || user_id || '.mp3' AS path, event_id, k % 9 AS field, 'v' || k AS value FROM ev WHERE k % 10 <> 0),
+            f AS (SELECT path, field, arg_min(value, event_id) AS value FROM t GROUP BY path, field)
+            SELECT path, max(value) FILTER (field = 0) AS artist, max(value) FILTER (field = 1) AS album,
+                   max(value) FILTER (field = 2) AS album_artist, max(value) FILTER (field = 3) AS title,
+                   max(value) FILTER (field = 4) AS track, max(value) FILTER (field = 5) AS year,
+                   max(value) FILTER (field = 6) AS duration_s, max(value) FILTER (field = 7) AS genre,
+                   max(value) FILTER (field = 8) AS bitrate_kbps FROM f GROUP BY path""",
         "exif_projection": f"""WITH {_EVENTS}, t AS (
               SELECT '/photo/' || user_id || '.jpg' AS path, k + 256 AS tag_id, max(event_id) AS last FROM ev GROUP BY 1, 2)
             SELECT path, CASE tag_id {tag_names} ELSE CAST(tag_id AS VARCHAR) END AS tag, CAST(last AS VARCHAR) AS value
@@ -465,6 +512,9 @@ def _table_sql() -> dict[str, str]:
             WHERE path IN (SELECT path FROM marks)""",
         "refine_text_select": f"""WITH {_PENDING} SELECT path, mime_type, size_bytes FROM pending
             WHERE content IS NULL AND mime_type IN ('text/plain', 'text/html')""",
+        "refine_retry_select": f"""WITH {_DOCS}, {_MARKS} SELECT path,
+            CASE WHEN toxic = 1 THEN 'application/pdf' ELSE mime_type END AS mime_type, size_bytes
+            FROM docs JOIN marks USING (path) WHERE toxic = 1 OR size_bytes > 104857600""",
         "refine_text_by_path": f"""WITH {_PENDING} SELECT path, mime_type, size_bytes FROM pending
             WHERE content IS NULL AND {_PREFIXES}""",
         "refine_image_select": f"""WITH {_PENDING} SELECT path, mime_type FROM pending WHERE mime_type LIKE 'image/%'
@@ -517,6 +567,7 @@ def _table_sql() -> dict[str, str]:
             SELECT perceptual_hash, group_size, path FROM g WHERE group_size > 1 ORDER BY perceptual_hash, path""",
         "image_similar_pairs": f"WITH {_IMAGE_EDGES} SELECT src, dst, distance FROM edges",
         "image_band_pairs": f"WITH {_IMAGE_EDGES} SELECT src, dst, distance FROM edges",
+        "image_near_pairs": f"WITH {_NEAR_EDGES} SELECT src, dst, distance FROM edges",
         "image_similar_groups": _groups(_IMAGE_EDGES, "path"),
         "similar_text_pairs": f"WITH {_VECTOR_EDGES} SELECT src, dst, round(cosine, 6) AS cosine FROM edges",
         "similar_text_groups": _groups(_VECTOR_EDGES, "path"),
@@ -527,6 +578,17 @@ def _table_sql() -> dict[str, str]:
         "group_pairs": _groups("""edges AS (
               SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL
               SELECT 't' || conv_id || '-' || turn, 't' || conv_id || '-' || (turn - 1) FROM conversations WHERE turn > 0)""", "node"),
+        "search_text": rf"""WITH {_DOCS}, w AS (
+              SELECT path, unnest(regexp_split_to_array(lower(content), '[ \t\n\r\f\x0b]+')) AS word FROM docs),
+            tf AS (SELECT path, CAST(('0x' || substr(md5(word), 1, 8)) AS UBIGINT) % {vectors.DIMENSIONS} AS dim, count(*) AS n
+                   FROM w WHERE word <> '' GROUP BY 1, 2),
+            norms AS (SELECT path, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM tf GROUP BY path),
+            q AS (SELECT path FROM docs WHERE trim(content) <> '' ORDER BY mtime LIMIT 1),
+            dots AS (SELECT a.path, CAST(sum(a.n * b.n) AS DOUBLE) AS dot FROM tf a JOIN tf b ON a.dim = b.dim
+                     WHERE b.path IN (SELECT path FROM q) GROUP BY a.path),
+            s AS (SELECT n.path, coalesce(dot, 0) / (n.norm * (SELECT norm FROM norms WHERE path IN (SELECT path FROM q))) AS c
+                  FROM norms n LEFT JOIN dots d ON n.path = d.path)
+            SELECT path, round(c, 4) AS score FROM s ORDER BY round(c, 12) DESC, path LIMIT 10""",
         "semantic_search": f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
             s AS (SELECT '/vec/' || vec_id AS path, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS c FROM embeddings, q)
             SELECT path, round(c, 4) AS score FROM s ORDER BY c DESC, path LIMIT 10""",

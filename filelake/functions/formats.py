@@ -149,7 +149,6 @@ def _match(signature: Signature, head: Column, tail: Column) -> Column:
 
 def best_signature(head: Column, tail: Column, signatures: list[Signature] | None = None) -> Column:
     """``struct(mime_type, puid)`` of the first matching signature, or NULL."""
-    head = F.substring(head, 1, HEAD_BYTES)
     found = [
         F.when(_match(s, head, tail), F.struct(F.lit(s.mime_type).alias("mime_type"), F.lit(s.puid).alias("puid")))
         for s in (SIGNATURES if signatures is None else signatures)

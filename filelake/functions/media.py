@@ -39,6 +39,16 @@ def video_json(videos: DataFrame) -> DataFrame:
     return videos.select("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("exif_data"))
 
 
+def audio_metadata(tags: DataFrame) -> DataFrame:
+    """One row per audio file of ``(path, field, value, seq)`` rows: the first value of every field, fields by name.
+
+    A field without a value is NULL; a file without any has no row.
+    """
+    known = tags.where(F.col("field").isin(AUDIO_TAGS) & F.col("value").isNotNull())
+    firsts = [F.min_by(F.when(F.col("field") == n, F.col("value")), F.when(F.col("field") == n, F.col("seq"))).alias(n) for n in AUDIO_TAGS]
+    return known.groupBy("path").agg(*firsts)
+
+
 def audio_json(tags: DataFrame) -> DataFrame:
     """``exif_data`` of audio files drops fields without a value."""
     return tags.select("path", F.to_json(F.struct(*AUDIO_TAGS)).alias("exif_data"))

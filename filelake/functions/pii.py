@@ -20,13 +20,17 @@ class PiiRule(NamedTuple):
 
 # Fixed values. No look-around and no back-references, so that any engine can run them.
 PII_RULES = [
-    PiiRule("CREDIT_CARD", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", validator="luhn"),
+    PiiRule("CREDIT_CARD", r"\b[0-9]{4}[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}[ -]?[0-9]{3,5}\b", validator="luhn"),
     PiiRule("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    PiiRule("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"),
+    PiiRule(
+        "IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", validator="mod97"
+    ),
     PiiRule(
         "IP_ADDRESS",
         r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     ),
+    PiiRule("IP_ADDRESS", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"),
+    PiiRule("IP_ADDRESS", r"\b(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b"),
     PiiRule("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b"),
     PiiRule("URL", r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     PiiRule("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("en",)),
@@ -35,11 +39,26 @@ PII_RULES = [
 ]
 
 
+def _luhn(value: Column) -> Column:
+    return F.call_function("luhn_check", F.regexp_replace(value, "[ -]", ""))
+
+
+def _mod97(value: Column) -> Column:
+    """ISO 7064 check: the first four signs go to the end, letters count from 10."""
+    plain = F.regexp_replace(value, " ", "")
+    signs = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+    step = lambda rest, c: F.when(c.between("0", "9"), rest * 10 + F.ascii(c) - 48).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.filter(signs, lambda c: c != ""), F.lit(0), step) == 1
+
+
+_VALIDATORS = {"luhn": _luhn, "mod97": _mod97}
+
+
 def _hit(text: Column, rule: PiiRule) -> Column:
     if rule.validator is None:
         return text.rlike(rule.pattern)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    valid = F.exists(found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
+    valid = F.exists(found, _VALIDATORS[rule.validator])
     # The cheap test first: most texts have no candidate at all.
     return text.rlike(rule.pattern) & valid
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelake.functions.media import AUDIO_TAGS
+from filelake.functions.text import is_extractable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -72,6 +75,14 @@ def pending_index(spark: SparkSession, folder: str) -> DataFrame:
     return files.unionByName(pending_images(spark, folder), allowMissingColumns=True)
 
 
+def tried_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Judged documents without text after a run; the toxic ones have a type that had no extractor."""
+    docs = documents_as_files(spark, folder).join(labelled_paths(spark, folder), "path")
+    docs = docs.withColumn("mime_type", F.when(F.col("toxic") == 1, "application/pdf").otherwise(F.col("mime_type")))
+    tried = F.coalesce(is_extractable(F.col("mime_type"), F.col("size_bytes")), F.lit(False))
+    return docs.withColumn("content", F.lit(None).cast("string")).withColumn("text_extracted", tried)
+
+
 def sign_hash() -> Column:
     """16 hex digits of the sign bits of a vector of 64 numbers, the first one on top."""
     bits = F.transform("embedding", lambda x: F.when(x > 0, F.lit("1")).otherwise(F.lit("0")))
@@ -93,6 +104,18 @@ def images_with_copies(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(copies).select("path", "mime_type", "perceptual_hash")
 
 
+def images_with_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Images and copies, and once more the copied ones with three neighbouring bits of the hash turned."""
+    rows = images(spark, folder)
+    marks = table(spark, folder, "labels").select(F.col("doc_id").alias("vec_id"))
+    first = F.pmod(F.col("vec_id"), F.lit(62))
+    turned = F.transform("embedding", lambda x, i: ((x > 0) != ((i >= first) & (i < first + 3))).cast("double"))
+    near = rows.join(marks, "vec_id", "left_semi").withColumn("embedding", turned)
+    path = F.replace("path", F.lit("/img/"), F.lit("/img/near/"))
+    near = near.select(path.alias("path"), "mime_type", sign_hash().alias("perceptual_hash"))
+    return images_with_copies(spark, folder).unionByName(near)
+
+
 def pending_images(spark: SparkSession, folder: str) -> DataFrame:
     """Images of which those with a negative first component have no hash yet."""
     rows = images(spark, folder)
@@ -143,6 +166,18 @@ def exif_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def audio_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event is a tag of its user's recording; numbers that end in 0 have no value."""
+    names = F.array(*[F.lit(n) for n in AUDIO_TAGS])
+    value = F.when(F.col("k") % 10 != 0, F.concat(F.lit("v"), F.col("k").cast("string")))
+    return _events(spark, folder).select(
+        F.concat(F.lit("/audio/"), F.col("user_id").cast("string"), F.lit(".mp3")).alias("path"),
+        F.element_at(names, (F.col("k") % len(AUDIO_TAGS) + 1).cast("int")).alias("field"),
+        value.alias("value"),
+        F.col("event_id").alias("seq"),
+    )
+
+
 def root_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Top-level names below one root per user; some of them are marker names."""
     names = {"error": "Windows", "signup": "pagefile.sys", "view": "Library", "click": "home", "purchase": "srv"}

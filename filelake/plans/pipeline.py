@@ -32,7 +32,7 @@ from filelake.schemas import FILE_METADATA
 from filelake.session import cut_lineage
 from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable, last_entries
 from filelake.sources.index_store import IndexStore
-from filelake.sources.listing import list_files
+from filelake.sources.listing import walk
 from filelake.sources.probe import present_files, probe_files, text_chunks, with_bytes
 
 # Folders named to the image source in one read; extensions are named up to their number.
@@ -118,8 +118,8 @@ def to_metadata(files: DataFrame) -> DataFrame:
 
 
 def derive(probed: DataFrame, options: ScanOptions, archived: bool = False, from_disk: bool = True) -> DataFrame:
-    """Index rows of probed files; bytes are taken from ``content`` unless ``from_disk``."""
-    typed = with_format(probed.where("error is null")).withColumn("is_archived_file", F.lit(archived))
+    """Index rows of probed files with their types; bytes are taken from ``content`` unless ``from_disk``."""
+    typed = probed.where("error is null").withColumn("is_archived_file", F.lit(archived))
     if options.identify_formats:
         typed = typed.withColumn("pronom_id", F.col("puid"))
     if options.extract_text:
@@ -163,11 +163,11 @@ def image_hash_stage(needed: DataFrame) -> DataFrame:
 
 def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)`` for listed files, archive members included."""
-    probed = cut_lineage(probe_files(drop_junk(listing)))
+    # Types are found once, before the rows are kept; the bytes they come from are not kept.
+    probed = cut_lineage(with_format(probe_files(drop_junk(listing))).drop("head", "tail"))
     rows = derive(probed, options)
-    # Types need no text, so the members do not wait for it.
-    typed = with_format(probed.where("error is null"))
-    members = last_entries(cut_lineage(archive_members(typed, options)))
+    typed = probed.where("error is null")
+    members = last_entries(cut_lineage(with_format(archive_members(typed, options)).drop("head", "tail")))
     rows = rows.unionByName(derive(drop_junk(members), options, archived=True, from_disk=False))
     if options.perceptual_hash:
         images = typed.where(F.col("mime_type").startswith("image")).select("path", "size_bytes", "mtime")
@@ -198,12 +198,17 @@ def scan(store: IndexStore, roots: Sequence[str], options: ScanOptions | None =
     store.log(scan_id=scan_id, event_time=start, start_time=start, root_paths=list(roots), files_scanned=0, status="started")
     status, count = "failed", 0
     try:
-        listing = list_files(spark, roots, options.rules)
+        listing, unlisted = walk(spark, roots, options.rules)
         if incremental:
             listing = cut_lineage(changed_files(listing, store.read()))
         rows, errors = build_rows(listing, options)
-        if not listing.isEmpty():
-            count = store.count_of(store.replace(rows))
+        errors = errors.unionByName(
+            unlisted.select(F.current_timestamp().alias("ts"), F.lit("listing").alias("stage"), "path", F.col("error").alias("message"))
+        )
+        # The log counts the files taken from the listing, not what archives held.
+        count = listing.count()
+        if count:
+            store.replace(rows)
         status = "completed"
         return errors
     finally:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelake.functions.vectors import cosine_to
+from filelake.functions.vectors import cosine_to, hashed_encoder
 from filelake.operators.components import connected_components
 from filelake.operators.similarity import similar_images, similar_vectors
 from filelake.operators.skew import with_group_stats
@@ -75,10 +77,18 @@ def semantic_search(index: DataFrame, query: list[float], limit: int = 10) -> Da
     scored = index.where("content_embedding is not null").select(
         "path", cosine_to(F.col("content_embedding"), query).alias("__score")
     )
-    top = scored.orderBy(F.desc("__score"), "path").limit(limit)
+    # Equal vectors tie, whatever the last bits of their sums.
+    top = scored.orderBy(F.desc(F.round("__score", 12)), "path").limit(limit)
     return top.select("path", F.round("__score", 4).alias("score"))
 
 
+def search_text(index: DataFrame, text: str, limit: int = 10, make_encoder: Callable = hashed_encoder) -> DataFrame:
+    """Files most similar to a text, which is encoded as the index was."""
+    if not text.strip():
+        raise ValueError("the query is empty")
+    return semantic_search(index, [float(x) for x in make_encoder()(text)], limit)
+
+
 def largest_files(index: DataFrame, limit: int = 20) -> DataFrame:
     return index.select("path", "size_bytes").orderBy(F.desc("size_bytes"), "path").limit(limit)
 

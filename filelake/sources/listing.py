@@ -75,7 +75,7 @@ def _read_folders(rules: list[str], case_sensitive: bool):
                             if len(rows) >= 10_000:
                                 yield pd.DataFrame(rows, columns=_NAMES)
                                 rows = []
-                except (PermissionError, FileNotFoundError):
+                except FileNotFoundError:
                     continue
                 except OSError as e:
                     rows.append((None, f"{type(e).__name__}: {e}", folder, "", "", "", 0, 0.0))
@@ -93,25 +93,39 @@ def list_files(
     case_sensitive: bool = True,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """Every regular file below the roots: path, name, extension, folder, size and mtime.
+    """Every regular file below the roots: path, name, extension, folder, size and mtime."""
+    return walk(spark, roots, exclude, system_defaults, case_sensitive, parallelism)[0]
+
+
+def walk(
+    spark: SparkSession,
+    roots: Iterable[str],
+    exclude: Iterable[str] = (),
+    system_defaults: bool = True,
+    case_sensitive: bool = True,
+    parallelism: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The files below the roots, and ``(path, error)`` of roots that are no folders and of folders that cannot be read.
 
     Nested roots may reach a file twice, so rows are made distinct by path when there are
     several roots.
     """
-    good, _ = resolve_roots(roots)
+    good, bad = resolve_roots(roots)
     rules = sorted(set(exclude) | (set(system_rules(spark, good)) if system_defaults else set()))
     parallelism = parallelism or spark.sparkContext.defaultParallelism * 4
     read = _read_folders(rules, case_sensitive)
 
     files: DataFrame = spark.createDataFrame([], LISTING)
+    errors = spark.createDataFrame([(b, "not a folder") for b in bad], "path string, error string")
     folders = spark.createDataFrame([(r,) for r in good], "path string")
     while True:
         level = cut_lineage(folders.repartition(parallelism).mapInPandas(read, _LEVEL))
         files = files.unionByName(level.where(~F.col("is_dir")).select(*LISTING.names))
+        errors = errors.unionByName(level.where("error is not null").select("path", "error"))
         folders = level.where("is_dir").select("path")
         if folders.isEmpty():
             break
-    return files.dropDuplicates(["path"]) if len(good) > 1 else files
+    return (files.dropDuplicates(["path"]), errors.distinct()) if len(good) > 1 else (files, errors)
 
 
 def system_rules(spark: SparkSession, roots: list[str]) -> list[str]:

@@ -54,8 +54,8 @@ def ingest(
         fresh = cut_lineage(changed_files(files.select("path", "mtime"), store.read()).select("path"))
         if fresh.isEmpty():
             return
-        files = files.join(fresh, "path", "left_semi")
-        members = last_entries(cut_lineage(archive_members(with_format(files), options)))
+        files = with_format(files.join(fresh, "path", "left_semi"))
+        members = last_entries(cut_lineage(with_format(archive_members(files, options)).drop("head", "tail")))
         rows = derive(files, options, from_disk=False).unionByName(
             derive(drop_junk(members), options, archived=True, from_disk=False)
         )

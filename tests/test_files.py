@@ -386,3 +386,35 @@ def test_scan_faults_stay_mended(spark, mixed_tree, tmp_path, monkeypatch):
     os.utime(mixed_tree / "p.png", (2_000_000_000, 2_000_000_000))
     ingest(store, str(mixed_tree), str(tmp_path / "checkpoint")).awaitTermination()
     assert rows()["p.png"].mtime == 2_000_000_000 and rows()["p.png"].perceptual_hash == first["p.png"].perceptual_hash
+
+
+def test_document_told_by_its_whole_directory(spark, tmp_path):
+    """A document whose text lies behind many bytes of other entries is no archive."""
+    late = zip_bytes({"docProps/thumb.bin": os.urandom(9000), "word/document.xml": zipfile.ZipFile(io.BytesIO(docx_bytes("late text"))).read("word/document.xml")})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "late.docx").write_bytes(late)
+    (tmp_path / "in" / "broken.bin").write_bytes(late[:5000])
+    store = IndexStore(spark, str(tmp_path / "store"))
+    pipeline.scan(store, [str(tmp_path / "in")])
+    rows = {r.filename: r for r in store.read().where("not is_archived_file").collect()}
+    assert rows["late.docx"].mime_type == DOCX and rows["late.docx"].content == "late text"
+    assert rows["broken.bin"].mime_type == "application/zip"
+    assert store.read().where("path like '%late.docx/%'").count() == 0
+
+
+def test_bad_roots_are_reported(spark, corpus_tree, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "store"))
+    missing = str(tmp_path / "missing")
+    errors = pipeline.scan(store, [str(corpus_tree), missing]).collect()
+    assert [(e.stage, e.path, e.message) for e in errors] == [("listing", missing, "not a folder")]
+    assert store.read().count() == 3
+
+
+def test_scan_counts_listed_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.zip").write_bytes(zip_bytes({"x.txt": b"x", "y.txt": b"y"}))
+    (tmp_path / "in" / "b.txt").write_text("b")
+    store = IndexStore(spark, str(tmp_path / "store"))
+    pipeline.scan(store, [str(tmp_path / "in")])
+    assert store.read().count() == 4
+    assert [r.files_scanned for r in reports.scan_history(store.scan_log()).collect()] == [2]

@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from filelake.functions import formats, media, paths, pii
+from filelake.functions import formats, media, paths, pii, vectors
 from filelake.operators import incremental, rules, upsert
 from filelake.plans import reports
 
@@ -189,6 +189,15 @@ def test_scan_history(spark):
         ("id 12345678Z", ["en", "es"], ["ES_NIF"]),
         ("call (555) 123-4567 or https://example.org", ["en"], ["PHONE_NUMBER", "URL"]),
         ("This is the first file.", ["en"], None),
+        ("cards 378282246310005", ["en"], ["CREDIT_CARD"]),
+        ("cards 3782 822463 10005", ["en"], ["CREDIT_CARD"]),
+        ("cards 3782 822463 10006", ["en"], None),
+        ("at 2001:0db8:0000:0000:0000:ff00:0042:8329", ["en"], ["IP_ADDRESS"]),
+        ("at 2001:db8::ff00:42:8329 or std::vector", ["en"], ["IP_ADDRESS"]),
+        ("std::vector at 10:20:30", ["en"], None),
+        ("pay DE89370400440532013000", ["en"], ["IBAN_CODE"]),
+        ("pay GB82 WEST 1234 5698 7654 32 now", ["en"], ["IBAN_CODE"]),
+        ("pay DE88370400440532013000", ["en"], None),
     ],
 )
 def test_pii(spark, text, languages, types):
@@ -196,6 +205,22 @@ def test_pii(spark, text, languages, types):
     assert df.first().p == types
 
 
+def test_search_by_text(spark):
+    rows = [("a", "red apples and pears"), ("b", "blue sky"), ("c", "red apples and pears"), ("d", None), ("e", "red apples")]
+    index = spark.createDataFrame(rows, "path string, content string").withColumn("content_embedding", vectors.embed_text(F.col("content")))
+    found = [tuple(r) for r in reports.search_text(index, "Red Apples").collect()]
+    assert found[0] == ("e", 1.0) and [f[0] for f in found[1:3]] == ["a", "c"] and "d" not in dict(found)
+    with pytest.raises(ValueError):
+        reports.search_text(index, " \n")
+
+
+def test_audio_fields(spark):
+    rows = [("a", "title", None, 1), ("a", "title", "T", 2), ("a", "title", "U", 3), ("a", "other", "x", 4), ("b", "genre", None, 1)]
+    found = media.audio_metadata(spark.createDataFrame(rows, "path string, field string, value string, seq long"))
+    assert [(r.path, r.title, r.genre) for r in found.collect()] == [("a", "T", None)]
+    assert [r.exif_data for r in media.audio_json(found).collect()] == ['{"title":"T"}']
+
+
 def test_pii_at_the_end_of_a_long_text(spark):
     df = spark.range(1).select(F.concat(F.repeat(F.lit("x "), 700_000), F.lit("a@b.io")).alias("t"))
     assert df.select(pii.pii_types(F.col("t")).alias("p")).first().p == ["EMAIL_ADDRESS"]
