@@ -1,8 +1,10 @@
 """Whole texts to token ids with the tokenizers library, piece by piece.
 
-A byte-level BPE with the usual pre-tokenizer cuts a text before it merges anything, and a
-blank after a character that is not white space always starts a cut. Texts are split there,
-and pieces met before are taken from a bounded cache; only new pieces reach the library.
+The library takes out the tokenizer's added tokens first and treats what lies between them as
+texts of their own, so texts are split there before anything else. A byte-level BPE with the
+usual pre-tokenizer cuts a text before it merges anything, and a blank after a character that
+is not white space always starts a cut. Parts are split there, and pieces met before are taken
+from a bounded cache; only new pieces reach the library.
 """
 
 from __future__ import annotations
@@ -39,13 +41,28 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        # The longest of those that start at one place, as in the library.
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        self._added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        # Texts with tokens that depend on what is beside them go to the library whole.
+        self._whole = any(t.single_word or t.lstrip or t.rstrip for t in added)
         self._limit = cache_pieces
         self._known: dict[str, bytes] = {}
         # What was known before the cache was last full; pieces in use move back.
         self._before: dict[str, bytes] = {}
         self.vocabulary = self._tokenizer.get_vocab_size()
 
+    def _split(self, text: str) -> list[str]:
+        if self._added is None or not self._added.search(text):
+            return _pieces(text)
+        if self._whole:
+            return [text]
+        out: list[str] = []
+        for k, part in enumerate(self._added.split(text)):
+            out += [part] if k % 2 else _pieces(part)
+        return out
+
     def _library(self, pieces: Sequence[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -73,7 +90,7 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        split = [_pieces(t or "") for t in texts]
+        split = [self._split(t or "") for t in texts]
         self._learn(set().union(*split))
         get = self._known.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]

@@ -29,6 +29,18 @@ def test_ids_are_those_of_the_library(library, limit):
     assert [f.tolist() for f in found] == [w.ids for w in wanted]
 
 
+@pytest.mark.parametrize("limit", [500_000, 40])
+def test_added_tokens_are_those_of_the_library(library, limit):
+    end = "<|endoftext|>"
+    texts = [end, end * 3, f"see {end} here", f"a{end}b", f" {end} ", f"x  {end}  y", f"l\n{end}\n\nm", f"don'{end}t", f"<|{end}|>", end[:-1] + end, f"漢{end}字 {end[1:]}"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice([*ODD, end, end, "<|", "|>"]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    found = PieceEncoder(PATH, limit).encode(texts)
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    assert [f.tolist() for f in found] == [w.ids for w in wanted]
+    assert found[0].tolist() == [library.token_to_id(end)]
+
+
 def test_null_is_empty():
     assert PieceEncoder(PATH).encode([None, ""])[0].dtype == np.dtype("<u4")
     assert [len(x) for x in PieceEncoder(PATH).encode([None, ""])] == [0, 0]
