@@ -3,20 +3,21 @@
 Distinct vectors are dealt to shards of bounded size and a graph is built in each. Every
 vector is then searched in every shard, in blocks of queries, with a beam that is widened
 until an audit against a scan of the shard finds the recall high enough, and for single
-queries until the beam reaches below the threshold; a beam that nears the size of the shard
-is a scan. What is found is verified in double precision. A block returns links to the least
-vector of each group it sees, never all pairs of a group, and the links are united to
-components.
+queries until the beam reaches below the threshold and, in its own shard, meets the query
+itself; a beam that nears the size of the shard is a scan. What is found is verified in double
+precision. A block returns links to the least vector of each group it sees, never all pairs of
+a group, and the links are united to components. A link found from one end alone shows in
+the signs of both ends; the components it lies in are scanned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filelake.llm.common import stored
@@ -201,19 +202,22 @@ def _audited_width(graph: Graph, queries: np.ndarray, least: float) -> int:
         a, k = np.nonzero(ids >= 0)
         hit[a, ids[a, k]] = True
         links = truth >= least
-        # Links beyond the width of a beam are met by widening single queries.
-        short = links.sum(1) < width
-        found, wanted = (hit & links)[short].sum(), links[short].sum()
-        if found >= AUDIT_RECALL * wanted and (hit & near).sum() >= 0.9 * np.minimum(near.sum(1), width).sum():
+        # Links beyond the width of a beam are met by widening single queries, so a beam has to be full of them.
+        found, wanted = (hit & links).sum(1), np.minimum(links.sum(1), width)
+        if (found >= AUDIT_RECALL * wanted).all() and (hit & near).sum() >= 0.9 * np.minimum(near.sum(1), width).sum():
             break
         width *= 2
     return width
 
 
-def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (query, node) of cosine about ``threshold`` or more, in blocks of queries."""
+def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray | None = None, scan: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (query, node) of cosine about ``threshold`` or more, in blocks of queries.
+
+    ``own`` has the node that is the query itself, or -1; ``scan`` compares with every node.
+    """
     least = threshold - _MARGIN
-    base = _audited_width(graph, queries, least) if len(queries) else SEARCH_BEAM
+    own = np.full(len(queries), -1) if own is None else own
+    base = len(graph.unit) if scan else _audited_width(graph, queries, least) if len(queries) else SEARCH_BEAM
     for start in range(0, len(queries), _BLOCK):
         open_rows, width = np.arange(start, min(len(queries), start + _BLOCK)), base
         while len(open_rows):
@@ -227,6 +231,8 @@ def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float) -> Iterato
             for rows in _in_parts(open_rows, width):
                 ids, sims = search_graph(graph, queries[rows], width)
                 full = (sims >= least).sum(1) >= min(width, ids.shape[1]) * 3 // 4
+                # A beam that does not meet the query itself has stalled elsewhere.
+                full |= (own[rows] >= 0) & (ids != own[rows][:, None]).all(1)
                 a, k = np.nonzero((sims >= least) & ~full[:, None])
                 yield rows[a], ids[a, k]
                 still.append(rows[full])
@@ -260,7 +266,26 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], pa.schema(list(zip(row, types))))
 
 
-_FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("links", pa.int64())])
+_FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("links", pa.int64()), ("sign", pa.int64())])
+_FOUND_DDL = "src long, dst long, links long, sign long"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _keys(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """A hash of every vector with its id, which ids of several vectors need."""
+    bits = np.ascontiguousarray(vectors).view(np.uint64)
+    return _mixed(_mixed(ids.astype(np.int64).view(np.uint64)) + _mixed(bits + np.arange(bits.shape[1], dtype=np.uint64)).sum(1))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def _least_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +304,7 @@ def _least_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         labels = new
 
 
-def _search(threshold: float):
+def _search(threshold: float, scan: bool = False):
     def task(graphs: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(graphs) or not len(asked):
             return _FOUND.empty_table()
@@ -292,8 +317,11 @@ def _search(threshold: float):
         own_ids, own = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"))
         norms, own_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(own, axis=1)
         links = np.zeros(len(own_ids), np.int64)
+        keys, own_keys = _keys(ids, vectors), _keys(own_ids, own)
+        # The exclusive or of the pairs of a node, once as query and once as found: nothing is left if both are the same.
+        asked_sign, met_sign = np.zeros(len(own_ids), np.uint64), np.zeros(len(ids), np.uint64)
         tied: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, k in linked_pairs(graph, _unit(own), threshold):
+        for a, k in linked_pairs(graph, _unit(own), threshold, _places(keys, own_keys), scan):
             keep = np.zeros(len(a), bool)
             for s in range(0, len(a), 1 << 16):
                 p, q = a[s : s + (1 << 16)], k[s : s + (1 << 16)]
@@ -301,22 +329,60 @@ def _search(threshold: float):
             keep &= own_ids[a] != ids[k]
             a, k = a[keep], k[keep]
             np.add.at(links, a, copies[k])
+            signs = _mixed(_mixed(np.minimum(own_keys[a], keys[k])) + np.maximum(own_keys[a], keys[k]))
+            np.bitwise_xor.at(asked_sign, a, signs)
+            np.bitwise_xor.at(met_sign, k, signs)
             if len(a):
                 # Pairs of a block become stars at once, so groups never pile up as pairs.
                 tied.append(_least_ids(own_ids[a], ids[k]))
         hit = np.flatnonzero(links)
-        src, dst, n = [own_ids[hit]], [own_ids[hit]], [links[hit]]
+        met = np.flatnonzero(met_sign)
+        src, dst, n = [own_ids[hit], ids[met]], [own_ids[hit], ids[met]], [links[hit], np.zeros(len(met), np.int64)]
+        sign = [asked_sign[hit].view(np.int64), met_sign[met].view(np.int64)]
         if tied:
             nodes, least = _least_ids(*(np.concatenate([t[i] for t in tied]) for i in range(2)))
             moved = nodes != least
             src.append(nodes[moved])
             dst.append(least[moved])
             n.append(np.zeros(int(moved.sum()), np.int64))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, n)], schema=_FOUND)
+            sign.append(n[-1])
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, n, sign)], schema=_FOUND)
 
     return task
 
 
+def settle_links(found: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``rep, links`` and ``rep, component`` of what was ``found``, every link counted at both ends.
+
+    Components with a link found from one end alone are searched again by ``scan(reps)``, and so
+    is what they turn out to be linked with; counts of a scan take the place of those before.
+    """
+    links = found.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"), F.expr("bit_xor(sign)").alias("sign"))
+    links = cut_lineage(links)
+    bad, exact = links.where("sign <> 0").select("rep"), None
+    ties = found.where("src <> dst").select("src", "dst")
+    while True:
+        joined = connected_components(ties).select(F.col("node").alias("rep"), F.col("group_id").alias("component"))
+        joined = cut_lineage(joined)
+        groups = joined.join(bad, "rep").select("component").distinct()
+        todo = joined.join(groups, "component").select("rep")
+        if exact is not None:
+            todo = todo.join(exact, "rep", "left_anti")
+        todo = cut_lineage(todo)
+        if todo.isEmpty():
+            break
+        more = cut_lineage(scan(todo))
+        sums = more.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
+        counted = todo.join(sums, "rep", "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"))
+        exact = cut_lineage(counted if exact is None else exact.unionByName(counted))
+        bad = exact.select("rep")
+        ties = ties.unionByName(more.where("src <> dst").select("src", "dst"))
+    links = links.select("rep", "links")
+    if exact is not None:
+        links = links.join(exact, "rep", "left_anti").unionByName(exact)
+    return links, joined
+
+
 def near_duplicates(rows: DataFrame, threshold: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``rows (vec_id, embedding)``.
 
@@ -347,14 +413,18 @@ def near_duplicates(rows: DataFrame, threshold: float = COSINE, shard_rows: int
     asked = placed.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), groups).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     asked = asked.select("dim", "shard", "part", "vec_id", "embedding")
-    spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
     keys = ["dim", "shard", "part"]
-    found = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(threshold), "src long, dst long, links long")
-    found = cut_lineage(found)
 
-    links = found.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = connected_components(found.where("src <> dst").select("src", "dst"))
-    joined = joined.select(F.col("node").alias("rep"), F.col("group_id").alias("component"))
+    def search(asked: DataFrame, groups: Column, scan: bool) -> DataFrame:
+        spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
+        return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(threshold, scan), _FOUND_DDL)
+
+    def scan(todo: DataFrame) -> DataFrame:
+        parts = F.lit(-(-todo.count() // QUERY_ROWS))
+        again = asked.join(todo, asked.vec_id == todo.rep, "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit("scan"), "vec_id"), parts).cast("int"))
+        return search(again, parts, True)
+
+    links, joined = settle_links(cut_lineage(search(asked, groups, False)), scan)
     facts = reps.select("embedding", F.col("vec_id").alias("rep"), "copies")
     facts = facts.join(links, "rep", "left").join(joined, "rep", "left")
     facts = facts.select(

@@ -254,6 +254,49 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best, true)]) >= 0.9
 
 
+def hidden_group():
+    """A graph whose dense group is not reached from outside it, and the group's nodes."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 24))
+    group = np.arange(5023, 5115)
+    x[group] = x[5023] + 0.02 * rng.normal(size=(len(group), 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.build_graph(x)
+    inside = np.isin(np.arange(len(x)), group)
+    for level in graph.levels:
+        level[~inside[:, None] & np.isin(level, group)] = -1
+    return graph._replace(entry=int(np.flatnonzero(~inside & (graph.levels[-1] >= 0).any(1))[0])), group
+
+
+def test_group_out_of_reach():
+    graph, group = hidden_group()
+    x = graph.unit
+    # No query of the group is in the sample of the audit.
+    assert not np.isin(np.arange(0, len(x), len(x) // hnsw.AUDIT_QUERIES), group).any()
+    pairs = {(i, j) for a, k in hnsw.linked_pairs(graph, x, 0.9, np.arange(len(x))) for i, j in zip(a.tolist(), k.tolist())}
+    assert all((i, j) in pairs for i in group.tolist() for j in group.tolist())
+    # One dense query of the sample does not vanish among many that are fine.
+    queries = x[np.concatenate((np.arange(63), group[:1]))]
+    assert 4 * hnsw._audited_width(graph, queries, 0.9 - hnsw._MARGIN) >= len(x)
+
+
+def test_links_count_at_both_ends(spark):
+    true = {1: 1, 2: 2, 3: 2, 4: 1, 7: 1, 8: 1}
+    # 2 found 1 and 3, 1 did not find 2; 3 and 4 did not find each other; 7 and 8 did.
+    rows = [(2, 2, 2, 5 ^ 6), (1, 1, 0, 5), (3, 3, 0, 6), (3, 3, 1, 6), (2, 2, 0, 6), (7, 7, 1, 9), (8, 8, 0, 9), (8, 8, 1, 9), (7, 7, 0, 9), (2, 1, 0, 0), (3, 1, 0, 0), (8, 7, 0, 0)]
+    asked = []
+
+    def scan(todo):
+        ids = sorted(r["rep"] for r in todo.collect())
+        asked.append(ids)
+        ties = [(4, 3, 0, 0)] if 3 in ids else []
+        return spark.createDataFrame([(i, i, true[i], 1) for i in ids] + ties, hnsw._FOUND_DDL)
+
+    links, joined = hnsw.settle_links(spark.createDataFrame(rows, hnsw._FOUND_DDL), scan)
+    assert {r["rep"]: r["links"] for r in links.collect()} == true and asked == [[1, 2, 3], [4]]
+    assert {r["rep"]: r["component"] for r in joined.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
+
+
 def test_mixture(docs, odd_rows):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in odd_rows]
     found = mixing.mix_sources(docs).collect()
