@@ -26,6 +26,7 @@ from filelake.session import cut_lineage
 
 # Re-keyed entities are handed to the tasks in a closure up to this number, beyond it by a join.
 CLOSURE_ENTITIES = 20_000
+# From this round on, one that settles nothing ends the search.
 MAX_ROUNDS = 40
 
 # Titles by gender, syllables of invented names, address ranges for tests.
@@ -54,7 +55,9 @@ _HEX = "0123456789abcdef"
 class _Stream:
     """Numbers drawn from an HMAC, in the same order for the same key and seed."""
 
-    def __init__(self, key: bytes, *seed: str):
+    def __init__(self, key: bytes, *seed: str, longer: int = 0):
+        # By how much a value of free length is to be longer, so that its forms do not run out.
+        self.longer = longer
         self._key, self._seed, self._count, self._bytes = key, "\0".join(seed).encode(), 0, b""
 
     def below(self, n: int) -> int:
@@ -82,6 +85,10 @@ def _alike(value: str, draw: _Stream) -> str:
     return "".join(_WITHIN[c][draw.below(len(_WITHIN[c]))] if c in _WITHIN else c for c in value)
 
 
+def _letters(draw: _Stream) -> str:
+    return "".join(_HEX[10 + draw.below(6)] for _ in range(draw.longer))
+
+
 def _digits_in(value: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in value)
@@ -135,8 +142,8 @@ def _iban(value: str, canonical: str, draw: _Stream) -> str:
 def _email(value: str, canonical: str, draw: _Stream) -> str:
     local, _, domain = canonical.partition("@")
     host, _, top = domain.rpartition(".")
-    new = f"{_alike(local, draw)}@{_alike(host, draw)}.{top}"
-    return "".join(n.upper() if v.isupper() else n for n, v in zip(new, value))
+    new = f"{_letters(draw)}{_alike(local, draw)}@{_alike(host, draw)}.{top}"
+    return "".join(n.upper() if v.isupper() else n for n, v in zip(new, value[0] * draw.longer + value))
 
 
 def _secret(value: str, canonical: str, draw: _Stream) -> str:
@@ -144,8 +151,8 @@ def _secret(value: str, canonical: str, draw: _Stream) -> str:
     keep = head[0] if head else ""
     body = value[len(keep) :]
     if re.fullmatch(r"[0-9a-f]+", body):
-        return keep + "".join(_HEX[draw.below(16)] for _ in body)
-    return keep + _alike(body, draw)
+        return keep + "".join(_HEX[draw.below(16)] for _ in body) + _letters(draw)
+    return keep + _alike(body, draw) + _letters(draw)
 
 
 def _gender(value: str) -> str:
@@ -163,7 +170,7 @@ def _name(value: str, canonical: str, draw: _Stream) -> str:
         if k == 0 and len(words) > 2:
             new = firsts[_gender(value)][draw.below(len(firsts[_gender(value)]))]
         else:
-            new = "".join(parts[draw.below(len(parts))] for _ in range(4)).capitalize()
+            new = "".join(parts[draw.below(len(parts))] for _ in range(4 + draw.longer)).capitalize()
         out.append(new.upper() if word.isupper() and len(word) > 1 else new)
     gaps = re.findall(r"\s+", value)
     return "".join(w + g for w, g in zip(out, [*gaps, ""]))
@@ -181,7 +188,7 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 # Earlier kinds win where two meet. The patterns.
 KINDS = (
     Kind("EMAIL", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}", str.lower, _email),
-    Kind("SECRET", r"(?i:\b[a-z_]{0,32}(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?[A-Za-z0-9/+_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,})", _plain, _secret),
+    Kind("SECRET", r"(?i:\b[a-z_]{0,32}(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,})", _plain, _secret),
     Kind("IBAN", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _compact, _iban, lambda v: iban_ok(_compact(v))),
     Kind("CARD", r"\b\d(?:[ -]?\d){12,18}\b", _digits, _card, lambda v: luhn_ok(_digits(v))),
     Kind("IP", r"\b(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)", _plain, _ip),
@@ -238,7 +245,7 @@ def find_entities(text: str) -> list[Entity]:
 def surrogate(e: Entity, key: bytes, attempt: int = 0) -> str:
     """The surrogate in the entity's own spelling; never the entity itself."""
     for turn in range(100):
-        new = e.kind.make(e.value, e.canonical, _Stream(key, e.kind.name, e.canonical, str(attempt), str(turn)))
+        new = e.kind.make(e.value, e.canonical, _Stream(key, e.kind.name, e.canonical, str(attempt), str(turn), longer=attempt))
         if e.kind.canonical(new) != e.canonical:
             return new
     raise ValueError(f"no other value of the form of a {e.kind.name}")
@@ -288,13 +295,16 @@ def resolve_collisions(entities: DataFrame, key: bytes) -> DataFrame:
 
     A surrogate must differ from that of every other entity of its kind and from every entity.
     Of several on one surrogate the least canonical form keeps it; the others, and those that
-    hit an entity, go on. Surrogates held so far stay, so every round settles some.
+    hit an entity, go on. Surrogates held so far stay. Names, addresses and secrets get longer
+    with every attempt; only a kind of fixed length can run out of forms.
     """
     named = entities.select("kind", "canonical", "value")
     taken = named.select("kind", F.col("canonical").alias("made"))
     open_rows = named.withColumn("attempt", F.lit(0))
     moved: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
+    rounds = 0
+    while True:
+        rounds += 1
         made = cut_lineage(_with_surrogates(open_rows, key))
         # One entity per surrogate keeps it, unless the surrogate is already given out.
         free = made.join(taken, ["kind", "made"], "left_anti")
@@ -306,8 +316,9 @@ def resolve_collisions(entities: DataFrame, key: bytes) -> DataFrame:
         open_rows = cut_lineage(open_rows.select("kind", "canonical", "value", (F.col("attempt") + 1).cast("int").alias("attempt")))
         if open_rows.isEmpty():
             return moved
+        if rounds >= MAX_ROUNDS and settled.isEmpty():
+            raise RuntimeError("surrogates still collide: a kind has more entities than forms")
         taken = cut_lineage(taken.unionByName(settled.select("kind", "made")))
-    raise RuntimeError("surrogates still collide: a kind has more entities than forms")
 
 
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:

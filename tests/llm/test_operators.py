@@ -163,6 +163,28 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert surrogates.resolve_collisions(rows, b"k").where("attempt < 1").count() == 0
 
 
+def test_secret_of_signs_alone_is_none(spark):
+    rows = [(1, "Password: ________ token: -------- secret=/+/+/+/+"), (2, "password=________a token: --------9")]
+    found = by_id(surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"key"))
+    assert found[1]["text"] == rows[0][1] and found[1]["n_entities"] == 0
+    assert found[2]["n_entities"] == 2 and found[2]["text"] != rows[1][1]
+
+
+def test_more_entities_than_short_forms(spark):
+    """More names of one title than four syllables give, and nearly all addresses and secrets of one form."""
+    n = 16**4 + 4000
+    names = spark.range(n).selectExpr("'NAME' AS kind", "concat('mr x', translate(id, '0123456789', 'abcdefghij')) AS canonical", "concat('Mr X', translate(id, '0123456789', 'abcdefghij')) AS value", "1L AS hits")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    few = [("EMAIL", f"{a}@{b}.com", f"{a}@{b}.com", 1) for a in letters for b in letters]
+    few += [("SECRET", v, v, 1) for v in (f"token=_______{a}" for a in letters)]
+    entities = names.unionByName(spark.createDataFrame(few, surrogates._ENTITY)).localCheckpoint()
+    moved = {(r["kind"], r["canonical"]): r["attempt"] for r in surrogates.resolve_collisions(entities, b"k").collect()}
+    kinds = {k.name: k for k in surrogates.KINDS}
+    rows = entities.collect()
+    made = {(r["kind"], kinds[r["kind"]].canonical(surrogates.surrogate(surrogates.Entity(0, 0, kinds[r["kind"]], r["value"]), b"k", moved.get((r["kind"], r["canonical"]), 0)))) for r in rows}
+    assert len(made) == len(rows) == n + 702 and not made & {(r["kind"], r["canonical"]) for r in rows}
+
+
 def test_language(spark, docs, odd_rows):
     found = langid.predict_languages(docs).collect()
     assert len(found) == len(odd_rows)
