@@ -1,8 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, script, gender and format.
 
 An entity is found by pattern, with check digits where its type has them, and reduced to a
-canonical form, so that spellings of one entity share a surrogate. The surrogate comes from
-an HMAC of type, canonical form and attempt: signs stay, digits become digits, letters become
+canonical form, so that spellings of one entity share a surrogate. It is drawn from the canonical
+form alone and then laid into the spelling. The surrogate comes from an HMAC of type, canonical form and attempt: signs stay, digits become digits, letters become
 letters of the same script and case, names become names of the same gender, and check digits
 are made right again. Distinct entities of the whole table are then checked: two that fell on
 one surrogate, or a surrogate that is itself an entity of the table, get the next attempt
@@ -50,6 +50,11 @@ ALPHABETS = (
 )
 _WITHIN = {c: a for a in ALPHABETS for c in a}
 _HEX = "0123456789abcdef"
+# Calling codes have one, two or three digits, none the start of another.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})|")
+# What stands before a secret, and marks that its first signs are.
+_HEAD = re.compile(r"(?i)(?:[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?)?")
+_MARK = re.compile(r"(?:(?:AKIA|ghp_|sk-)(?=[A-Za-z0-9]{16}))?")
 
 
 class _Stream:
@@ -94,10 +99,6 @@ def _digits_in(value: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in value)
 
 
-def _plain(value: str) -> str:
-    return value
-
-
 def _digits(value: str) -> str:
     return "".join(c for c in value if c.isdigit())
 
@@ -106,8 +107,21 @@ def _compact(value: str) -> str:
     return re.sub(r"[ -]", "", value).upper()
 
 
+def _number(value: str) -> str:
+    return "+" * value.startswith("+") + _digits(value)
+
+
+def _address(value: str) -> str:
+    return ".".join(str(int(part)) for part in value.split("."))
+
+
+def _body(value: str) -> str:
+    return value[len(_HEAD.match(value)[0]) :]
+
+
 def _words(value: str) -> str:
-    return " ".join(value.split()).casefold()
+    title, *names = value.split()
+    return " ".join([title.rstrip("."), *names]).casefold()
 
 
 def _card(value: str, canonical: str, draw: _Stream) -> str:
@@ -116,9 +130,8 @@ def _card(value: str, canonical: str, draw: _Stream) -> str:
 
 
 def _phone(value: str, canonical: str, draw: _Stream) -> str:
-    country = re.match(r"\+(\d{1,3})[ .(-]", value)
-    keep = country[1] if country else ""
-    new = [str(draw.below(10)) for _ in canonical[len(keep) :]]
+    keep = _COUNTRY.match(canonical)[0].removeprefix("+")
+    new = [str(draw.below(10)) for _ in _digits(canonical)[len(keep) :]]
     if len(new) >= 10 and new[0] in "01":
         new[0] = str(2 + draw.below(8))
     return _digits_in(value, keep + "".join(new))
@@ -147,28 +160,27 @@ def _email(value: str, canonical: str, draw: _Stream) -> str:
 
 
 def _secret(value: str, canonical: str, draw: _Stream) -> str:
-    head = re.match(r"(?i)(?:[a-z_]*(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?|AKIA|ghp_|sk-)", value)
-    keep = head[0] if head else ""
-    body = value[len(keep) :]
+    mark = _MARK.match(canonical)[0]
+    keep, body = _HEAD.match(value)[0] + mark, canonical[len(mark) :]
     if re.fullmatch(r"[0-9a-f]+", body):
         return keep + "".join(_HEX[draw.below(16)] for _ in body) + _letters(draw)
     return keep + _alike(body, draw) + _letters(draw)
 
 
 def _gender(value: str) -> str:
-    title = value.split(maxsplit=1)[0].rstrip(".")
-    return next((g for g, titles in TITLES.items() if title in titles), "n")
+    title = value.split(maxsplit=1)[0].rstrip(".").casefold()
+    return next((g for g, titles in TITLES.items() if title in map(str.casefold, titles)), "n")
 
 
 def _name(value: str, canonical: str, draw: _Stream) -> str:
     """Title stays; the first of several names becomes one of the same gender, others invented surnames of the same script."""
     words = value.split()
-    cyrillic = any("а" <= c.lower() <= "я" for c in value)
+    cyrillic = any("а" <= c <= "я" for c in canonical)
     firsts, parts = (CYRILLIC_FIRST, CYRILLIC_SYLLABLES) if cyrillic else (FIRST, SYLLABLES)
     out = words[:1]
     for k, word in enumerate(words[1:]):
         if k == 0 and len(words) > 2:
-            new = firsts[_gender(value)][draw.below(len(firsts[_gender(value)]))]
+            new = firsts[_gender(canonical)][draw.below(len(firsts[_gender(canonical)]))]
         else:
             new = "".join(parts[draw.below(len(parts))] for _ in range(4 + draw.longer)).capitalize()
         out.append(new.upper() if word.isupper() and len(word) > 1 else new)
@@ -188,13 +200,13 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 # Earlier kinds win where two meet. The patterns.
 KINDS = (
     Kind("EMAIL", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}", str.lower, _email),
-    Kind("SECRET", r"(?i:\b[a-z_]{0,32}(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,})", _plain, _secret),
+    Kind("SECRET", r"(?i:\b[a-z_]{0,32}(?:password|passwd|secret|token|api_?key)\s*[=:]\s*[\"']?(?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,})", _body, _secret),
     Kind("IBAN", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _compact, _iban, lambda v: iban_ok(_compact(v))),
     Kind("CARD", r"\b\d(?:[ -]?\d){12,18}\b", _digits, _card, lambda v: luhn_ok(_digits(v))),
-    Kind("IP", r"\b(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)", _plain, _ip),
+    Kind("IP", r"\b(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b(?!\.\d)", _address, _ip),
     Kind("SSN", r"\b\d{3}-\d{2}-\d{4}\b", _digits, _ssn),
-    Kind("PHONE", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\b\d{2,4}[ .-])\d{3}[ .-]\d{4}\b", _digits, _phone),
-    Kind("PHONE", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b", _digits, _phone, lambda v: len(_digits(v)) >= 8),
+    Kind("PHONE", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\b\d{2,4}[ .-])\d{3}[ .-]\d{4}\b", _number, _phone),
+    Kind("PHONE", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b", _number, _phone, lambda v: len(_digits(v)) >= 8),
     Kind("NAME", rf"\b(?:{_TITLE})\.?[ \t]+[^\W\d_a-zà-ÿ][^\W\d_]*(?:[ \t]+[^\W\d_a-zà-ÿ][^\W\d_]+)?", _words, _name),
 )
 # Signs without which a kind cannot occur, so that most texts are passed over at once.
