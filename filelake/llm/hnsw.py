@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filelake.llm.common import stored
+from filelake.operators import skew
 from filelake.operators.components import connected_components
 from filelake.session import cut_lineage
 
@@ -365,7 +366,7 @@ def settle_links(found: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> tu
         joined = connected_components(ties).select(F.col("node").alias("rep"), F.col("group_id").alias("component"))
         joined = cut_lineage(joined)
         groups = joined.join(bad, "rep").select("component").distinct()
-        todo = joined.join(groups, "component").select("rep")
+        todo = skew.lookup(joined, groups, "component", "rep").select("rep")
         if exact is not None:
             todo = todo.join(exact, "rep", "left_anti")
         todo = cut_lineage(todo)
