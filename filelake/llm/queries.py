@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filelake.llm import hnsw, jaccard, langid, merkle, mixing, packing, records, suffix_dedup, surrogates, warc
+from filelake.llm import hnsw, jaccard, langid, merkle, mixing, negatives, packing, records, runs, suffix_dedup, surrogates, warc
 from filelake.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +61,43 @@ def op10_ngram_jaccard(spark, d):
     return jaccard.jaccard_components(_docs(spark, d))
 
 
+def planted_period(doc_id, n):
+    """Every tenth document repeats a stretch of its own words from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    return np.where(places < a, places, a + (places - a) % p)
+
+
+def op12_periodic_runs(spark, d):
+    found = runs.word_runs(_docs(spark, d), rewrite=planted_period)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("by"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.by")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("-1000 * top.by div top.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda line: F.concat(line, F.lit("\n")))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark, d):
+    rows = table(prepare(spark), d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x).cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    points = rows.where(finite).select("vec_id", label.alias("label"), vec.alias("vec"))
+    return negatives.mine_hard_negatives(points, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +111,8 @@ QUERIES = {
         op8_source_mixing,
         op9_pattern_packing,
         op10_ngram_jaccard,
+        op12_periodic_runs,
+        op13_hard_negatives,
     )
 }
 
@@ -81,4 +123,17 @@ ORACLE = {
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g""",
+    "op13_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+               CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+            AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5""",
 }
