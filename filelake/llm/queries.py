@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from filelake.llm import hnsw, jaccard, langid, merkle, mixing, negatives, packing, records, runs, suffix_dedup, surrogates, warc
+from filelake.llm import hnsw, jaccard, langid, merkle, mixing, negatives, packing, pitman_yor, records, runs, suffix_dedup, surrogates, warc
 from filelake.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,12 @@ def op10_ngram_jaccard(spark, d):
     return jaccard.jaccard_components(_docs(spark, d))
 
 
+def op11_pitman_yor(spark, d):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    scores = pitman_yor.score_documents(_docs(spark, d), ~held_out)
+    return scores.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def planted_period(doc_id, n):
     """Every tenth document repeats a stretch of its own words from some word on."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -111,6 +117,7 @@ QUERIES = {
         op8_source_mixing,
         op9_pattern_packing,
         op10_ngram_jaccard,
+        op11_pitman_yor,
         op12_periodic_runs,
         op13_hard_negatives,
     )
