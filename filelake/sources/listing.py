@@ -37,7 +37,7 @@ def resolve_roots(roots: Iterable[str]) -> tuple[list[str], list[str]]:
     return sorted(good), bad
 
 
-def _excluder(rules: Iterable[str], case_sensitive: bool) -> Callable[[str, str], bool]:
+def excluder(rules: Iterable[str], case_sensitive: bool) -> Callable[[str, str], bool]:
     fold = (lambda s: s) if case_sensitive else str.lower
     rules = {fold(r) for r in rules}
     globs = [r for r in rules if is_glob(r)]
@@ -52,7 +52,7 @@ def _excluder(rules: Iterable[str], case_sensitive: bool) -> Callable[[str, str]
 
 def _read_folders(rules: list[str], case_sensitive: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        excluded = _excluder(rules, case_sensitive)
+        excluded = excluder(rules, case_sensitive)
         rows: list[tuple] = []
         for batch in batches:
             for folder in batch["path"]:
