@@ -130,12 +130,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def is_extractable(mime: Column, size: Column, extractors: dict[str, Extractor] | None = None) -> Column:
+def is_extractable(mime: Column, size: Column, extractors: dict[str, Extractor] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> Column:
     kinds = sorted(EXTRACTORS if extractors is None else extractors)
-    return (mime.startswith("text/plain") | mime.isin(kinds)) & (size <= MAX_TEXT_BYTES)
+    return (mime.startswith("text/plain") | mime.isin(kinds)) & (size <= max_bytes)
 
 
-def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None) -> Column:
+def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> Column:
     """Text of a file's bytes; NULL if there is none or the parser fails."""
     table = EXTRACTORS if extractors is None else extractors
 
@@ -152,7 +152,7 @@ def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor]
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    wanted = F.coalesce(is_extractable(mime, F.octet_length(content), table), F.lit(False))
+    wanted = F.coalesce(is_extractable(mime, F.octet_length(content), table, max_bytes), F.lit(False))
     as_text = content.cast("string")
     # Decided by built-in code: bytes that are valid UTF-8 plain text.
     native = wanted & mime.startswith("text/plain") & F.is_valid_utf8(as_text)

@@ -17,7 +17,7 @@ from filelake.functions.formats import identify_formats, with_format
 from filelake.functions.images import image_hashes
 from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
-from filelake.functions.text import EXTRACTORS, Extractor, extract_text, is_extractable
+from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
 from filelake.functions.vectors import embed_text, hashed_encoder
 from filelake.operators.incremental import (
     changed_files,
@@ -30,7 +30,8 @@ from filelake.operators.rules import DEFAULT_EXCLUDE_DIRS, drop_junk
 from filelake.operators.upsert import update_formats
 from filelake.schemas import FILE_METADATA
 from filelake.session import cut_lineage
-from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable, last_entries
+from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable, last_entries, materialise, scratch_folder
+from filelake.sources.files import MEMBER
 from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import walk
 from filelake.sources.probe import present_files, probe_files, text_chunks, with_bytes
@@ -53,6 +54,8 @@ class ScanOptions:
     unexpanded_extensions: Sequence[str] = tuple(UNEXPANDED_EXTENSIONS)
     extractors: dict[str, Extractor] = field(default_factory=lambda: dict(EXTRACTORS))
     make_encoder: Callable = hashed_encoder
+    # Larger files are not given to an extractor; their raw text is scanned for personal data.
+    max_text_bytes: int = MAX_TEXT_BYTES
 
     @property
     def rules(self) -> list[str]:
@@ -64,37 +67,29 @@ class ScanOptions:
         return sorted({*defaults, *(e.lower() for e in self.unexpanded_extensions)})
 
 
-def with_text(files: DataFrame, options: ScanOptions, from_disk: bool) -> DataFrame:
-    """Add text, embedding and personal-data types; bytes come from ``content`` unless ``from_disk``.
+def with_text(files: DataFrame, options: ScanOptions) -> DataFrame:
+    """Add text, embedding and personal-data types of files and archive members, read where they lie.
 
     A text file without an extractor, or too large for one, is scanned for personal data
-    all the same: in chunks of its raw text if it is on disk.
+    all the same, in chunks of its raw text.
     """
     mime = F.col("mime_type")
     text_type = F.coalesce(mime.startswith("text/"), F.lit(False))
-    extractable = is_extractable(mime, F.col("size_bytes"), options.extractors)
-    rows = with_bytes(files.drop("content", "head", "tail"), extractable) if from_disk else files
-    rows = rows.withColumns(
-        {
-            "__text": extract_text(mime, F.col("content"), options.extractors),
-            "__raw": F.when(text_type, F.make_valid_utf8(F.col("content").cast("string"))),
-        }
-    )
-    scan_text = F.when(is_scannable(mime, F.col("__text")), F.coalesce("__text", "__raw"))
+    extractable = is_extractable(mime, F.col("size_bytes"), options.extractors, options.max_text_bytes)
+    rows = with_bytes(files.drop("content", "head", "tail"), extractable)
+    rows = rows.withColumn("__text", extract_text(mime, F.col("content"), options.extractors, options.max_text_bytes))
     rows = rows.withColumns(
         {
             "content_embedding": embed_text(F.col("__text"), options.make_encoder).cast("array<float>"),
-            "pii_types": pii_types(scan_text, options.pii_languages),
+            "pii_types": pii_types(F.when(is_scannable(mime, F.col("__text")), F.col("__text")), options.pii_languages),
             # Files without an extractor stay untried, so that a later run with one takes them.
-            "text_extracted": F.coalesce(is_extractable(mime, F.col("size_bytes"), options.extractors), F.lit(False)),
+            "text_extracted": F.coalesce(extractable, F.lit(False)),
             "content": F.col("__text"),
         }
-    ).drop("__text", "__raw")
-    if from_disk:
-        found = raw_text_pii(files.where(text_type & ~extractable), options.pii_languages)
-        rows = rows.join(found.withColumnRenamed("pii_types", "__raw_pii"), "path", "left")
-        rows = rows.withColumn("pii_types", F.coalesce("pii_types", "__raw_pii")).drop("__raw_pii")
-    return rows
+    ).drop("__text")
+    found = raw_text_pii(files.where(text_type & ~F.coalesce(extractable, F.lit(False))), options.pii_languages)
+    rows = rows.join(found.withColumnRenamed("pii_types", "__raw_pii"), "path", "left")
+    return rows.withColumn("pii_types", F.coalesce("pii_types", "__raw_pii")).drop("__raw_pii")
 
 
 def raw_text_pii(files: DataFrame, languages: Sequence[str]) -> DataFrame:
@@ -117,73 +112,91 @@ def to_metadata(files: DataFrame) -> DataFrame:
     )
 
 
-def derive(probed: DataFrame, options: ScanOptions, archived: bool = False, from_disk: bool = True) -> DataFrame:
-    """Index rows of probed files with their types; bytes are taken from ``content`` unless ``from_disk``."""
-    typed = probed.where("error is null").withColumn("is_archived_file", F.lit(archived))
+def derive(typed: DataFrame, options: ScanOptions) -> DataFrame:
+    """Index rows of typed files and archive members."""
+    rows = typed.where("error is null").withColumn("is_archived_file", F.col("member").isNotNull())
     if options.identify_formats:
-        typed = typed.withColumn("pronom_id", F.col("puid"))
-    if options.extract_text:
-        typed = with_text(typed, options, from_disk)
-    else:
-        typed = typed.drop("content")
-    return to_metadata(typed)
+        rows = rows.withColumn("pronom_id", F.col("puid"))
+    return to_metadata(with_text(rows, options) if options.extract_text else rows)
+
 
+def archive_members(typed: DataFrame, options: ScanOptions) -> DataFrame:
+    """Typed members of the archives among typed files, errors included."""
+    containers = typed.where(is_expandable(F.col("mime_type"), F.col("ext"), options.unexpanded))
+    return last_entries(expand_archives(containers.select("path", "crypto_hash"), options.unexpanded))
 
-def archive_members(rows: DataFrame, options: ScanOptions) -> DataFrame:
-    """Probed members of the archives among index rows, errors included."""
-    containers = rows.where(is_expandable(F.col("mime_type"), suffix(F.col("filename")), options.unexpanded))
-    return expand_archives(containers.select("path"), options.unexpanded)
+
+def copied_image_hashes(images: DataFrame) -> DataFrame:
+    """Hashes of ``images (path, crypto_hash, ext, member)`` that the image source cannot reach.
+
+    Members of archives and files with hidden names are copied to the shared folder, each
+    distinct image once.
+    """
+    if images.isEmpty():
+        return images.sparkSession.createDataFrame([], "path string, perceptual_hash string")
+    spark, folder = images.sparkSession, scratch_folder(images, "images")
+    name = lambda row: f"{row['crypto_hash']}.img"
+    cut_lineage(materialise(images.dropDuplicates(["crypto_hash"]), folder, spark.sparkContext.defaultParallelism * 4, name))
+    found = image_hashes(spark.read.format("image").option("dropInvalid", "true").load(folder))
+    by_digest = found.select(F.regexp_extract("path", "([0-9a-f]{64})[.]img$", 1).alias("crypto_hash"), "perceptual_hash")
+    return images.select("path", "crypto_hash").join(by_digest, "crypto_hash").drop("crypto_hash")
 
 
 def image_hash_stage(needed: DataFrame) -> DataFrame:
-    """Hashes of the images among ``(path, size_bytes, mtime)`` rows, decoded by the image source.
+    """Hashes of the images among ``(path, mtime, crypto_hash[, member])`` rows, decoded by the image source.
 
     The source reads whole folders, so what it reads is narrowed to what the rows need: their
     folders, extensions and times. Each of these only leaves out files that no row asks for.
-    The folder names of the images reach the driver.
+    Folders are named to it some at a time, and what was found is written before the next, so
+    the driver never holds more than one round's names, however many folders there are.
     """
     spark = needed.sparkSession
-    shaped = needed.select(
-        parent_dir(F.col("path")).alias("parent"), suffix(file_name(F.col("path"))).alias("ext"), "mtime"
-    )
-    folders = [r["parent"] or "/" for r in shaped.select("parent").distinct().toLocalIterator()]
-    if not folders:
-        return spark.createDataFrame([], "path string, perceptual_hash string")
+    if "member" not in needed.columns:
+        needed = needed.withColumn("member", F.lit(None).cast(MEMBER))
+    name = file_name(F.col("path"))
+    shaped = needed.withColumns({"parent": parent_dir(F.col("path")), "ext": suffix(name), "hidden": name.rlike("^[._]")})
+    reachable = cut_lineage(shaped.where("member is null and not hidden").select("path", "parent", "ext", "mtime"))
+    copied = copied_image_hashes(shaped.where("member is not null or hidden").select("path", "crypto_hash", "ext", "member"))
+    count, oldest = reachable.agg(F.count_distinct("parent"), F.min("mtime")).first()
+    if not count:
+        return copied
     reader = spark.read.format("image").option("dropInvalid", "true")
-    folders = sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", folder) for folder in folders)
-    extensions = [r["ext"] for r in shaped.select("ext").distinct().limit(MAX_EXTENSIONS + 1).collect()]
+    extensions = [r["ext"] for r in reachable.select("ext").distinct().limit(MAX_EXTENSIONS + 1).collect()]
     if len(extensions) <= MAX_EXTENSIONS and all(e[1:].isalnum() for e in extensions):
         reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions)) + "}")
-    oldest = datetime.fromtimestamp(math.floor(shaped.agg(F.min("mtime")).first()[0]) - 1, timezone.utc)
-    reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
-    # Named folders show every file, so however many there are, all are named, some at a time.
-    parts = [reader.load(folders[k : k + FOLDERS_PER_READ]) for k in range(0, len(folders), FOLDERS_PER_READ)]
-    return needed.select("path").join(image_hashes(reduce(DataFrame.unionByName, parts)), "path")
+    since = datetime.fromtimestamp(math.floor(oldest) - 1, timezone.utc)
+    reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    rounds = -(-count // FOLDERS_PER_READ)
+    turn = F.pmod(F.xxhash64("parent"), F.lit(rounds))
+    out = scratch_folder(needed, "hashes")
+    for k in range(rounds):
+        folders = [r["parent"] or "/" for r in reachable.where(turn == k).select("parent").distinct().collect()]
+        if folders:
+            # Named folders show every file but hidden ones.
+            found = image_hashes(reader.load(sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", folder) for folder in folders)))
+            reachable.where(turn == k).select("path").join(found, "path").write.mode("append").parquet(out)
+    return copied.unionByName(spark.read.schema(copied.schema).parquet(out))
 
 
 def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)`` for listed files, archive members included."""
     # Types are found once, before the rows are kept; the bytes they come from are not kept.
     probed = cut_lineage(with_format(probe_files(drop_junk(listing))).drop("head", "tail"))
-    rows = derive(probed, options)
-    typed = probed.where("error is null")
-    members = last_entries(cut_lineage(with_format(archive_members(typed, options)).drop("head", "tail")))
-    rows = rows.unionByName(derive(drop_junk(members), options, archived=True, from_disk=False))
+    files = probed.withColumn("member", F.lit(None).cast(MEMBER))
+    members = cut_lineage(archive_members(probed.where("error is null"), options))
+    typed = files.unionByName(drop_junk(members.where("error is null")))
+    rows = derive(typed, options)
     if options.perceptual_hash:
-        images = typed.where(F.col("mime_type").startswith("image")).select("path", "size_bytes", "mtime")
-        hashes = image_hash_stage(images).withColumnRenamed("perceptual_hash", "__phash")
-        rows = rows.join(hashes, "path", "left").withColumn("perceptual_hash", F.col("__phash")).drop("__phash")
+        images = typed.where("error is null").where(F.col("mime_type").startswith("image"))
+        hashes = image_hash_stage(images.select("path", "mtime", "crypto_hash", "member"))
+        rows = rows.drop("perceptual_hash").join(hashes, "path", "left").select(*rows.columns)
     now = F.current_timestamp()
-    errors = (
-        probed.where("error is not null")
-        .select(now.alias("ts"), F.lit("probe").alias("stage"), "path", F.col("error").alias("message"))
-        .unionByName(
-            members.where("error is not null").select(
-                now.alias("ts"), F.lit("archive").alias("stage"), "path", F.col("error").alias("message")
-            )
-        )
-    )
-    return rows, errors
+    faults = [("probe", probed), ("archive", members)]
+    parts = [
+        df.where("error is not null").select(now.alias("ts"), F.lit(stage).alias("stage"), "path", F.col("error").alias("message"))
+        for stage, df in faults
+    ]
+    return rows, reduce(DataFrame.unionByName, parts)
 
 
 def scan(store: IndexStore, roots: Sequence[str], options: ScanOptions | None = None, incremental: bool = True) -> DataFrame:
@@ -225,7 +238,7 @@ def refine_text(store: IndexStore, prefixes: Sequence[str] | None = None, option
     index = store.read()
     chosen = text_to_refine_under(index, prefixes) if prefixes else text_to_refine(index)
     files = present_files(chosen.where(~F.col("is_archived_file")).select("path", "mime_type", "size_bytes"))
-    rows = with_text(files, options, from_disk=True)
+    rows = with_text(files, options)
     owned = ["content", "content_embedding", "pii_types", "text_extracted"]
     return store.patch(rows.select("path", *owned), owned)
 
@@ -233,8 +246,7 @@ def refine_text(store: IndexStore, prefixes: Sequence[str] | None = None, option
 def refine_images(store: IndexStore, prefixes: Sequence[str], mime_types: Sequence[str] | None = None) -> int:
     """Hash images below the given folders that have no hash yet."""
     chosen = images_to_refine_under(store.read(), prefixes, mime_types).where(~F.col("is_archived_file"))
-    needed = cut_lineage(chosen.select("path", "size_bytes", "mtime"))
-    return store.patch(image_hash_stage(needed), ["perceptual_hash"])
+    return store.patch(image_hash_stage(cut_lineage(chosen.select("path", "mtime", "crypto_hash"))), ["perceptual_hash"])
 
 
 def refine_formats(store: IndexStore, prefixes: Sequence[str] | None = None) -> int:

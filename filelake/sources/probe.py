@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
-import zipfile
-from collections.abc import Iterator
-from typing import BinaryIO
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelake.functions.formats import HEAD_BYTES, TAIL_BYTES
+from filelake.sources.archives import deal_out
+from filelake.sources.files import FAULTS, MemberReader, entry_names, open_file
 
 _CHUNK = 1 << 20
 _HELD_BYTES = 64 << 20
@@ -24,26 +25,17 @@ _COLUMNS = [part.split()[0] for part in PROBED.split(", ")]
 
 def _probe(path: str) -> tuple[str, bytes, bytes]:
     digest, head, tail = hashlib.sha256(), b"", b""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         while chunk := f.read(_CHUNK):
             digest.update(chunk)
             if len(head) < HEAD_BYTES:
                 head += chunk[: HEAD_BYTES - len(head)]
             tail = (tail + chunk)[-TAIL_BYTES:]
         if head.startswith(b"PK\x03\x04"):
-            head += _entry_names(f)
+            head += entry_names(f)
     return digest.hexdigest(), head, tail
 
 
-def _entry_names(file: BinaryIO) -> bytes:
-    """How the names of a zip file's entries begin: documents are told by them, wherever their entries lie."""
-    try:
-        with zipfile.ZipFile(file) as z:
-            return b"\0".join(sorted({n[:12].encode("utf-8", "replace") for n in z.namelist()}))
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
-        return b""
-
-
 def probe_files(listing: DataFrame, parallelism: int | None = None) -> DataFrame:
     """Add ``crypto_hash``, ``head``, ``tail`` and ``error`` to a listing.
 
@@ -80,54 +72,77 @@ def present_files(files: DataFrame) -> DataFrame:
     return files.where(exists("path"))
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    """Members of one archive piece together and in order; plain files stay where they are."""
+    if "member" not in files.columns:
+        return files
+    return deal_out(files, files.sparkSession.sparkContext.defaultParallelism * 4)
+
+
+def _members(batch: pa.RecordBatch) -> list[dict | None]:
+    return batch.column("member").to_pylist() if "member" in batch.schema.names else [None] * batch.num_rows
+
+
 def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
     """Add ``content``, the bytes of the wanted files; NULL for others and for unreadable ones.
 
-    Rows are handed on whenever a moderate number of bytes is held, however many rows a
-    batch of paths has.
+    A row with a ``member`` is read from its archive. Rows are handed on whenever a moderate
+    number of bytes is held, however many rows a batch of paths has.
     """
     columns = files.columns
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
 
-    def read(path: str) -> bytes | None:
+    def read(reader: MemberReader, path: str, member: dict | None) -> bytes | None:
         try:
-            with open(path, "rb") as f:
-                return f.read()
-        except OSError:
+            return b"".join(reader.pieces(path, member))
+        except FAULTS:
             return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, flags = batch.column("path").to_pylist(), batch.column("__wanted").to_pylist()
-            start, held, blobs = 0, 0, []
-            for i, (path, flag) in enumerate(zip(paths, flags)):
-                blobs.append(read(path) if flag else None)
-                held += len(blobs[-1] or b"")
-                if held >= _HELD_BYTES or i == batch.num_rows - 1:
-                    part = batch.slice(start, len(blobs))
-                    arrays = [part.column(c) for c in columns] + [pa.array(blobs, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "content"])
-                    start, held, blobs = i + 1, 0, []
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with MemberReader() as reader:
+            for batch in batches:
+                paths, flags, members = batch.column("path").to_pylist(), batch.column("__wanted").to_pylist(), _members(batch)
+                start, held, blobs = 0, 0, []
+                for i, (path, flag, member) in enumerate(zip(paths, flags, members)):
+                    blobs.append(read(reader, path, member) if flag else None)
+                    held += len(blobs[-1] or b"")
+                    if held >= _HELD_BYTES or i == batch.num_rows - 1:
+                        part = batch.slice(start, len(blobs))
+                        arrays = [part.column(c) for c in columns] + [pa.array(blobs, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "content"])
+                        start, held, blobs = i + 1, 0, []
 
-    return files.withColumn("__wanted", F.coalesce(wanted, F.lit(False))).mapInArrow(run, schema)
+    return _placed(files.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))).mapInArrow(run, schema)
 
 
 def text_chunks(files: DataFrame, chars: int = 500_000, overlap: int = 1_000) -> DataFrame:
-    """``(path, chunk)`` rows of whole text files, however large; invalid UTF-8 is dropped.
+    """``(path, chunk)`` rows of whole text files and archive members, however large; invalid UTF-8 is dropped.
 
     Neighbouring chunks share ``overlap`` characters, so that nothing short is cut in two.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                carry = ""
-                try:
-                    with open(path, encoding="utf-8", errors="ignore") as f:
-                        while chunk := f.read(chars):
-                            yield pd.DataFrame({"path": [path], "chunk": [carry + chunk]})
-                            carry = chunk[-overlap:]
-                except OSError:
-                    continue
-
-    return files.select("path").mapInPandas(run, "path string, chunk string")
+    def texts(reader: MemberReader, path: str, member: dict | None) -> Iterator[str]:
+        decoder, held, size = codecs.getincrementaldecoder("utf-8")("ignore"), [], 0
+        for data in reader.pieces(path, member):
+            held.append(decoder.decode(data))
+            size += len(held[-1])
+            if size >= chars:
+                yield "".join(held)
+                held, size = [], 0
+        if size:
+            yield "".join(held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with MemberReader() as reader:
+            for batch in batches:
+                for path, member in zip(batch.column("path").to_pylist(), _members(batch)):
+                    carry = ""
+                    try:
+                        for text in texts(reader, path, member):
+                            yield pa.RecordBatch.from_pydict({"path": [path], "chunk": [carry + text]})
+                            carry = text[-overlap:]
+                    except FAULTS:
+                        continue
+
+    wanted = files.select("path", *(c for c in ("member",) if c in files.columns))
+    return _placed(wanted).mapInArrow(run, "path string, chunk string")

@@ -10,8 +10,8 @@ that a task walks to its leaves. Exclusion rules prune whole sub-trees, and so d
 a query on ``path`` and ``parent``: a folder is not opened if nothing below it can pass.
 Other filters on the columns are applied before rows leave the Python worker.
 
-A stream's offset is a time: a batch holds the files whose change time (the later of mtime
-and ctime, so that files moved in with an old mtime are seen) lies after the last offset and
+A stream's offset is a time: a batch holds the files whose change time (ctime, so that files
+moved in with an old mtime and such with one to come are seen) lies after the last offset and
 not after the new one. File systems stamp coarsely, so a batch looks ``overlapSeconds`` back;
 a file may come twice, and whoever writes compares paths and times, as the index does.
 """
@@ -179,7 +179,7 @@ class Walker:
                                     todo.append(Unit(entry.path, True))
                             elif entry.is_file(follow_symlinks=False):
                                 stat = entry.stat(follow_symlinks=False)
-                                if work.window and not work.window[0] < max(stat.st_mtime_ns, stat.st_ctime_ns) <= work.window[1]:
+                                if work.window and not work.window[0] < stat.st_ctime_ns <= work.window[1]:
                                     continue
                                 values = (entry.path, entry.name, PurePosixPath(entry.name).suffix, folder, stat.st_size, stat.st_mtime, None)
                                 add(dict(zip(_COLUMNS, values)))

@@ -2,80 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from filelake.functions.formats import HEAD_BYTES, TAIL_BYTES, with_format
-from filelake.functions.paths import file_name, parent_dir, strip_uri, suffix
+from filelake.functions.paths import glob_regex
 from filelake.operators.incremental import changed_files
 from filelake.operators.rules import drop_junk
-from filelake.operators.upsert import latest_per_path
-from filelake.plans.pipeline import ScanOptions, archive_members, derive
+from filelake.plans.pipeline import ScanOptions, build_rows
+from filelake.schemas import LISTING
 from filelake.session import cut_lineage
-from filelake.sources.archives import last_entries
 from filelake.sources.index_store import IndexStore
-
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
-
-
-def binary_to_probed(files: DataFrame) -> DataFrame:
-    """Rows of the ``binaryFile`` source in the form of probed files with their bytes."""
-    path = strip_uri(F.col("path"))
-    return files.select(
-        path.alias("path"),
-        file_name(path).alias("filename"),
-        suffix(file_name(path)).alias("ext"),
-        parent_dir(path).alias("parent"),
-        F.col("length").alias("size_bytes"),
-        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
-        F.sha2("content", 256).alias("crypto_hash"),
-        F.substring("content", 1, HEAD_BYTES).alias("head"),
-        F.substring(F.col("content"), -TAIL_BYTES, TAIL_BYTES).alias("tail"),
-        "content",
-        F.lit(None).cast("string").alias("error"),
-    )
+from filelake.sources.tree import stream_tree
 
 
 def ingest(
-    store: IndexStore, folder: str, checkpoint: str, options: ScanOptions | None = None, glob: str = "*"
+    store: IndexStore,
+    folders: str | Sequence[str],
+    checkpoint: str,
+    options: ScanOptions | None = None,
+    glob: str = "*",
+    on_errors: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Start a query that indexes every new file below ``folder`` and stops when it is done.
+    """Start a query that indexes every new or changed file below the folders and stops when it is done.
 
-    Each micro-batch is one upsert by path, so a batch that is repeated after a failure
-    leaves the index as it was. The stream's checkpoint remembers the files it took; the
-    comparison with the index keeps older copies from overwriting newer rows.
+    The stream brings paths; files are read, typed, hashed and expanded by the same plan as a
+    scan, so a row is what a scan would have written. Each micro-batch is one upsert by path
+    of files that are newer than their row, so a batch that is repeated after a failure, or
+    a file that comes twice, leaves the index as it was. ``on_errors`` gets a batch's errors.
     """
     options = options or ScanOptions()
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        files = drop_junk(binary_to_probed(batch))
-        # The comparison needs no bytes; those are read only for files that pass.
-        fresh = cut_lineage(changed_files(files.select("path", "mtime"), store.read()).select("path"))
-        if fresh.isEmpty():
-            return
-        files = with_format(files.join(fresh, "path", "left_semi"))
-        members = last_entries(cut_lineage(with_format(archive_members(files, options)).drop("head", "tail")))
-        rows = derive(files, options, from_disk=False).unionByName(
-            derive(drop_junk(members), options, archived=True, from_disk=False)
+        found = cut_lineage(batch)
+        named = found.where("error is null").where(F.col("filename").rlike(glob_regex(glob))).select(*LISTING.names)
+        # Junk never gets a row, so it would be new for ever.
+        fresh = cut_lineage(changed_files(drop_junk(named).dropDuplicates(["path"]), store.read()))
+        rows, errors = build_rows(fresh, options)
+        unlisted = found.where("error is not null")
+        errors = errors.unionByName(
+            unlisted.select(F.current_timestamp().alias("ts"), F.lit("listing").alias("stage"), "path", F.col("error").alias("message"))
         )
-        # Image hashes are the batch scan's work; those of unchanged content are kept.
-        kept = store.read().where("perceptual_hash is not null").select("path", F.col("crypto_hash").alias("__hash"), F.col("perceptual_hash").alias("__phash"))
-        rows = rows.join(kept, "path", "left")
-        same = F.when(F.col("crypto_hash") == F.col("__hash"), F.col("__phash"))
-        rows = rows.withColumn("perceptual_hash", F.coalesce("perceptual_hash", same)).drop("__hash", "__phash")
-        store.replace(latest_per_path(rows.withColumn("__order", F.col("mtime")), "__order"))
-
-    stream = (
-        store.spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-    )
-    return (
-        stream.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        if not fresh.isEmpty():
+            store.replace(rows)
+        if on_errors:
+            on_errors(errors)
+
+    roots = [folders] if isinstance(folders, str) else list(folders)
+    stream = stream_tree(store.spark, roots, options.rules)
+    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

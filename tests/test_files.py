@@ -19,7 +19,9 @@ from filelake.functions.images import dct_hash, image_hashes
 from filelake.operators import incremental
 from filelake.plans import pipeline, reports
 from filelake.plans.pipeline import ScanOptions
+from filelake.sources import archives
 from filelake.sources.archives import expand_archives
+from filelake.sources.files import MemberReader
 from filelake.sources.index_store import IndexStore
 from filelake.sources.listing import list_files, resolve_roots
 from filelake.sources.probe import with_bytes
@@ -145,25 +147,96 @@ def test_archives(spark, tmp_path):
         "b.tar.gz/y.txt",
     }
     deep = good["a.zip/t/inner.tar/deep.txt"]
-    assert (bytes(deep.content), deep.mtime, deep.size_bytes) == (b"deep text", 1234.0, 9)
+    assert (deep.mtime, deep.size_bytes, deep.mime_type, list(deep.place)) == (1234.0, 9, "text/plain", [0, 0])
     assert deep.crypto_hash == hashlib.sha256(b"deep text").hexdigest()
     assert good["a.zip/plain.txt"].mtime == 1577934246.0
+    with MemberReader() as reader:
+        assert all(hashlib.sha256(reader.read(r.member.asDict())).hexdigest() == r.crypto_hash for r in good.values())
     bad = {os.path.relpath(r.path, tmp_path) for r in rows if r.error}
     assert bad == {"x", "only.gz", "cut.zip"} and not (tmp_path.parent / "x").exists()
 
 
-def test_large_and_deep_members(spark, tmp_path):
+def expanded(spark, *paths, **options):
+    return expand_archives(spark.createDataFrame([(str(p),) for p in paths], "path string"), **options).collect()
+
+
+def test_members_at_any_depth(spark, tmp_path):
     data = zip_bytes({"big.txt": b"z" * 5000})
-    for i in range(4):
-        data = zip_bytes({f"n{i}.zip": data})
+    for i in range(9):
+        data = zip_bytes({f"n{i}.zip": data}) if i % 2 else tar_bytes({f"n{i}.zip": data}, ("w:gz", "w:xz", "w", "w:bz2")[i // 2 % 4])
     (tmp_path / "n.zip").write_bytes(data)
-    containers = spark.createDataFrame([(str(tmp_path / "n.zip"),)], "path string")
-    rows = expand_archives(containers, max_member_bytes=1000).collect()
+    rows = expanded(spark, tmp_path / "n.zip")
+    assert len(rows) == 10 and not [r.error for r in rows if r.error]
     big = [r for r in rows if r.filename == "big.txt"][0]
-    assert big.size_bytes == 5000 and big.content is None and len(big.head) == 4096
-    assert big.crypto_hash == hashlib.sha256(b"z" * 5000).hexdigest()
-    shallow = expand_archives(containers, max_depth=2).collect()
-    assert [r.error for r in shallow if r.error] == ["nested deeper than 2 archives"]
+    assert big.path.count("/n") >= 10 and big.crypto_hash == hashlib.sha256(b"z" * 5000).hexdigest() and len(big.place) == 10
+
+
+def test_an_archive_that_contains_itself_ends(spark, tmp_path, monkeypatch):
+    """Entries are read by range, so a file may be shown whose entry is the file itself."""
+    outer = tmp_path / "outer.tar"
+    inner = tar_bytes({"a.txt": b"a"})
+    outer.write_bytes(tar_bytes({"i.tar": inner, "j/i.tar": inner}))
+    digest = hashlib.sha256(inner).hexdigest()
+    df = spark.createDataFrame([(str(outer), digest)], "path string, crypto_hash string")
+    rows = expand_archives(df).collect()
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in rows if r.error) == ["outer.tar/i.tar", "outer.tar/j/i.tar"]
+    assert {r.error for r in rows} == {None, "the archive contains itself"} and not [r for r in rows if r.filename == "a.txt"]
+
+
+def test_one_archive_is_many_tasks(spark, tmp_path):
+    """10,000 members in one archive, dealt out by pieces and read by range."""
+    members = {f"d{i % 100}/m{i}.txt": f"member {i}".encode() * (i % 50 + 1) for i in range(10_000)}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    (tmp_path / "many.zip").write_bytes(out.getvalue())
+    (tmp_path / "many.tar").write_bytes(tar_bytes(members))
+    for name in ("many.zip", "many.tar"):
+        level = spark.createDataFrame([(str(tmp_path / name),) * 2], "path string, file string").selectExpr("*", "array('x') around", "array(cast(null as long)) place")
+        directory = archives.member_directory(level, 16)
+        rows = archives.read_directory(directory, 16).withColumn("task", F.spark_partition_id()).collect()
+        assert {r.path.split(name + "/")[1]: r.crypto_hash for r in rows} == {k: hashlib.sha256(v).hexdigest() for k, v in members.items()}
+        assert len({r.task for r in rows}) >= 8 and max(r.member.piece for r in rows) == 19
+
+
+def test_damaged_members_leave_the_others(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", b"a" * 1000)
+        z.writestr("b.txt", b"b" * 1000)
+        z.writestr(zipfile.ZipInfo("lzma.txt"), b"l" * 1000, zipfile.ZIP_LZMA)
+        z.writestr(zipfile.ZipInfo("bzip.txt"), b"z" * 1000, zipfile.ZIP_BZIP2)
+    data = bytearray(out.getvalue())
+    at = data.index(b"b.txt") + 8
+    data[at : at + 4] = b"\xff\xff\xff\xff"
+    (tmp_path / "x.zip").write_bytes(data)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in expanded(spark, tmp_path / "x.zip")}
+    assert set(rows) == {"a.txt", "b.txt", "lzma.txt", "bzip.txt"} and rows["b.txt"].error
+    assert [rows[n].crypto_hash for n in ("a.txt", "lzma.txt", "bzip.txt")] == [hashlib.sha256(c * 1000).hexdigest() for c in (b"a", b"l", b"z")]
+
+
+def test_members_are_told_like_files(spark, tmp_path, monkeypatch):
+    """Documents in archives by their whole directory, also one longer than what is held; large text members; images."""
+    monkeypatch.setattr(archives, "_TAIL", 4096)
+    late = {"docProps/thumb.bin": os.urandom(9000)} | {f"x{i}.bin": b"" for i in range(300)}
+    late["word/document.xml"] = zipfile.ZipFile(io.BytesIO(docx_bytes("late text"))).read("word/document.xml")
+    mail = ("x" * 70 + "\n") * 30_000 + "mail jo@example.org\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.zip").write_bytes(zip_bytes({"late.docx": zip_bytes(late), "big.txt": mail, ".hid/p.png": png_bytes(picture(1))}))
+    (tmp_path / "in" / "q.png").write_bytes(png_bytes(picture(1)))
+    with tarfile.open(tmp_path / "in" / "b.tgz", "w:gz") as t:
+        t.add(tmp_path / "in" / "a.zip", "n/a.zip")
+        t.add(tmp_path / "in" / "q.png", "q.png")
+    store = IndexStore(spark, str(tmp_path / "store"))
+    errors = pipeline.scan(store, [str(tmp_path / "in")], ScanOptions(max_text_bytes=100_000))
+    rows = {os.path.relpath(r.path, tmp_path / "in"): r for r in store.read().collect()}
+    assert errors.count() == 0 and len(rows) == 11
+    for prefix in ("a.zip", "b.tgz/n/a.zip"):
+        document = rows[f"{prefix}/late.docx"]
+        assert (document.mime_type, document.content) == (DOCX, "late text")
+        assert rows[f"{prefix}/big.txt"].content is None and rows[f"{prefix}/big.txt"].pii_types == ["EMAIL_ADDRESS"]
+    assert len({r.perceptual_hash for r in rows.values() if r.filename.endswith("png")}) == 1
 
 
 @pytest.mark.parametrize("from_disk", [False, True])
@@ -400,6 +473,27 @@ def test_document_told_by_its_whole_directory(spark, tmp_path):
     assert rows["late.docx"].mime_type == DOCX and rows["late.docx"].content == "late text"
     assert rows["broken.bin"].mime_type == "application/zip"
     assert store.read().where("path like '%late.docx/%'").count() == 0
+    # Ingest tells it in the same way.
+    other = IndexStore(spark, str(tmp_path / "other"))
+    ingest(other, str(tmp_path / "in"), str(tmp_path / "checkpoint")).awaitTermination()
+    order = lambda index: sorted(index.drop("pii_types", "content_embedding").collect(), key=lambda r: r.path)
+    assert order(other.read()) == order(store.read())
+
+
+def test_ingest_is_a_scan(spark, mixed_tree, tmp_path):
+    """Hidden names, image hashes and errors as in a scan; a repeated batch changes nothing."""
+    (mixed_tree / ".hid").mkdir()
+    (mixed_tree / ".hid" / "_p.png").write_bytes(png_bytes(picture(3)))
+    scanned, streamed = (IndexStore(spark, str(tmp_path / n)) for n in ("scanned", "streamed"))
+    wanted = {(r.stage, r.path) for r in pipeline.scan(scanned, [str(mixed_tree)]).collect()}
+    seen = []
+    ingest(streamed, [str(mixed_tree)], str(tmp_path / "c1"), on_errors=lambda e: seen.extend(e.collect())).awaitTermination()
+    order = lambda index: sorted(index.collect(), key=lambda r: r.path)
+    assert order(streamed.read()) == order(scanned.read()) and {(r.stage, r.path) for r in seen} == wanted
+    assert streamed.read().where("filename = '_p.png' and perceptual_hash is not null").count() == 1
+    version = streamed.current_version()
+    ingest(streamed, str(mixed_tree), str(tmp_path / "c2")).awaitTermination()  # from the start again
+    assert streamed.current_version() == version
 
 
 def test_bad_roots_are_reported(spark, corpus_tree, tmp_path):
