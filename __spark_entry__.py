@@ -30,6 +30,7 @@ except ModuleNotFoundError:
 
 HAMMING = 18
 NEAR_HAMMING = 4
+FAR_HAMMING = 12
 COSINE = 0.40
 TERM_COSINE = 0.95
 EXCLUSIONS = ["src1", "/corpus/src2", "src1?", "*/src7/*"]
@@ -234,6 +235,11 @@ def image_band_pairs(spark, d):
     return similarity.similar_images(corpus.images_with_copies(spark, d), HAMMING, method="bands")
 
 
+def image_neighbour_pairs(spark, d):
+    """A distance at which neighbours inside bands are sought."""
+    return similarity.similar_images(corpus.images_with_near_copies(spark, d), FAR_HAMMING, method="neighbours")
+
+
 def image_near_pairs(spark, d):
     """The threshold users work with, over images with planted near copies."""
     return similarity.similar_images(corpus.images_with_near_copies(spark, d), NEAR_HAMMING)
@@ -285,7 +291,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         lonely_files, lonely_files_count, largest_files, type_summary, pronom_summary, scan_history, error_rollup,
         image_dupes_exact, image_similar_pairs, image_band_pairs, image_similar_groups, similar_text_pairs,
         similar_text_groups, similar_docs_sparse, group_pairs, semantic_search,
-        search_text, image_near_pairs, audio_metadata, refine_retry_select,
+        search_text, image_near_pairs, image_neighbour_pairs, audio_metadata, refine_retry_select,
     ]
     named = {f.__name__: f for f in listed} | LLM_QUERIES
     if corpus_pipeline:
@@ -396,7 +402,7 @@ _IMAGE_EDGES = f"{_IMAGES}, {_image_edges('copied', HAMMING)}"
 _NEAR_EDGES = f"""{_IMAGES}, near AS (
   SELECT path, bits FROM copied UNION ALL
   SELECT replace(path, '/img/', '/img/near/'), xor(bits, 7::UBIGINT * CAST(pow(2, 61 - vec_id % 62) AS UBIGINT))
-  FROM images WHERE vec_id IN (SELECT doc_id FROM labels)), {_image_edges('near', NEAR_HAMMING)}"""
+  FROM images WHERE vec_id IN (SELECT doc_id FROM labels))"""
 _VECTOR_EDGES = f"""vecs AS (SELECT '/vec/' || vec_id AS path, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 reps AS (SELECT v, min(path) AS path FROM vecs GROUP BY v),
 edges AS (
@@ -567,7 +573,8 @@ def _table_sql() -> dict[str, str]:
             SELECT perceptual_hash, group_size, path FROM g WHERE group_size > 1 ORDER BY perceptual_hash, path""",
         "image_similar_pairs": f"WITH {_IMAGE_EDGES} SELECT src, dst, distance FROM edges",
         "image_band_pairs": f"WITH {_IMAGE_EDGES} SELECT src, dst, distance FROM edges",
-        "image_near_pairs": f"WITH {_NEAR_EDGES} SELECT src, dst, distance FROM edges",
+        "image_near_pairs": f"WITH {_NEAR_EDGES}, {_image_edges('near', NEAR_HAMMING)} SELECT src, dst, distance FROM edges",
+        "image_neighbour_pairs": f"WITH {_NEAR_EDGES}, {_image_edges('near', FAR_HAMMING)} SELECT src, dst, distance FROM edges",
         "image_similar_groups": _groups(_IMAGE_EDGES, "path"),
         "similar_text_pairs": f"WITH {_VECTOR_EDGES} SELECT src, dst, round(cosine, 6) AS cosine FROM edges",
         "similar_text_groups": _groups(_VECTOR_EDGES, "path"),

@@ -9,10 +9,11 @@ representatives are compared with each other. The edges are ``(src, dst, distanc
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations
 from math import ceil, comb, log2
 from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,15 @@ from pyspark.sql import functions as F
 from filelake.operators.skew import pair_tasks, spread, with_group_stats
 from filelake.session import cut_lineage
 
-# Rows per side of one comparison task.
+# Rows per side of one comparison task of joined rows.
 BLOCK_ROWS = 1024
+# Bytes and rows per side of one block product: what a task holds, and how long it takes, are bounded.
+BLOCK_BYTES = 8 << 20
+MAX_BLOCK_ROWS = 32_768
+# Rows of a block that are multiplied at a time.
+STRIP_ROWS = 512
+# Vectors at least this long are compared by their leading coordinates first.
+LEAD_FROM = 48
 MAX_PIVOTS = 256
 # Rows of one outgoing Arrow batch of copies.
 COPY_ROWS = 4096
@@ -33,6 +41,10 @@ MAX_BAND_DISTANCE = 10
 MAX_BAND_KEYS = 256
 # What shuffling and sorting one key costs, in comparisons of two hashes.
 KEY_COST = 10.0
+# Keys per hash beyond which neighbours are not enumerated.
+MAX_NEIGHBOURS = 20_000
+# Comparisons of hashes in one block product that take the time of one comparison of two joined rows.
+BLOCK_GAIN = 50.0
 # Heaviest terms whose product is known exactly when two documents meet.
 HEAD_TERMS = 32
 HASH_BITS = 64
@@ -68,11 +80,36 @@ class Angular:
         return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
     def hits(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that reach the cosine.
+
+        After a fixed rotation the product over the leading coordinates plus that of the norms
+        of the rest bounds the cosine from above; only pairs that pass are multiplied whole.
+        """
+        if a.shape[1] < LEAD_FROM or self.cosine <= 0:
+            return self._whole(a, b)
+        lead = max(16, a.shape[1] // 8)
+        rotation = _rotation(a.shape[1])[:, :lead]
+        a_lead, b_lead = a @ rotation, b @ rotation
+        a_rest, b_rest = (np.sqrt(np.maximum((x * x).sum(axis=1) - (y * y).sum(axis=1), 0)) for x, y in ((a, a_lead), (b, b_lead)))
+        i, j = np.nonzero(np.hstack([a_lead, a_rest[:, None]]) @ np.hstack([b_lead, b_rest[:, None]]).T >= self.cosine - 1e-9)
+        if len(i) * 8 > len(a) * len(b):
+            return self._whole(a, b)
+        scores = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[i[k : k + 65_536]], b[j[k : k + 65_536]]) for k in range(0, len(i), 65_536))])
+        near = scores >= self.cosine
+        return i[near], j[near], scores[near]
+
+    def _whole(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = a @ b.T
         i, j = np.nonzero(scores >= self.cosine)
         return i, j, scores[i, j]
 
 
+@cache
+def _rotation(size: int) -> np.ndarray:
+    """A fixed random rotation: it spreads a vector evenly over its coordinates."""
+    return np.linalg.qr(np.random.default_rng(size).normal(size=(size, size)))[0]
+
+
 class Hamming:
     """64-bit hashes under the number of differing bits."""
 
@@ -113,19 +150,27 @@ def _cells(points: DataFrame, metric: Angular | Hamming, wanted: int) -> tuple[n
     return pivots, size, reach
 
 
-def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _block_rows(points: DataFrame) -> int:
+    """Rows of a block by the bytes of its values."""
+    kind = points.schema["value"].dataType.typeName()
+    size = 8 if kind != "array" else 8 * (points.agg(F.max(F.size("value"))).first()[0] or 1)
+    return max(BLOCK_ROWS, min(MAX_BLOCK_ROWS, BLOCK_BYTES // size))
+
+
+def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int | None = None) -> DataFrame:
     """All pairs of ``(path, value)`` rows within the metric's radius: ``(src, dst, score)``.
 
     Points are assigned to the nearest of at most ``MAX_PIVOTS`` pivots. By the triangle
     inequality a point can only have partners in a cell whose ball it comes near and whose
     pivot is not too much farther than its own (the filters of ClusterJoin, Das Sarma et
     al. 2014), so most pairs of cells never meet at small radii. Cells are cut into blocks
-    of about ``block_rows`` points, and a point travels once per block it may have
-    partners in. A huge cell therefore becomes many tasks of bounded size. Only the pivots
+    of ``block_rows`` points, by default as many as a task can hold and multiply, and a point
+    travels once per block it may have partners in. A huge cell therefore becomes many tasks of bounded size. Only the pivots
     and one count and radius per pivot pass through the driver.
     """
     points = cut_lineage(points.select("path", "value"))
     total = points.count()
+    block_rows = block_rows or _block_rows(points)
     wanted = min(MAX_PIVOTS, ceil(total / (4 * block_rows)))
     # One cell will do for few points, and at 90 degrees and more, where nothing can be ruled out.
     prune = wanted > 1 and not (isinstance(metric, Angular) and metric.cosine <= 0)
@@ -187,10 +232,15 @@ def metric_pairs(points: DataFrame, metric: Angular | Hamming, block_rows: int =
         if left.num_rows and right.num_rows:
             a = metric.load(left.column("value").combine_chunks())
             b = a if lo == hi else metric.load(right.column("value").combine_chunks())
-            i, j, score = metric.hits(a, b)
-            if lo == hi:
-                once = i < j
-                i, j, score = i[once], j[once], score[once]
+            found = []
+            for start in range(0, len(a), STRIP_ROWS):
+                # Within a block the rows before the strip have met it already.
+                skip = start if lo == hi else 0
+                x, y, s = metric.hits(a[start : start + STRIP_ROWS], b[skip:])
+                x, y = x + start, y + skip
+                once = x < y if lo == hi else np.ones(len(x), bool)
+                found.append((x[once], y[once], s[once]))
+            i, j, score = (np.concatenate([f[k] for f in found]) for k in range(3))
         return pa.table({"x": left.column("path").take(i), "y": right.column("path").take(j), "score": score})
 
     routed = points.select("path", "value", F.pmod(F.xxhash64("path", F.lit(7)), F.lit(1 << 40)).alias("salt")).mapInArrow(
@@ -294,6 +344,99 @@ def band_pairs(
     )
 
 
+# --- neighbours inside bands ---------------------------------------------------------
+
+
+class Neighbours(NamedTuple):
+    """Bands of bits, and how many bits may differ in each."""
+
+    widths: list[int]
+    radii: list[int]
+
+    def keys(self) -> int:
+        """Keys a hash is sought under."""
+        return sum(_ball(w, r) for w, r in zip(self.widths, self.radii))
+
+    def share(self, information: float) -> float:
+        """The part of all pairs that meet, if the bits carry ``information`` in all."""
+        return sum(_ball(w, r) / 2.0 ** (w * information / HASH_BITS) for w, r in zip(self.widths, self.radii))
+
+
+def _ball(width: int, radius: int) -> int:
+    return sum(comb(width, k) for k in range(min(radius, width) + 1))
+
+
+def neighbour_scheme(distance: int, rows: int, information: float = HASH_BITS) -> tuple[Neighbours, float]:
+    """The cheapest bands whose neighbours are enumerated, and the cost of a hash in comparisons.
+
+    If the bits that may differ in the bands add up to ``distance - bands + 1``, hashes within
+    ``distance`` lie in the ball of one band at least (the general pigeonhole principle, Qin et
+    al. 2018). That holds for any number of bands; few bands have many neighbours each, many
+    bands are short and meet many hashes.
+    """
+    best: tuple[Neighbours, float] | None = None
+    for bands in range(2, min(distance + 1, 16) + 1):
+        widths = [HASH_BITS // bands + (k < HASH_BITS % bands) for k in range(bands)]
+        total = distance - bands + 1
+        radii = [total // bands + (k < total % bands) for k in range(bands)]
+        scheme = Neighbours(widths, radii)
+        cost = scheme.keys() * KEY_COST + rows * scheme.share(information)
+        if scheme.keys() <= MAX_NEIGHBOURS and (best is None or cost < best[1]):
+            best = scheme, cost
+    return best if best else (Neighbours([HASH_BITS], [distance]), float("inf"))
+
+
+def _turns(mask: int, radius: int) -> list[int]:
+    """All ways to turn at most ``radius`` bits of a mask."""
+    bits = [1 << i for i in range(HASH_BITS) if mask >> i & 1]
+    return [_signed(sum(c)) for k in range(radius + 1) for c in combinations(bits, k)]
+
+
+def neighbour_pairs(points: DataFrame, distance: int, scheme: Neighbours | None = None) -> DataFrame:
+    """All pairs of ``(path, value)`` rows, values distinct, within ``distance`` differing bits.
+
+    One side is keyed by its band values, the other by all values within the band's radius, so
+    two hashes meet exactly if they are near in some band. The bits are dealt out to bands by
+    information. A pair is reported by its first near band, and by the lesser path's search.
+    Rows per hash depend on the scheme alone, not on the number of hashes; a key that many
+    hashes share is split by the skew handling of the join.
+    """
+    points = cut_lineage(points)
+    rows, entropy = bit_entropy(points)
+    scheme = scheme or neighbour_scheme(distance, rows, sum(entropy))[0]
+    masks = band_masks(entropy, len(scheme.radii))
+    # Wider balls belong to the bands that say more.
+    told = sorted(range(len(masks)), key=lambda k: -sum(entropy[i] for i in range(HASH_BITS) if masks[k] >> i & 1))
+    masks, radii = [masks[k] for k in told], sorted(scheme.radii, reverse=True)
+
+    sought, held = [], []
+    for band, (mask, radius) in enumerate(zip(masks, radii)):
+        own = F.col("value").bitwiseAND(F.lit(_signed(mask)))
+        turns = F.from_json(F.lit(str(_turns(mask, radius))), "array<bigint>")
+        sought.append(points.select(F.lit(band).alias("band"), "path", "value", F.explode(turns).alias("turn")).select("band", own.bitwiseXOR(F.col("turn")).alias("key"), F.col("path").alias("x"), F.col("value").alias("xv")))
+        held.append(points.select(F.lit(band).alias("band"), own.alias("key"), F.col("path").alias("y"), F.col("value").alias("yv")))
+    apart = F.col("xv").bitwiseXOR(F.col("yv"))
+    first = F.lit(True)
+    for band, (mask, radius) in enumerate(zip(masks, radii)):
+        first = first & ((F.col("band") <= band) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(mask)))) > radius))
+    met = reduce(DataFrame.unionByName, sought).join(reduce(DataFrame.unionByName, held), ["band", "key"])
+    near = met.where((F.col("x") < F.col("y")) & (F.bit_count(apart) <= distance) & first)
+    return near.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.bit_count(apart).cast("double").alias("score"))
+
+
+def hash_pairs(points: DataFrame, distance: int) -> DataFrame:
+    """Pairs of hashes by the method whose estimated cost is least for their number and distance."""
+    if distance <= MAX_BAND_DISTANCE:
+        return band_pairs(points, distance)
+    points = cut_lineage(points)
+    rows, entropy = bit_entropy(points)
+    # Blocks compare all pairs, but many at a time.
+    blocks = rows / 2 / BLOCK_GAIN
+    if neighbour_scheme(distance, rows, sum(entropy))[1] < blocks:
+        return neighbour_pairs(points, distance)
+    return metric_pairs(points, Hamming(distance))
+
+
 def similar_images(index: DataFrame, threshold: int = 0, method: str = "auto") -> DataFrame:
     """Edges ``(src, dst, distance)`` between images whose hashes differ in at most ``threshold`` bits."""
     if not 0 <= threshold <= HASH_BITS:
@@ -306,14 +449,12 @@ def similar_images(index: DataFrame, threshold: int = 0, method: str = "auto") -
     if threshold == 0:
         return copies
     points = marked.where("path = rep").select("path", "value")
-    if method == "bands" or (method == "auto" and threshold <= MAX_BAND_DISTANCE):
-        near = band_pairs(points, threshold)
-    else:
-        near = metric_pairs(points, Hamming(threshold))
+    methods = {"auto": hash_pairs, "bands": band_pairs, "neighbours": neighbour_pairs, "blocks": lambda p, t: metric_pairs(p, Hamming(t))}
+    near = methods[method](points, threshold)
     return copies.unionByName(near.select("src", "dst", F.col("score").cast("int").alias("distance")))
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int | None = None) -> DataFrame:
     """Edges ``(src, dst, cosine)`` between vectors with a cosine of at least ``threshold``.
 
     A zero vector has cosine 0 with everything, so it has no edge above a threshold of 0.

@@ -47,6 +47,22 @@ def test_band_and_metric_pairs_equal_brute_force(hashes, distance):
         assert pairs_of(band_pairs(df, distance, scheme, block_rows=16)) == want
 
 
+@pytest.mark.parametrize("distance, widths, radii", [(12, [16] * 4, [3, 2, 2, 2]), (18, [13, 13, 13, 13, 12], [3, 3, 3, 3, 2]), (11, [22, 21, 21], [3, 3, 3])])
+def test_neighbour_pairs_equal_brute_force(hashes, distance, widths, radii):
+    df, apart = hashes
+    want = {(f"i{i:04d}", f"i{j:04d}") for i, j in zip(*np.nonzero(np.triu(apart <= distance, 1)))}
+    scheme = similarity.Neighbours(widths, radii)
+    assert sum(radii) == distance - len(radii) + 1 and scheme.keys() < 20_000
+    few = df if scheme.keys() < 2_000 else df.where("path < 'i0060'")
+    assert pairs_of(similarity.neighbour_pairs(few, distance, scheme)) == {p for p in want if few is df or p[1] < "i0060"}
+
+
+def test_neighbours_are_chosen_when_they_pay():
+    scheme, cost = similarity.neighbour_scheme(12, 10**9)
+    assert scheme.radii == [4, 3, 3] and scheme.share(64) < 0.004 and cost < 1e9 / 2 / similarity.BLOCK_GAIN
+    assert similarity.neighbour_scheme(18, 10**5)[1] > 1e5 / 2 / similarity.BLOCK_GAIN
+
+
 def test_band_scheme_takes_longer_keys_for_more_rows():
     small, large = band_scheme(4, 1_000), band_scheme(4, 10**10)
     assert small[0] - small[1] == large[0] - large[1] == 4
