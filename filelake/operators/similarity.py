@@ -8,8 +8,9 @@ representatives are compared with each other. The edges are ``(src, dst, distanc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, reduce
+from hashlib import blake2b
 from itertools import combinations
 from math import ceil, comb, log2
 from operator import add
@@ -17,7 +18,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filelake.operators.skew import pair_tasks, spread, with_group_stats
@@ -47,6 +49,8 @@ MAX_NEIGHBOURS = 20_000
 BLOCK_GAIN = 50.0
 # Heaviest terms whose product is known exactly when two documents meet.
 HEAD_TERMS = 32
+# Postings per side of one comparison task of a frequent term.
+TERM_BLOCK_ROWS = 4096
 HASH_BITS = 64
 
 
@@ -479,138 +483,238 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.95, block_rows: int
 
 # --- sparse term vectors -------------------------------------------------------------
 
+_BAGS = pa.schema(
+    [("doc", pa.int64()), ("path", pa.string()), ("key", pa.binary()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))]
+)
+_BAGS_DDL = "doc long, path string, key binary, terms array<long>, tfs array<int>"
+_POSTINGS = pa.schema([("bucket", pa.int64()), ("term", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("rest", pa.float64()), ("light", pa.float64()), ("head", pa.binary())])
+_POSTINGS_DDL = "bucket long, term long, doc long, n long, rest double, light double, head binary"
+# Words or postings that numpy handles at a time.
+_BATCH_WORDS = 500_000
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+
+
+def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term lists of texts in rising order of the terms' 64-bit hashes, and a digest of each list."""
+    part, number = TaskContext.get().partitionId() << 33, 0
+
+    def bag(paths: list[str], texts: list[list[bytes]]) -> pa.RecordBatch:
+        coded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+        hashes = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        pairs, tfs = np.unique(owner * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
+        terms = hashes[order][pairs % max(1, len(order))].view(np.int64)
+        sizes = np.bincount(pairs // max(1, len(order)), minlength=len(texts))
+        ends = np.cumsum(sizes)
+        keys = [blake2b(terms[e - n : e].tobytes() + tfs[e - n : e].astype("<i8").tobytes(), digest_size=16).digest() for e, n in zip(ends, sizes)]
+        columns = [pa.array(np.arange(len(texts)) + (part | number)), pa.array(paths), pa.array(keys, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, _lists(terms, sizes, pa.int64()), _lists(tfs, sizes, pa.int32())], schema=_BAGS)
+
+    paths, texts, size = [], [], 0
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = text.encode().split()  # bytes are parted at ASCII white space alone
+            if words:
+                paths.append(path)
+                texts.append(words)
+                size += len(words)
+            if size >= _BATCH_WORDS:
+                yield bag(paths, texts)
+                number += len(paths)
+                paths, texts, size = [], [], 0
+    if paths:
+        yield bag(paths, texts)
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a column of lists."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return array.flatten().to_numpy(zero_copy_only=False), array.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _running(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums from each place to the end of its list."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    return total[ends] - total[:-1]
+
+
+def _index_terms(threshold: float, head: np.ndarray, buckets: int):
+    """Postings of each document's rarest terms, up to where the rest cannot reach the threshold."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, sizes = _flat(batch.column("terms"))
+            tfs, dfs = _flat(batch.column("tfs"))[0].astype(float), _flat(batch.column("dfs"))[0]
+            norms = batch.column("norm").to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((terms, dfs, owner))  # rare terms first; terms met once never meet
+            terms, weight, dfs = terms[order], tfs[order] / norms[owner], dfs[order]
+            place = np.searchsorted(head, terms)
+            heavy = (head[np.minimum(place, len(head) - 1)] == terms) & (dfs > 1)
+            shared = np.where(dfs > 1, weight * weight, 0.0)
+            rest, light = np.sqrt(_running(shared, sizes)), np.sqrt(np.maximum(_running(np.where(heavy, 0.0, shared), sizes), 0))
+            # Rounded up to 16 bits, so that products are not too small.
+            heads = np.zeros((len(sizes), len(head)), np.uint16)
+            heads[owner[heavy], place[heavy]] = np.ceil(np.minimum(weight[heavy], 1.0) * 65_535)
+            kept = np.flatnonzero((rest >= threshold - 1e-9) & (dfs > 1))
+            docs = batch.column("doc").to_numpy()
+            for start in range(0, len(kept), 65_536):
+                k = kept[start : start + 65_536]
+                blobs = [heads[i].tobytes() for i in owner[k].tolist()]
+                columns = [pa.array(np.abs(terms[k] % buckets)), pa.array(terms[k]), pa.array(docs[owner[k]]), pa.array(dfs[k]), pa.array(rest[k]), pa.array(light[k])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], schema=_POSTINGS)
+
+    return run
+
+
+def _meet(threshold: float, width: int):
+    """Pairs of documents that meet at a term and may reach the threshold, each once per group.
+
+    A group holds the postings of some terms, or of two blocks of one frequent term.
+    """
 
-def _exact_products(pairs: pa.Table, bags: pa.Table) -> pa.Table:
-    """Cosines of the pairs of one group, from the term lists of its documents."""
-    terms = bags.column("terms").combine_chunks()
-    ids = terms.flatten().dictionary_encode()
-    width, ids = len(ids.dictionary), ids.indices.to_numpy(zero_copy_only=False)
-    weights = bags.column("tfs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))
-    starts = np.concatenate([[0], ends[:-1]])
-    norms = bags.column("norm").to_numpy()
-    position = {path: i for i, path in enumerate(bags.column("path").to_pylist())}
-
-    pairs = pairs.sort_by("src")
-    src, dst = pairs.column("src").to_pylist(), pairs.column("dst").to_pylist()
-    out, row, last = np.empty(len(src)), np.zeros(width), None
-    for k, (x, y) in enumerate(zip(src, dst)):
-        i, j = position[x], position[y]
-        if i != last:
-            if last is not None:
-                row[ids[starts[last] : ends[last]]] = 0.0
-            row[ids[starts[i] : ends[i]]] = weights[starts[i] : ends[i]]
-            last = i
-        out[k] = row[ids[starts[j] : ends[j]]] @ weights[starts[j] : ends[j]] / (norms[i] * norms[j])
-    return pa.table({"src": pairs.column("src"), "dst": pairs.column("dst"), "cosine": pa.array(out)})
-
-
-def _verify(candidates: DataFrame, counts: DataFrame) -> DataFrame:
-    """Exact cosines of candidate pairs, given the term counts of all documents.
+    def run(table: pa.Table) -> pa.Table:
+        term, doc, own = (table.column(c).to_numpy() for c in ("term", "doc", "own"))
+        rest, light = table.column("rest").to_numpy(), table.column("light").to_numpy()
+        heads = np.frombuffer(b"".join(table.column("head").to_pylist()), np.uint16).reshape(-1, width).astype(np.float32) / 65_535
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        order = np.lexsort((own, term))
+        term, doc, rest, light, heads, own = term[order], doc[order], rest[order], light[order], heads[order], own[order]
+        fresh = np.concatenate([[True], term[1:] != term[:-1]])
+        group_end = np.append(np.flatnonzero(fresh)[1:], len(term))[np.cumsum(fresh) - 1]
+        index = np.arange(len(term))
+        if lo == hi:
+            first, many = index + 1, group_end - index - 1
+        else:
+            # Rows of the lower block meet those of the higher one, which follow them.
+            split = int(np.searchsorted(own, hi)) if hi > lo else len(own)
+            first, many = np.full(len(term), split), np.where(index < split, len(term) - split, 0)
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        ends = np.cumsum(many)
+        start = 0
+        while start < len(many):
+            # Rows whose partners are looked at together.
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000, "right")))
+            n = many[start:stop]
+            x = np.repeat(index[start:stop], n)
+            y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)
+            pass_ = rest[x] * rest[y] >= threshold - 1e-9
+            x, y = x[pass_], y[pass_]
+            pass_ = np.einsum("ij,ij->i", heads[x], heads[y]) + light[x] * light[y] >= threshold - 1e-5
+            x, y = doc[x[pass_]], doc[y[pass_]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            start = stop
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _exact_products(threshold: float):
+    """Pairs of one group that reach the threshold, from the term lists of its documents."""
+
+    def run(pairs: pa.Table, bags: pa.Table) -> pa.Table:
+        doc, norms = bags.column("doc").to_numpy(), bags.column("norm").to_numpy()
+        order = np.argsort(doc)
+        terms, sizes = _flat(bags.column("terms"))
+        tfs = _flat(bags.column("tfs"))[0].astype(float)
+        first = np.cumsum(sizes) - sizes
+        codes = np.unique(terms.view(np.uint64), return_inverse=True)[1]
+        wide = int(codes.max()) + 1 if len(codes) else 1
+        keys = np.repeat(np.arange(len(sizes)), sizes) * wide + codes  # rising: lists are sorted
+        x, y = (order[np.searchsorted(doc[order], pairs.column(c).to_numpy())] for c in ("a", "b"))
+        # The shorter list is looked up in the longer one.
+        x, y = np.where(sizes[x] >= sizes[y], x, y), np.where(sizes[x] >= sizes[y], y, x)
+        cosine = np.empty(len(x))
+        ends, start = np.cumsum(sizes[y]), 0
+        while start < len(x):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 1_000_000, "right")))
+            n = sizes[y[start:stop]]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[y[start:stop]], n)
+            sought = np.repeat(x[start:stop], n) * wide + codes[at]
+            place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            product = np.where(keys[place] == sought, tfs[place] * tfs[at], 0.0)
+            cosine[start:stop] = np.add.reduceat(product, np.cumsum(n) - n) / (norms[x[start:stop]] * norms[y[start:stop]])
+            start = stop
+        near = np.flatnonzero(cosine >= threshold)
+        paths = bags.column("path")
+        one, other = paths.take(pa.array(x[near])), paths.take(pa.array(y[near]))
+        return pa.table({"x": one, "y": other, "cosine": cosine[near]})
+
+    return run
+
+
+def _verify(candidates: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Exact cosines of candidate pairs ``(a, b)`` of document numbers.
 
     Documents are hashed into blocks and pairs grouped by block pair, with the term lists
-    their documents need. The number of blocks follows the number of pairs and of terms,
+    their documents need. The number of blocks follows the number of pairs and documents,
     so a group stays small and a document with many partners is spread over many groups.
     """
-    blocks = max(1, ceil((candidates.count() / 2000) ** 0.5), ceil(counts.count() / 4_000_000))
+    blocks = max(1, ceil((candidates.count() / 5_000) ** 0.5), ceil(bags.count() / 20_000))
 
     def block(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(blocks))
 
-    pairs = candidates.withColumns(
-        {"lo": F.least(block("src"), block("dst")), "hi": F.greatest(block("src"), block("dst"))}
-    )
-    needed = pairs.select("lo", "hi", F.explode(F.array("src", "dst")).alias("path")).distinct()
-    bags = counts.groupBy("path").agg(
-        F.collect_list(F.struct("term", "tf")).alias("bag"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")
-    )
-    lists = bags.select("path", F.col("bag.term").alias("terms"), F.col("bag.tf").alias("tfs"), "norm")
-    wanted = needed.join(lists, "path").withColumnsRenamed({"lo": "first", "hi": "second"})
-    # Fresh column ids: both sides come from the candidates.
-    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])
+    pairs = candidates.withColumns({"lo": F.least(block("a"), block("b")), "hi": F.greatest(block("a"), block("b"))})
+    needed = pairs.select(F.col("lo").alias("first"), F.col("hi").alias("second"), F.explode(F.array("a", "b")).alias("doc")).distinct()
+    lists = bags.select(F.col("doc").alias("d"), "path", "terms", "tfs", "norm")
+    wanted = needed.join(lists, F.col("doc") == F.col("d")).select("first", "second", "doc", "path", "terms", "tfs", "norm")
     grouped = pairs.groupBy("lo", "hi").cogroup(wanted.groupBy("first", "second"))
-    return grouped.applyInArrow(_exact_products, "src string, dst string, cosine double")
+    found = grouped.applyInArrow(_exact_products(threshold), "x string, y string, cosine double")
+    return found.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "cosine")
 
 
-def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_documents(documents: DataFrame, threshold: float = 0.95, block_rows: int = TERM_BLOCK_ROWS) -> DataFrame:
     """Edges ``(src, dst, cosine)`` between ``(path, text)`` rows by their term frequencies.
 
     An inverted-index join with exact pruning (Bayardo et al. 2007; Anastasiu and Karypis
-    2014). Terms are ordered from rare to common. A document is indexed only under its
-    first terms, up to where the norm of the rest falls below the threshold: two documents
-    that meet only in the rest cannot reach it. A meeting at a term is kept only if the
-    exact product over the few heaviest terms of the corpus, plus the norms of both
-    remainders from that term on, allow the threshold. That always holds at the first
-    term a true pair shares.
+    2014). A document is one row of numbers: its terms' 64-bit hashes and their counts. Terms
+    are ordered from rare to common, and a document is indexed only under its first terms, up
+    to where the norm of the rest falls below the threshold: two documents that meet only in
+    the rest cannot reach it. A meeting at a term is kept only if the norms of both remainders
+    from that term on allow the threshold, and so do the products over the few heaviest terms
+    of the corpus with the norms of what is left. That always holds at the first term a true
+    pair shares. Postings meet in buckets of terms; a term with many is cut into block pairs.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    texts = spread(documents.where("text is not null").select("path", "text"), "path")
-    split = texts.where(F.col("text").rlike(r"[^ \t\n\r\f\x0b]")).select("path", words.alias("words"))
-    # Equal term counts mean equal sorted word lists.
-    signed = split.withColumn("key", F.sha2(F.array_join(F.sort_array("words"), " "), 256))
-    signed = cut_lineage(signed.select("path", "key"))
-    marked = cut_lineage(with_group_stats(signed, "key", "path", minimum={"rep": F.col("path")}))
-    copies = marked.where("path <> rep").select(
-        F.col("rep").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("cosine")
-    )
-
-    reps = split.join(marked.where("path = rep").select("path"), "path", "left_semi")
-    counts = reps.select("path", F.explode("words").alias("term")).groupBy("path", "term").agg(
-        F.count(F.lit(1)).cast("double").alias("tf")
-    )
-    counts = cut_lineage(counts)
-    weighted = with_group_stats(counts, "term", "path", F.col("df") > 1, count="df")
-    norms = counts.groupBy("path").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-
-    # The heaviest terms of the whole corpus: a fixed number of strings.
-    shares = counts.join(norms, "path").select("path", "term", (F.col("tf") / F.col("norm")).alias("w"))
-    heaviest = shares.groupBy("term").agg(F.sum(F.col("w") * F.col("w")).alias("m")).orderBy(F.desc("m"), "term")
-    head = [row["term"] for row in heaviest.limit(HEAD_TERMS).collect()]
-    if not head:
+    texts = spread(documents.where("text is not null").select("path", F.lower("text").alias("text")), "path")
+    bags = cut_lineage(texts.mapInArrow(_bags, _BAGS_DDL))
+    marked = cut_lineage(with_group_stats(bags.select("path", "key"), "key", "path", minimum={"rep": F.col("path")}))
+    copies = marked.where("path <> rep").select(F.col("rep").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("cosine"))
+
+    square = F.aggregate("tfs", F.lit(0.0), lambda total, t: total + t.cast("double") * t)
+    reps = bags.join(marked.where("path = rep").select("path"), "path", "left_semi").withColumn("norm", F.sqrt(square))
+    cells = reps.select("doc", "norm", F.explode(F.arrays_zip("terms", "tfs")).alias("cell")).select("doc", "norm", "cell.terms", "cell.tfs")
+    weight = F.col("tfs") / F.col("norm")
+    facts = cut_lineage(cells.groupBy("terms").agg(F.count(F.lit(1)).alias("df"), F.sum(weight * weight).alias("mass")).where("df > 1"))
+    # The heaviest terms of the whole corpus: a fixed number.
+    heaviest = facts.orderBy(F.desc("mass"), "terms").select("terms").limit(HEAD_TERMS).collect()
+    if not heaviest:
         return copies
-    slots = [F.coalesce(F.max(F.when(F.col("term") == h, F.col("w"))), F.lit(0.0)) for h in head]
-    heads = shares.where(F.col("term").isin(head)).groupBy("path").agg(F.array(*slots).alias("head"))
-
-    # Terms found in one document only never meet, so the remainders below leave them out.
-    tail = Window.partitionBy("path").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    square = F.col("tf") * F.col("tf")
-    light = F.when(~F.col("term").isin(head), square).otherwise(0.0)
-    limit = threshold - 1e-9
-    indexed = (
-        weighted.join(norms, "path")
-        .withColumn("rest", F.sqrt(F.sum(square).over(tail)) / F.col("norm"))
-        .withColumn("light", F.sqrt(F.sum(light).over(tail)) / F.col("norm"))
-        .where(F.col("rest") >= limit)
-        .select("term", "path", "rest", "light")
-    )
-    # Read three times below, and narrow until the heads are added.
-    met = cut_lineage(with_group_stats(indexed, "term", "path", F.col("n") > 1, count="n"))
-    no_head = F.array(*[F.lit(0.0)] * len(head))
-    headed = met.join(heads, "path", "left").withColumn("head", F.coalesce("head", no_head))
-    tasks = pair_tasks(headed, ["term"], "path", "n", block_rows)
-    join_key = ["term", "lo", "hi"]
-
-    def side(block: str, letter: str) -> DataFrame:
-        renamed = {"path": letter, "rest": f"{letter}r", "light": f"{letter}l", "head": f"{letter}h"}
-        return tasks.where(F.col("block") == F.col(block)).select(
-            *join_key, *[F.col(c).alias(name) for c, name in renamed.items()]
-        )
-
-    # Element by element, since that is compiled; a higher-order function is not.
-    head_product = reduce(add, [F.col("xh")[i] * F.col("yh")[i] for i in range(len(head))])
-    candidates = (
-        side("lo", "x")
-        .join(side("hi", "y"), join_key)
-        .where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
-        .where(F.col("xr") * F.col("yr") >= limit)
-        .where(head_product + F.col("xl") * F.col("yl") >= limit)
-        .select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
-        .distinct()
-    )
-
-    near = _verify(cut_lineage(candidates), counts).where(F.col("cosine") >= threshold)
-    return copies.unionByName(near)
+    head = np.sort(np.array([r["terms"] for r in heaviest], np.int64))
+
+    # Terms of one document never meet and are left out, but count in its norm.
+    known = cells.join(facts.select("terms", "df"), "terms").groupBy("doc", "norm").agg(F.collect_list(F.struct("terms", "tfs", "df")).alias("list"))
+    columns = [F.col("list.terms").alias("terms"), F.col("list.tfs").alias("tfs"), F.col("list.df").alias("dfs")]
+    postings = known.select("doc", "norm", *columns).mapInArrow(_index_terms(threshold, head, 1 << 20), _POSTINGS_DDL)
+    # A term has at most as many postings as documents.
+    total = facts.agg(F.sum("df")).first()[0]
+    tasks = pair_tasks(postings, ["term"], "doc", "n", block_rows)
+    # Terms of one block share buckets; block pairs of a frequent term are groups of their own.
+    single = F.col("n") <= block_rows
+    tasks = tasks.select(
+        F.when(single, F.pmod("bucket", F.lit(max(1, total // 100_000)))).otherwise(F.col("term")).alias("group"), single.alias("single"),
+        "lo", "hi", F.col("block").alias("own"), "term", "doc", "rest", "light", "head",
+    )
+    met = tasks.groupBy("single", "group", "lo", "hi").applyInArrow(_meet(threshold, len(head)), "a long, b long")
+    candidates = cut_lineage(met.distinct())
+    return copies.unionByName(_verify(candidates, reps, threshold))
