@@ -105,7 +105,7 @@ def extract_html_text(spark, d):
 
 def embed_text(spark, d):
     files = spread(corpus.documents_as_files(spark, d).select("path", "content"), "path")
-    docs = files.select("path", vectors.embed_text(F.col("content")).alias("v"))
+    docs = vectors.with_embedding(files, "content", "v").select("path", "v")
     return docs.select("path", F.posexplode("v").alias("dim", "w")).where("w <> 0").select("path", "dim", F.round("w", 6).alias("weight"))
 
 
@@ -277,7 +277,7 @@ def search_text(spark, d):
     """Documents most like the first one that has words, given as a text."""
     docs = spread(corpus.documents_as_files(spark, d).select("path", "content", "mtime"), "path")
     text = docs.where(F.trim("content") != "").orderBy("mtime").select("content").first()[0]
-    index = docs.select("path", vectors.embed_text(F.col("content")).alias("content_embedding"))
+    index = vectors.with_embedding(docs.select("path", "content"), "content", "content_embedding")
     return reports.search_text(index, text)
 
 

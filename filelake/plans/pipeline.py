@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from filelake.functions.images import image_hashes
 from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
 from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
-from filelake.functions.vectors import embed_text, hashed_encoder
+from filelake.functions.vectors import embed_text, with_embedding
 from filelake.operators.incremental import (
     changed_files,
     formats_to_refine_under,
@@ -53,7 +54,9 @@ class ScanOptions:
     perceptual_hash: bool = True
     unexpanded_extensions: Sequence[str] = tuple(UNEXPANDED_EXTENSIONS)
     extractors: dict[str, Extractor] = field(default_factory=lambda: dict(EXTRACTORS))
-    make_encoder: Callable = hashed_encoder
+    # A fitted Spark ML encoder, or what makes a Python one (for neural models); by default word counts.
+    encoder: PipelineModel | None = None
+    make_encoder: Callable | None = None
     # Larger files are not given to an extractor; their raw text is scanned for personal data.
     max_text_bytes: int = MAX_TEXT_BYTES
 
@@ -78,9 +81,13 @@ def with_text(files: DataFrame, options: ScanOptions) -> DataFrame:
     extractable = is_extractable(mime, F.col("size_bytes"), options.extractors, options.max_text_bytes)
     rows = with_bytes(files.drop("content", "head", "tail"), extractable)
     rows = rows.withColumn("__text", extract_text(mime, F.col("content"), options.extractors, options.max_text_bytes))
+    if options.make_encoder:
+        rows = rows.withColumn("content_embedding", embed_text(F.col("__text"), options.make_encoder))
+    else:
+        rows = with_embedding(rows, "__text", "content_embedding", options.encoder)
     rows = rows.withColumns(
         {
-            "content_embedding": embed_text(F.col("__text"), options.make_encoder).cast("array<float>"),
+            "content_embedding": F.col("content_embedding").cast("array<float>"),
             "pii_types": pii_types(F.when(is_scannable(mime, F.col("__text")), F.col("__text")), options.pii_languages),
             # Files without an extractor stay untried, so that a later run with one takes them.
             "text_extracted": F.coalesce(extractable, F.lit(False)),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelake.functions.vectors import cosine_to, hashed_encoder
+from filelake.functions.vectors import cosine_to, with_embedding
 from filelake.operators.components import connected_components
 from filelake.operators.similarity import similar_images, similar_vectors
 from filelake.operators.skew import with_group_stats
@@ -82,11 +83,14 @@ def semantic_search(index: DataFrame, query: list[float], limit: int = 10) -> Da
     return top.select("path", F.round("__score", 4).alias("score"))
 
 
-def search_text(index: DataFrame, text: str, limit: int = 10, make_encoder: Callable = hashed_encoder) -> DataFrame:
+def search_text(index: DataFrame, text: str, limit: int = 10, encoder: PipelineModel | None = None, make_encoder: Callable | None = None) -> DataFrame:
     """Files most similar to a text, which is encoded as the index was."""
     if not text.strip():
         raise ValueError("the query is empty")
-    return semantic_search(index, [float(x) for x in make_encoder()(text)], limit)
+    if make_encoder:
+        return semantic_search(index, [float(x) for x in make_encoder()(text)], limit)
+    asked = with_embedding(index.sparkSession.createDataFrame([(text,)], "text string"), "text", "v", encoder)
+    return semantic_search(index, asked.first()["v"], limit)
 
 
 def largest_files(index: DataFrame, limit: int = 20) -> DataFrame:

@@ -1,7 +1,10 @@
 """Rules, incremental filters, upserts, formats and reports on small tables."""
 
+import hashlib
+
 import pytest
 from conftest import plan_of
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from filelake.functions import formats, media, paths, pii, vectors
@@ -207,7 +210,7 @@ def test_pii(spark, text, languages, types):
 
 def test_search_by_text(spark):
     rows = [("a", "red apples and pears"), ("b", "blue sky"), ("c", "red apples and pears"), ("d", None), ("e", "red apples")]
-    index = spark.createDataFrame(rows, "path string, content string").withColumn("content_embedding", vectors.embed_text(F.col("content")))
+    index = vectors.with_embedding(spark.createDataFrame(rows, "path string, content string"), "content", "content_embedding")
     found = [tuple(r) for r in reports.search_text(index, "Red Apples").collect()]
     assert found[0] == ("e", 1.0) and [f[0] for f in found[1:3]] == ["a", "c"] and "d" not in dict(found)
     with pytest.raises(ValueError):
@@ -290,3 +293,22 @@ def test_media_json(spark):
 def test_exif_json(spark):
     df = spark.createDataFrame([("p", 271, "Old", 1), ("p", 271, "Make", 2), ("p", 9999, "x", 1)], "path string, tag_id int, value string, seq int")
     assert media.exif_json(media.exif_names(df)).first().exif_data == '{"9999":"x","Make":"Make"}'
+
+
+def test_encoders_by_spark_ml(spark, tmp_path):
+    """Word counts as unit vectors without Python workers; a fitted encoder survives saving."""
+    rows = [(0, "One one two"), (1, ""), (2, None), (3, " \n "), (4, "one\tthree  three"), (5, "ONE")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    encoded = vectors.with_embedding(df, "text", "v")
+    assert "Python" not in plan_of(encoded) and encoded.columns == ["id", "text", "v"]
+    got = {r.id: r.v for r in encoded.collect()}
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % vectors.DIMENSIONS
+    assert got[1] is None and got[2] is None and sum(got[3]) == 0 and got[5][slot("one")] == 1
+    assert abs(got[0][slot("one")] - 2 / 5**0.5) < 1e-12 and abs(got[0][slot("two")] - 1 / 5**0.5) < 1e-12
+    model = vectors.fit_encoder(df, "text")
+    model.write().overwrite().save(f"{tmp_path}/model")
+    loaded = PipelineModel.load(f"{tmp_path}/model")
+    fitted, again = ({r.id: r.v for r in vectors.with_embedding(df, "text", "v", m).collect()} for m in (model, loaded))
+    assert fitted == again and fitted[4][slot("three")] > fitted[4][slot("one")] > 0
+    index = vectors.with_embedding(df.select(F.col("id").cast("string").alias("path"), "text"), "text", "content_embedding", loaded)
+    assert reports.search_text(index, "three", 1, encoder=loaded).first()["path"] == "4"
