@@ -106,7 +106,8 @@ def extract_html_text(spark, d):
 def embed_text(spark, d):
     files = spread(corpus.documents_as_files(spark, d).select("path", "content"), "path")
     docs = vectors.with_embedding(files, "content", "v").select("path", "v")
-    return docs.select("path", F.posexplode("v").alias("dim", "w")).where("w <> 0").select("path", "dim", F.round("w", 6).alias("weight"))
+    # The outer form, because the plain one tests its input first and so would encode twice.
+    return docs.select("path", F.posexplode_outer("v").alias("dim", "w")).where("w <> 0").select("path", "dim", F.round("w", 6).alias("weight"))
 
 
 def _with_pii(spark, d):
