@@ -1,12 +1,12 @@
 """Type and format identification from the first and last bytes of a file.
 
 A signature is a byte pattern at an offset window counted from the beginning (BOF) or the
-end (EOF) of the file. The table is small and fixed, so it is folded into one expression,
-in order of priority, instead of being joined to the files.
+end (EOF) of the file.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from typing import NamedTuple
 
@@ -125,35 +125,78 @@ EXTENSION_MIME = {
 
 
 _LITERAL = re.compile(r"(?:[0-9A-F]{2})*")
+# Bytes by which signatures are looked up; those that pass are compared whole.
+KEY_BYTES = 4
+_ENTRY = "p int, mime_type string, puid string, literal string, pattern string"
 
 
-def _match(signature: Signature, head: Column, tail: Column) -> Column:
+class _Place(NamedTuple):
+    """Where the key of some signatures stands: anchor, offset and length; length 0 for signatures without one."""
+
+    anchor: str
+    offset: int
+    length: int
+
+
+def _entry(priority: int, signature: Signature) -> tuple[_Place, str, dict]:
+    """Place, key and table entry of a signature. Keys and literals are upper-case hexadecimal."""
     low, high, pattern = signature.min_off, signature.max_off, signature.pattern
-    if signature.anchor == "TEXT":
-        start = F.ltrim(head.cast("string"), F.lit("\ufeff \t\r\n"))
-        return F.lower(F.substring(start, 1, len(pattern))) == F.lit(pattern)
-    gap = f"(?:..){{{low},{high}}}" if high else ""
-    if signature.anchor == "EOF":
-        return F.hex(tail).rlike(f"{pattern}{gap}$")
-    fixed = _LITERAL.match(pattern).group()
+    fixed = _text(pattern) if signature.anchor == "TEXT" else _LITERAL.match(pattern).group()
     # An operator after a byte pair applies to it, so that pair is not fixed.
-    if len(fixed) < len(pattern) and pattern[len(fixed)] in "?*+{":
+    if signature.anchor != "TEXT" and len(fixed) < len(pattern) and pattern[len(fixed)] in "?*+{":
         fixed = fixed[:-2]
-    size = len(fixed) // 2
-    if low == high and size:
-        # Plain bytes decide nearly all files; the rest of the pattern is looked at only after them.
-        first = F.substring(head, low + 1, size) == F.lit(bytes.fromhex(fixed))
-        return first if len(fixed) == len(pattern) else first & F.hex(head).rlike(f"^{gap}{pattern}")
-    return F.hex(head).rlike(f"^{gap}{pattern}")
+    whole = signature.anchor == "TEXT" or len(fixed) == len(pattern)
+    gap = f"(?:..){{{low},{high}}}" if high else ""
+    regex = f"{pattern}{gap}$" if signature.anchor == "EOF" else f"^{gap}{pattern}"
+    entry = {"p": priority, "mime_type": signature.mime_type, "puid": signature.puid, "literal": fixed, "pattern": None if whole else regex}
+    if low != high or not fixed or (signature.anchor == "EOF" and (not whole or low)):
+        return _Place(signature.anchor, 0, 0), "", {**entry, "literal": "", "pattern": regex}
+    size = min(KEY_BYTES, len(fixed) // 2)
+    key = fixed[-2 * size :] if signature.anchor == "EOF" else fixed[: 2 * size]
+    return _Place(signature.anchor, low, size), key, entry
+
+
+def _found(place: _Place, table: dict[str, list[dict]], head: Column, tail: Column) -> Column:
+    """Entries of one place whose signature matches. The table is one literal, however many entries it has."""
+    if place.length == 0:
+        entries = F.from_json(F.lit(json.dumps(table[""])), f"array<struct<{_ENTRY}>>")
+        source = tail if place.anchor == "EOF" else head
+        return F.filter(entries, lambda e: F.rlike(F.hex(source), e["pattern"]))
+    lookup = F.from_json(F.lit(json.dumps(table)), f"map<string,array<struct<{_ENTRY}>>>")
+    if place.anchor == "TEXT":
+        start = F.ltrim(head.cast("string"), F.lit("\ufeff \t\r\n"))
+
+        def text(size: Column) -> Column:
+            return F.hex(F.lower(F.substring(start, F.lit(1), size)))
+
+        candidates = F.coalesce(F.element_at(lookup, text(F.lit(place.length))), F.array().cast(f"array<struct<{_ENTRY}>>"))
+        return F.filter(candidates, lambda e: text((F.length(e["literal"]) / 2).cast("int")) == e["literal"])
+
+    def cut(size: Column) -> Column:
+        if place.anchor == "EOF":
+            return F.hex(F.substring(tail, F.greatest(F.lit(1), F.octet_length(tail) - size + 1), size))
+        return F.hex(F.substring(head, F.lit(place.offset + 1), size))
+
+    candidates = F.coalesce(F.element_at(lookup, cut(F.lit(place.length))), F.array().cast(f"array<struct<{_ENTRY}>>"))
+    whole = lambda e: cut((F.length(e["literal"]) / 2).cast("int")) == e["literal"]
+    return F.filter(candidates, lambda e: whole(e) & (e["pattern"].isNull() | F.rlike(F.hex(head), e["pattern"])))
 
 
 def best_signature(head: Column, tail: Column, signatures: list[Signature] | None = None) -> Column:
-    """``struct(mime_type, puid)`` of the first matching signature, or NULL."""
-    found = [
-        F.when(_match(s, head, tail), F.struct(F.lit(s.mime_type).alias("mime_type"), F.lit(s.puid).alias("puid")))
-        for s in (SIGNATURES if signatures is None else signatures)
-    ]
-    return F.coalesce(*found)
+    """``struct(mime_type, puid)`` of the first matching signature, or NULL.
+
+    Signatures are a table keyed by place and first bytes. A file looks its own bytes up, once
+    per place, and only what it finds is compared whole; the least priority wins. The plan has
+    one expression per place, not per signature, and files are not joined or shuffled.
+    """
+    places: dict[_Place, dict[str, list[dict]]] = {}
+    for priority, signature in enumerate(SIGNATURES if signatures is None else signatures):
+        place, key, entry = _entry(priority, signature)
+        places.setdefault(place, {}).setdefault(key, []).append(entry)
+    if not places:
+        return F.lit(None).cast("struct<mime_type: string, puid: string>")
+    best = F.array_min(F.concat(*[_found(p, places[p], head, tail) for p in sorted(places)]))
+    return F.when(best.isNotNull(), F.struct(best["mime_type"].alias("mime_type"), best["puid"].alias("puid")))
 
 
 def looks_like_text(head: Column) -> Column:

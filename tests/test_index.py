@@ -265,6 +265,18 @@ def test_format_signatures(spark):
     assert set(found) == {i for i, f in enumerate(FILES) if f[3]}
 
 
+def test_thousands_of_signatures(spark):
+    """The plan does not grow with the table, and stays compiled."""
+    table = [formats.Signature(f"x/{i}", f"t/{i}", ("BOF", "BOF", "EOF", "TEXT")[i % 4], 4 * (i % 4 == 1), 4 * (i % 4 == 1), f"{i:08X}AB" if i % 4 != 3 else f"<n{i}>") for i in range(5_000)]
+    rows = [(str(i), bytearray(b), bytearray(b[-64:]), "") for i, b in enumerate([bytes.fromhex("000007D0ABFF"), b"zzzz" + bytes.fromhex("000007D1AB"), b"q" + bytes.fromhex("000007D2AB"), b" \n<N2003> x", b"", b"\x00"])]
+    df = spark.createDataFrame(rows, "path string, head binary, tail binary, ext string")
+    found = formats.identify_formats(df, table)
+    assert {r.path: r.puid for r in found.collect()} == {"0": "t/2000", "1": "t/2001", "2": "t/2002", "3": "t/2003"}
+    assert "*(2) Project" in plan_of(found)
+    places = {formats._entry(i, s)[0] for i, s in enumerate(table)}
+    assert len(places) == 4
+
+
 def test_signature_at_the_end_and_in_a_window(spark):
     table = [formats.Signature("x/end", "t/1", "EOF", 0, 2, "454E44"), formats.Signature("x/window", "t/2", "BOF", 1, 3, "4142")]
     rows = [("a", b"..END!"), ("b", b"..END!!!"), ("c", b"..ABxxxx"), ("d", b"....ABxx")]
