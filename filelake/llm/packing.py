@@ -2,7 +2,7 @@
 
 Documents become pieces of at most one sequence. Patterns are all combinations of up to
 three piece lengths that fill a sequence exactly; how often each is used is fitted to the
-histogram of lengths by non-negative least squares, rounded, and what the patterns leave
+histogram of lengths by non-negative least squares, rounded down, and what the patterns leave
 over is packed best-fit, still on counts of lengths. All of this works on the histogram,
 which has as many entries as a sequence has tokens, however many documents there are. Then
 every piece finds its place from its length and its rank among the pieces of that length.
@@ -25,6 +25,8 @@ from filelake.llm.common import stored
 from filelake.llm.tokens import encoder
 
 CAPACITY = 1024
+# Shares of the fitted repeats that are tried; 0 leaves all pieces to best-fit.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 _PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local long"
 
 
@@ -46,22 +48,42 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.stack([a, b, c], 1)[known[c]]
 
 
-def fit_patterns(histogram: np.ndarray, patterns: np.ndarray, steps: int = 6000) -> np.ndarray:
-    """Repeats x >= 0 that minimise ``|A x - histogram|^2``, by coordinate descent along the steepest coordinate."""
+def fit_patterns(histogram: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Repeats x >= 0 that minimise ``|A x - histogram|^2``, by coordinate descent along the steepest coordinate.
+
+    A step changes the residual of at most three lengths, so only the patterns with one of
+    them are looked at again. It ends when no step would place half a sequence, or after as
+    many steps as there are patterns.
+    """
     residual = histogram.astype(float)
     residual[0] = 0.0
     repeats = np.zeros(len(patterns))
     if not len(patterns):
         return repeats
-    real = patterns > 0
-    norm = np.array([sum(p.count(v) ** 2 for v in set(p) if v) for p in patterns.tolist()], float)
-    for _ in range(steps):
-        move = np.maximum((residual[patterns] * real).sum(1) / norm, -repeats)
-        best = int((move * move * norm).argmax())
-        if abs(move[best]) < 0.5:
+    a, b, c = patterns.T
+    # A length that a pattern has k times counts k * k in its norm; 0 is no length.
+    same_ab, same_bc, real_b, real_c = a == b, b == c, b > 0, c > 0
+    norm = 1.0 + real_b + real_c + 2.0 * (same_ab & real_b) + 2.0 * (same_bc & real_c) + 2.0 * ((a == c) & real_c)
+    order = np.argsort(patterns, axis=None, kind="stable")
+    edges = np.searchsorted(patterns.ravel()[order], np.arange(len(histogram) + 1))
+    holders = order // 3
+    slope = residual[a] + residual[b] * real_b + residual[c] * real_c
+    gain = np.maximum(slope / norm, 0.0)
+    gain *= gain * norm
+    for _ in range(len(patterns)):
+        best = int(gain.argmax())
+        move = max(slope[best] / norm[best], -repeats[best])
+        if abs(move) < 0.5:
             break
-        repeats[best] += move[best]
-        np.subtract.at(residual, patterns[best][real[best]], move[best])
+        repeats[best] += move
+        for v in patterns[best]:
+            if v:
+                residual[v] -= move
+        for v in set(patterns[best].tolist()) - {0}:
+            near = holders[edges[v] : edges[v + 1]]
+            slope[near] = residual[a[near]] + residual[b[near]] * real_b[near] + residual[c[near]] * real_c[near]
+            step = np.maximum(slope[near] / norm[near], -repeats[near])
+            gain[near] = step * step * norm[near]
     return repeats
 
 
@@ -101,14 +123,13 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[Pattern]:
     return [Pattern(*g) for room in rooms for g in groups[room]]
 
 
-def plan_patterns(histogram: np.ndarray, capacity: int) -> list[Pattern]:
-    """Patterns and repeats that place every piece of the histogram exactly once."""
+def _rounded(histogram: np.ndarray, patterns: np.ndarray, repeats: np.ndarray, share: float, capacity: int) -> list[Pattern]:
+    """A share of the fitted repeats, rounded down, and what they leave packed best-fit."""
     left = histogram.astype(np.int64)
-    patterns = enumerate_patterns(np.flatnonzero(left), capacity)
-    repeats = fit_patterns(left, patterns)
     chosen: list[Pattern] = []
-    for k in np.argsort(-repeats, kind="stable"):
-        wanted = int(repeats[k] + 0.5)
+    wholes = np.floor(repeats * share).astype(np.int64)
+    for k in np.argsort(-wholes, kind="stable").tolist():
+        wanted = int(wholes[k])
         if not wanted:
             break
         lengths = tuple(v for v in patterns[k].tolist() if v)
@@ -120,6 +141,19 @@ def plan_patterns(histogram: np.ndarray, capacity: int) -> list[Pattern]:
     return chosen + best_fit(left, capacity)
 
 
+def plan_patterns(histogram: np.ndarray, capacity: int) -> list[Pattern]:
+    """Patterns and repeats that place every piece of the histogram exactly once.
+
+    Exact patterns spend short pieces that long ones may need as partners. So several shares
+    of the fit are tried, down to none, and the plan of fewest sequences is taken: it never
+    has more than best-fit over all pieces.
+    """
+    patterns = enumerate_patterns(np.flatnonzero(histogram), capacity)
+    repeats = fit_patterns(histogram.astype(np.int64), patterns)
+    plans = [_rounded(histogram, patterns, repeats, share, capacity) for share in SHARES]
+    return min(plans, key=lambda plan: sum(p.repeats for p in plan))
+
+
 class Places:
     """For a length and a rank within it: the sequence and the offset."""
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
+from array import array
 from collections.abc import Sequence
 from functools import cache
 
@@ -65,18 +67,18 @@ class PieceEncoder:
 
     def _library(self, pieces: Sequence[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        if sys.byteorder == "big":
+            return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make the ids of all ``pieces`` known."""
-        new = pieces - self._known.keys()
+    def _learn(self, new: set[str]) -> None:
+        """Make the ids of pieces known that are not."""
         if len(self._known) + len(new) > self._limit:
             self._known, self._before = {}, self._known
-            new = pieces
         old = self._before
         self._known.update((p, old[p]) for p in new if p in old)
-        new = [p for p in new if p not in self._known]
-        self._known.update(zip(new, self._library(new)))
+        rest = [p for p in new if p not in self._known]
+        self._known.update(zip(rest, self._library(rest)))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids as little-endian unsigned 32-bit numbers; NULL is empty."""
@@ -91,9 +93,15 @@ class PieceEncoder:
 
     def _encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         split = [self._split(t or "") for t in texts]
-        self._learn(set().union(*split))
+        # One look at each piece; those that were not known are filled in.
+        found: list[list[bytes | None]] = [list(map(self._known.get, s)) for s in split]
+        holes = [(s, f, [i for i, ids in enumerate(f) if ids is None]) for s, f in zip(split, found) if None in f]
+        self._learn({s[i] for s, _, at in holes for i in at})
         get = self._known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
+        for s, f, at in holes:
+            for i in at:
+                f[i] = get(s[i])
+        return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
 
 @cache
