@@ -21,6 +21,9 @@ class PiiRule(NamedTuple):
 # Fixed values. No look-around and no back-references, so that any engine can run them.
 PII_RULES = [
     PiiRule("CREDIT_CARD", r"\b[0-9]{4}[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}[ -]?[0-9]{3,5}\b", validator="luhn"),
+    PiiRule("CREDIT_CARD", r"\b3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4}\b", validator="luhn"),
+    PiiRule("CRYPTO", r"\b(?:bc1[ac-hj-np-z02-9]{25,71}|0x[0-9A-Fa-f]{40})\b"),
+    PiiRule("CRYPTO", r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b", validator="base58"),
     PiiRule("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     PiiRule(
         "IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", validator="mod97"
@@ -34,6 +37,12 @@ PII_RULES = [
     PiiRule("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\b"),
     PiiRule("URL", r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     PiiRule("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("en",)),
+    PiiRule("US_ITIN", r"\b9[0-9]{2}[ -](?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])[ -][0-9]{4}\b", ("en",)),
+    PiiRule("UK_NHS", r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", ("en",), validator="mod11"),
+    # Numbers without a form of their own count after the word that says what they are.
+    PiiRule("US_PASSPORT", r"(?i:passport)[^\n]{0,30}?\b(?:[A-Z][0-9]{8}|[0-9]{9})\b", ("en",)),
+    PiiRule("US_BANK_NUMBER", r"(?i:bank|account|acct)[^\n]{0,30}?\b[0-9]{8,17}\b", ("en",)),
+    PiiRule("US_DRIVER_LICENSE", r"(?i:driver.{0,3} licen[cs]e)[^\n]{0,30}?\b[A-Z][0-9]{4,14}\b", ("en",)),
     PiiRule("ES_NIF", r"\b[0-9]{8}[A-HJ-NP-TV-Z]\b", ("es",)),
     PiiRule("FR_NIR", r"\b[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}\b", ("fr",)),
 ]
@@ -51,7 +60,38 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.filter(signs, lambda c: c != ""), F.lit(0), step) == 1
 
 
-_VALIDATORS = {"luhn": _luhn, "mod97": _mod97}
+def _mod11(value: Column) -> Column:
+    """Ten digits weighed from ten down to one."""
+    digits = F.regexp_replace(value, "[ -]", "")
+    weighed = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * (F.lit(11) - i))
+    return F.aggregate(weighed, F.lit(0), lambda a, b: a + b) % 11 == 0
+
+
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def _base58(value: Column) -> Column:
+    """A Bitcoin address: 25 bytes in base 58, of which the last four begin the double SHA-256 of the others."""
+    empty = F.array_repeat(F.lit(0), 25)
+
+    def times58(carry_and_bytes: Column, byte: Column) -> Column:
+        total = byte * 58 + carry_and_bytes["carry"]
+        return F.struct((total / 256).cast("int").alias("carry"), F.array_append(carry_and_bytes["bytes"], total % 256).alias("bytes"))
+
+    def step(low_first: Column, sign: Column) -> Column:
+        start = F.struct((F.call_function("locate", sign, F.lit(_BASE58)) - 1).alias("carry"), F.array().cast("array<int>").alias("bytes"))
+        return F.aggregate(low_first, start, times58)["bytes"]
+
+    signs = F.filter(F.split(value, ""), lambda c: c != "")
+    # The lowest byte first; what does not fit into 25 bytes fails the check anyway.
+    data = F.reverse(F.aggregate(signs, empty, step))
+    text = F.array_join(F.transform(data, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    body = F.unhex(F.substring(text, 1, 42))
+    check = F.sha2(F.unhex(F.sha2(body, 256)), 256)
+    return F.lower(F.substring(text, 43, 8)) == F.substring(check, 1, 8)
+
+
+_VALIDATORS = {"mod11": _mod11, "base58": _base58, "luhn": _luhn, "mod97": _mod97}
 
 
 def _hit(text: Column, rule: PiiRule) -> Column:

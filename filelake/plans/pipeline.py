@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from filelake.functions.formats import identify_formats, with_format
 from filelake.functions.images import image_hashes
+from filelake.functions.media import MediaTables, media_json
 from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
 from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
@@ -59,6 +60,8 @@ class ScanOptions:
     make_encoder: Callable | None = None
     # Larger files are not given to an extractor; their raw text is scanned for personal data.
     max_text_bytes: int = MAX_TEXT_BYTES
+    # Container and tag tables of media files, which fill ``exif_data``.
+    media: MediaTables = MediaTables()
 
     @property
     def rules(self) -> list[str]:
@@ -197,6 +200,9 @@ def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, Dat
         images = typed.where("error is null").where(F.col("mime_type").startswith("image"))
         hashes = image_hash_stage(images.select("path", "mtime", "crypto_hash", "member"))
         rows = rows.drop("perceptual_hash").join(hashes, "path", "left").select(*rows.columns)
+    facts = media_json(options.media)
+    if facts is not None:
+        rows = rows.drop("exif_data").join(facts, "path", "left").select(*rows.columns)
     now = F.current_timestamp()
     faults = [("probe", probed), ("archive", members)]
     parts = [

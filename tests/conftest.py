@@ -29,6 +29,7 @@ def spark():
 @pytest.fixture
 def corpus_tree(tmp_path):
     """Three text files, one of them a copy."""
+    # The texts of the three files.
     root = tmp_path / "test_data"
     (root / "subdir").mkdir(parents=True)
     (root / "file1.txt").write_text("This is the first file.")

@@ -324,3 +324,27 @@ def test_encoders_by_spark_ml(spark, tmp_path):
     assert fitted == again and fitted[4][slot("three")] > fitted[4][slot("one")] > 0
     index = vectors.with_embedding(df.select(F.col("id").cast("string").alias("path"), "text"), "text", "content_embedding", loaded)
     assert reports.search_text(index, "three", 1, encoder=loaded).first()["path"] == "4"
+
+
+def test_further_personal_data(spark):
+    cases = [
+        ("pay 3056 930902 5904 now", ["CREDIT_CARD"]), ("pay 3056 930902 5906 now", None),
+        ("to bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", ["CRYPTO"]), ("to 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", ["CRYPTO"]),
+        ("to 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3", None), ("0x52908400098527886E0F7030069857D2E4169EE7", ["CRYPTO"]),
+        ("itin 912-70-1234", ["US_ITIN", "US_SSN"]), ("nhs 943 476 5919", ["UK_NHS"]), ("nhs 943 476 5918", None),
+        ("Passport no. 123456789", ["US_PASSPORT"]), ("no. 123456789", None), ("Bank account: 12345678", ["US_BANK_NUMBER"]),
+        ("Driver's license D1234567", ["US_DRIVER_LICENSE"]), ("nothing", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.k for r in df.select("i", pii.pii_types(F.col("t")).alias("k")).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for _, k in cases]
+
+
+def test_media_tables_fill_exif_data(spark):
+    tracks = spark.createDataFrame([("/v", 1, "Video", 640, 480, 10, 25.0, "avc", "mp4"), ("/a", 1, "Audio", None, None, 10, None, "aac", "aac")], "path string, track_no int, track_type string, width int, height int, duration_ms int, frame_rate double, codec string, format string")
+    tags = spark.createDataFrame([("/a", "artist", "Jo", 1), ("/a", "title", None, 2)], "path string, field string, value string, seq int")
+    exif = spark.createDataFrame([("/p", 271, "Maker", 1), ("/p", 99999, "x", 1)], "path string, tag_id int, value string, seq int")
+    rows = media.media_json(media.MediaTables(tracks, tags, exif))
+    got = {r.path: (r.w, r.artist, r.make, r.odd, r.none) for r in rows.select("path", media.exif_value(F.col("exif_data"), "width", "int").alias("w"), media.exif_value(F.col("exif_data"), "artist").alias("artist"), media.exif_value(F.col("exif_data"), "Make").alias("make"), media.exif_value(F.col("exif_data"), "99999").alias("odd"), media.exif_value(F.col("exif_data"), "no'ne").alias("none")).collect()}
+    assert got == {"/v": (640, None, None, None, None), "/a": (None, "Jo", None, None, None), "/p": (None, None, "Maker", "x", None)}
+    assert media.media_json(media.MediaTables()) is None
