@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -10,12 +12,16 @@ from pyspark.sql import functions as F
 
 
 class PiiRule(NamedTuple):
-    """``languages`` empty means any language. A validator narrows what the pattern finds."""
+    """``languages`` empty means any language. A validator narrows what the pattern finds.
+
+    A text without any of the lower-case words that the pattern ``needs`` is not searched.
+    """
 
     entity_type: str
     pattern: str
     languages: tuple[str, ...] = ()
     validator: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 # Fixed values. No look-around and no back-references, so that any engine can run them.
@@ -40,9 +46,9 @@ PII_RULES = [
     PiiRule("US_ITIN", r"\b9[0-9]{2}[ -](?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[0-24-9])[ -][0-9]{4}\b", ("en",)),
     PiiRule("UK_NHS", r"\b[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", ("en",), validator="mod11"),
     # Numbers without a form of their own count after the word that says what they are.
-    PiiRule("US_PASSPORT", r"(?i:passport)[^\n]{0,30}?\b(?:[A-Z][0-9]{8}|[0-9]{9})\b", ("en",)),
-    PiiRule("US_BANK_NUMBER", r"(?i:bank|account|acct)[^\n]{0,30}?\b[0-9]{8,17}\b", ("en",)),
-    PiiRule("US_DRIVER_LICENSE", r"(?i:driver.{0,3} licen[cs]e)[^\n]{0,30}?\b[A-Z][0-9]{4,14}\b", ("en",)),
+    PiiRule("US_PASSPORT", r"(?i:passport)[^\n]{0,30}?\b(?:[A-Z][0-9]{8}|[0-9]{9})\b", ("en",), needs=("passport",)),
+    PiiRule("US_BANK_NUMBER", r"(?i:bank|account|acct)[^\n]{0,30}?\b[0-9]{8,17}\b", ("en",), needs=("bank", "account", "acct")),
+    PiiRule("US_DRIVER_LICENSE", r"(?i:driver.{0,3} licen[cs]e)[^\n]{0,30}?\b[A-Z][0-9]{4,14}\b", ("en",), needs=("driver",)),
     PiiRule("ES_NIF", r"\b[0-9]{8}[A-HJ-NP-TV-Z]\b", ("es",)),
     PiiRule("FR_NIR", r"\b[12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}\b", ("fr",)),
 ]
@@ -95,6 +101,9 @@ _VALIDATORS = {"mod11": _mod11, "base58": _base58, "luhn": _luhn, "mod97": _mod9
 
 
 def _hit(text: Column, rule: PiiRule) -> Column:
+    if rule.needs:
+        words = reduce(or_, [F.lower(text).contains(w) for w in rule.needs])
+        return words & _hit(text, rule._replace(needs=()))
     if rule.validator is None:
         return text.rlike(rule.pattern)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))

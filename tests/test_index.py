@@ -331,7 +331,7 @@ def test_further_personal_data(spark):
         ("pay 3056 930902 5904 now", ["CREDIT_CARD"]), ("pay 3056 930902 5906 now", None),
         ("to bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", ["CRYPTO"]), ("to 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", ["CRYPTO"]),
         ("to 1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN3", None), ("0x52908400098527886E0F7030069857D2E4169EE7", ["CRYPTO"]),
-        ("itin 912-70-1234", ["US_ITIN", "US_SSN"]), ("nhs 943 476 5919", ["UK_NHS"]), ("nhs 943 476 5918", None),
+        ("itin 912-70-1234", ["US_ITIN", "US_SSN"]), ("nhs 943 476 5919", ["PHONE_NUMBER", "UK_NHS"]), ("nhs 943 476 5918", ["PHONE_NUMBER"]), ("nhs 9434765919", ["UK_NHS"]),
         ("Passport no. 123456789", ["US_PASSPORT"]), ("no. 123456789", None), ("Bank account: 12345678", ["US_BANK_NUMBER"]),
         ("Driver's license D1234567", ["US_DRIVER_LICENSE"]), ("nothing", None),
     ]
