@@ -124,5 +124,7 @@ def media_json(tables: MediaTables) -> DataFrame | None:
 
 def exif_value(exif_data: Column, field: str, kind: str = "string") -> Column:
     """A field of ``exif_data`` as a typed value; NULL if it is missing or of another type."""
-    quoted = field.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(F.try_parse_json(exif_data), f"$['{quoted}']", kind)
+    quote = '"' if "'" in field else "'"
+    if quote in field:
+        raise ValueError("a field name may hold single or double quotes, not both")
+    return F.try_variant_get(F.try_parse_json(exif_data), f"$[{quote}{field}{quote}]", kind)
