@@ -135,22 +135,24 @@ def is_extractable(mime: Column, size: Column, extractors: dict[str, Extractor]
     return (mime.startswith("text/plain") | mime.isin(kinds)) & (size <= max_bytes)
 
 
-def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> Column:
-    """Text of a file's bytes; NULL if there is none or the parser fails."""
+def extract(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> Column:
+    """``struct(text, error)`` of a file's bytes: no text if there is none, and why if the parser fails."""
     table = EXTRACTORS if extractors is None else extractors
 
-    @F.pandas_udf("string")
-    def by_type(kinds: pd.Series, blobs: pd.Series) -> pd.Series:
-        out: list[str | None] = []
+    @F.pandas_udf("text string, error string")
+    def by_type(kinds: pd.Series, blobs: pd.Series) -> pd.DataFrame:
+        texts: list[str | None] = []
+        errors: list[str | None] = []
         for kind, blob in zip(kinds, blobs):
-            text = None
+            text = error = None
             if kind is not None:
                 try:
                     text = (plain_text(blob) if kind.startswith("text/plain") else table[kind](blob)).strip() or None
-                except Exception:
-                    text = None
-            out.append(text)
-        return pd.Series(out, dtype=object)
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+            texts.append(text)
+            errors.append(error)
+        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     wanted = F.coalesce(is_extractable(mime, F.octet_length(content), table, max_bytes), F.lit(False))
     as_text = content.cast("string")
@@ -160,4 +162,10 @@ def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor]
     # Marked as not repeatable, so that the optimizer does not copy the parse into filters.
     parsed = by_type.asNondeterministic()(F.when(foreign, mime), F.when(foreign, content))
     lines = strip(F.regexp_replace(as_text, "\r\n?", "\n"))
-    return F.when(native, F.when(lines != "", lines)).otherwise(parsed)
+    own = F.struct(F.when(lines != "", lines).alias("text"), F.lit(None).cast("string").alias("error"))
+    return F.when(native, own).otherwise(parsed)
+
+
+def extract_text(mime: Column, content: Column, extractors: dict[str, Extractor] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> Column:
+    """Text of a file's bytes; NULL if there is none or the parser fails."""
+    return extract(mime, content, extractors, max_bytes)["text"]

@@ -19,7 +19,7 @@ from filelake.functions.images import image_hashes
 from filelake.functions.media import MediaTables, media_json
 from filelake.functions.paths import file_name, parent_dir, suffix
 from filelake.functions.pii import is_scannable, pii_types
-from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract_text, is_extractable
+from filelake.functions.text import EXTRACTORS, MAX_TEXT_BYTES, Extractor, extract, is_extractable
 from filelake.functions.vectors import embed_text, with_embedding
 from filelake.operators.incremental import (
     changed_files,
@@ -34,7 +34,7 @@ from filelake.schemas import FILE_METADATA
 from filelake.session import cut_lineage
 from filelake.sources.archives import UNEXPANDED_EXTENSIONS, expand_archives, is_expandable, last_entries, materialise, scratch_folder
 from filelake.sources.files import MEMBER
-from filelake.sources.index_store import IndexStore
+from filelake.sources.index_store import STAGE_ERROR, IndexStore
 from filelake.sources.listing import walk
 from filelake.sources.probe import present_files, probe_files, text_chunks, with_bytes
 
@@ -83,7 +83,8 @@ def with_text(files: DataFrame, options: ScanOptions) -> DataFrame:
     text_type = F.coalesce(mime.startswith("text/"), F.lit(False))
     extractable = is_extractable(mime, F.col("size_bytes"), options.extractors, options.max_text_bytes)
     rows = with_bytes(files.drop("content", "head", "tail"), extractable)
-    rows = rows.withColumn("__text", extract_text(mime, F.col("content"), options.extractors, options.max_text_bytes))
+    rows = rows.withColumn("__extract", extract(mime, F.col("content"), options.extractors, options.max_text_bytes))
+    rows = rows.withColumn("__text", F.col("__extract.text"))
     if options.make_encoder:
         rows = rows.withColumn("content_embedding", embed_text(F.col("__text"), options.make_encoder))
     else:
@@ -95,8 +96,9 @@ def with_text(files: DataFrame, options: ScanOptions) -> DataFrame:
             # Files without an extractor stay untried, so that a later run with one takes them.
             "text_extracted": F.coalesce(extractable, F.lit(False)),
             "content": F.col("__text"),
+            STAGE_ERROR: F.coalesce("read_error", "__extract.error"),
         }
-    ).drop("__text")
+    ).drop("__text", "__extract", "read_error")
     found = raw_text_pii(files.where(text_type & ~F.coalesce(extractable, F.lit(False))), options.pii_languages)
     rows = rows.join(found.withColumnRenamed("pii_types", "__raw_pii"), "path", "left")
     return rows.withColumn("pii_types", F.coalesce("pii_types", "__raw_pii")).drop("__raw_pii")
@@ -109,8 +111,8 @@ def raw_text_pii(files: DataFrame, languages: Sequence[str]) -> DataFrame:
     return hits.groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("pii_types"))
 
 
-def to_metadata(files: DataFrame) -> DataFrame:
-    """Bring derived rows into the index schema, with NULL for stages that did not run."""
+def to_metadata(files: DataFrame, *more: str) -> DataFrame:
+    """Bring derived rows into the index schema, with NULL for stages that did not run; ``more`` columns come along."""
     have = set(files.columns)
     return files.select(
         *[
@@ -118,7 +120,8 @@ def to_metadata(files: DataFrame) -> DataFrame:
             .cast(f.dataType)
             .alias(f.name)
             for f in FILE_METADATA
-        ]
+        ],
+        *more,
     )
 
 
@@ -127,7 +130,8 @@ def derive(typed: DataFrame, options: ScanOptions) -> DataFrame:
     rows = typed.where("error is null").withColumn("is_archived_file", F.col("member").isNotNull())
     if options.identify_formats:
         rows = rows.withColumn("pronom_id", F.col("puid"))
-    return to_metadata(with_text(rows, options) if options.extract_text else rows)
+    rows = with_text(rows, options) if options.extract_text else rows.withColumn(STAGE_ERROR, F.lit(None).cast("string"))
+    return to_metadata(rows, STAGE_ERROR)
 
 
 def archive_members(typed: DataFrame, options: ScanOptions) -> DataFrame:
@@ -196,15 +200,17 @@ def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, Dat
     members = cut_lineage(archive_members(probed.where("error is null"), options))
     typed = files.unionByName(drop_junk(members.where("error is null")))
     rows = derive(typed, options)
+    faults = [("probe", probed), ("archive", members)]
     if options.perceptual_hash:
         images = typed.where("error is null").where(F.col("mime_type").startswith("image"))
         hashes = image_hash_stage(images.select("path", "mtime", "crypto_hash", "member"))
+        undecoded = images.select("path").join(hashes.where("perceptual_hash is not null"), "path", "left_anti")
+        faults.append(("image", undecoded.withColumn("error", F.lit("the image could not be decoded"))))
         rows = rows.drop("perceptual_hash").join(hashes, "path", "left").select(*rows.columns)
     facts = media_json(options.media)
     if facts is not None:
         rows = rows.drop("exif_data").join(facts, "path", "left").select(*rows.columns)
     now = F.current_timestamp()
-    faults = [("probe", probed), ("archive", members)]
     parts = [
         df.where("error is not null").select(now.alias("ts"), F.lit(stage).alias("stage"), "path", F.col("error").alias("message"))
         for stage, df in faults
@@ -212,6 +218,12 @@ def build_rows(listing: DataFrame, options: ScanOptions) -> tuple[DataFrame, Dat
     return rows, reduce(DataFrame.unionByName, parts)
 
 
+def stage_errors(store: IndexStore, version: int) -> DataFrame:
+    """What went wrong in the text stage of the rows written as ``version``; found in the pass that wrote them."""
+    failed = store.batch(version).where(F.col(STAGE_ERROR).isNotNull())
+    return failed.select(F.current_timestamp().alias("ts"), F.lit("text").alias("stage"), "path", F.col(STAGE_ERROR).alias("message"))
+
+
 def scan(store: IndexStore, roots: Sequence[str], options: ScanOptions | None = None, incremental: bool = True) -> DataFrame:
     """Index the files below the roots and return the errors of the run.
 
@@ -234,7 +246,7 @@ def scan(store: IndexStore, roots: Sequence[str], options: ScanOptions | None =
         # The log counts the files taken from the listing, not what archives held.
         count = listing.count()
         if count:
-            store.replace(rows)
+            errors = errors.unionByName(stage_errors(store, store.replace(rows)))
         status = "completed"
         return errors
     finally:

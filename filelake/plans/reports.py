@@ -17,12 +17,22 @@ from filelake.operators.skew import with_group_stats
 PATH_IN_MESSAGE = r"""['"]?([a-zA-Z]:\\|/)[^:,'"\s]+['"]?"""
 
 
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs more than once.
+
+    A count per key, combined before the shuffle, tells them; only they pay for what follows.
+    The join may be split where one key has very many rows.
+    """
+    keys = rows.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return rows.join(keys, F.col(key) == F.col("__key"), "left_semi")
+
+
 def find_dupes(index: DataFrame) -> DataFrame:
     """Files whose content occurs more than once; the oldest of a set is its source.
 
     The closing sort is on all three keys, so one huge set is spread over many ranges.
     """
-    files = index.select("crypto_hash", "mtime", "path", "size_bytes")
+    files = repeated(index.select("crypto_hash", "mtime", "path", "size_bytes"), "crypto_hash")
     first = F.struct("mtime", "path")
     sets = with_group_stats(
         files, "crypto_hash", "path", F.col("set_size") > 1, count="set_size", minimum={"__source": first}
@@ -54,7 +64,7 @@ def lonely_files_count(index: DataFrame) -> DataFrame:
 
 def image_dupes_exact(index: DataFrame) -> DataFrame:
     """Images with the same perceptual hash, one row per file."""
-    images = index.where("perceptual_hash is not null").select("perceptual_hash", "path")
+    images = repeated(index.where("perceptual_hash is not null").select("perceptual_hash", "path"), "perceptual_hash")
     groups = with_group_stats(images, "perceptual_hash", "path", F.col("group_size") > 1, count="group_size")
     return groups.select("perceptual_hash", "group_size", "path").orderBy("perceptual_hash", "path")
 

@@ -13,13 +13,20 @@ readers never see half of one. One writer at a time is assumed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from filelake.operators.upsert import upsert_patch, upsert_replace
 from filelake.schemas import FILE_METADATA, SCAN_LOG
 
+# A column of written batches that readers of the index do not see: why a stage failed for a row.
+STAGE_ERROR = "stage_error"
 _FULL, _REPLACE, _PATCH = "full", "replace", "patch"
 
 
+def _columns(rows: DataFrame) -> list[str]:
+    return [f.name for f in FILE_METADATA] + [c for c in rows.columns if c == STAGE_ERROR]
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, location: str, max_batches: int = 8):
         self.spark = spark
@@ -66,8 +73,7 @@ class IndexStore:
 
     def write(self, index: DataFrame) -> int:
         """Write a full snapshot. Files are sorted by hash for row-group pruning."""
-        columns = [f.name for f in FILE_METADATA]
-        return self._write(index.select(*columns).sortWithinPartitions("crypto_hash"), _FULL)
+        return self._write(index.select(*_columns(index)).sortWithinPartitions("crypto_hash"), _FULL)
 
     def _add(self, batch: DataFrame, kind: str) -> int:
         version = self._write(batch, kind)
@@ -79,8 +85,7 @@ class IndexStore:
 
     def replace(self, batch: DataFrame) -> int:
         """Rows of ``batch``, unique by path, replace those of the same path or are added."""
-        columns = [f.name for f in FILE_METADATA]
-        return self._add(batch.select(*columns), _REPLACE) if self.current_version() else self.write(batch)
+        return self._add(batch.select(*_columns(batch)), _REPLACE) if self.current_version() else self.write(batch)
 
     def patch(self, batch: DataFrame, owned: list[str]) -> int:
         """Overwrite the ``owned`` columns of indexed paths."""
@@ -88,6 +93,11 @@ class IndexStore:
             return 0
         return self._add(batch.select("path", *owned), _PATCH)
 
+    def batch(self, version: int) -> DataFrame:
+        """Rows written with a version, with the reasons of failed stages if they were kept."""
+        folder = next(folder for number, _, folder in self.versions() if number == version)
+        return self.spark.read.schema(T.StructType([*FILE_METADATA.fields, T.StructField(STAGE_ERROR, T.StringType())])).parquet(folder)
+
     def count_of(self, version: int) -> int:
         """Rows written with a version, from the file footers."""
         folder = next(folder for number, _, folder in self.versions() if number == version)

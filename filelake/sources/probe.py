@@ -84,19 +84,19 @@ def _members(batch: pa.RecordBatch) -> list[dict | None]:
 
 
 def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
-    """Add ``content``, the bytes of the wanted files; NULL for others and for unreadable ones.
+    """Add ``content``, the bytes of the wanted files, and ``read_error``; both NULL for others.
 
     A row with a ``member`` is read from its archive. Rows are handed on whenever a moderate
     number of bytes is held, however many rows a batch of paths has.
     """
     columns = files.columns
-    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())])
 
-    def read(reader: MemberReader, path: str, member: dict | None) -> bytes | None:
+    def read(reader: MemberReader, path: str, member: dict | None) -> tuple[bytes | None, str | None]:
         try:
-            return b"".join(reader.pieces(path, member))
-        except FAULTS:
-            return None
+            return b"".join(reader.pieces(path, member)), None
+        except FAULTS as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with MemberReader() as reader:
@@ -104,12 +104,13 @@ def with_bytes(files: DataFrame, wanted: Column) -> DataFrame:
                 paths, flags, members = batch.column("path").to_pylist(), batch.column("__wanted").to_pylist(), _members(batch)
                 start, held, blobs = 0, 0, []
                 for i, (path, flag, member) in enumerate(zip(paths, flags, members)):
-                    blobs.append(read(reader, path, member) if flag else None)
-                    held += len(blobs[-1] or b"")
+                    blobs.append(read(reader, path, member) if flag else (None, None))
+                    held += len(blobs[-1][0] or b"")
                     if held >= _HELD_BYTES or i == batch.num_rows - 1:
                         part = batch.slice(start, len(blobs))
-                        arrays = [part.column(c) for c in columns] + [pa.array(blobs, pa.binary())]
-                        yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "content"])
+                        arrays = [part.column(c) for c in columns]
+                        arrays += [pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.string())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "content", "read_error"])
                         start, held, blobs = i + 1, 0, []
 
     return _placed(files.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from filelake.functions.paths import glob_regex
 from filelake.operators.incremental import changed_files
 from filelake.operators.rules import drop_junk
-from filelake.plans.pipeline import ScanOptions, build_rows
+from filelake.plans.pipeline import ScanOptions, build_rows, stage_errors
 from filelake.schemas import LISTING
 from filelake.session import cut_lineage
 from filelake.sources.index_store import IndexStore
@@ -46,7 +46,7 @@ def ingest(
             unlisted.select(F.current_timestamp().alias("ts"), F.lit("listing").alias("stage"), "path", F.col("error").alias("message"))
         )
         if not fresh.isEmpty():
-            store.replace(rows)
+            errors = errors.unionByName(stage_errors(store, store.replace(rows)))
         if on_errors:
             on_errors(errors)
 

@@ -512,3 +512,17 @@ def test_scan_counts_listed_files(spark, tmp_path):
     pipeline.scan(store, [str(tmp_path / "in")])
     assert store.read().count() == 4
     assert [r.files_scanned for r in reports.scan_history(store.scan_log()).collect()] == [2]
+
+
+def test_errors_of_every_stage(spark, tmp_path):
+    """What the text and image stages could not read is in the errors, without another pass."""
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "bad.docx").write_bytes(zip_bytes({"[Content_Types].xml": "<Types/>", "word/document.xml": "<broken"}))
+    (root / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\x00" * 50)
+    (root / "good.txt").write_text("good")
+    store = IndexStore(spark, str(tmp_path / "store"))
+    errors = {(e.stage, os.path.basename(e.path)): e.message for e in pipeline.scan(store, [str(root)]).collect()}
+    assert set(errors) == {("text", "bad.docx"), ("image", "bad.png")} and "ParseError" in errors["text", "bad.docx"]
+    assert "stage_error" not in store.read().columns and store.read().count() == 3
+    assert reports.error_rollup(pipeline.stage_errors(store, 1)).count() == 1
