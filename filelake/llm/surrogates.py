@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import cache
 from typing import NamedTuple
 
@@ -49,6 +50,9 @@ ALPHABETS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
 _WITHIN = {c: a for a in ALPHABETS for c in a}
+# First and last letters of further scripts, each a run without gaps.
+SCRIPTS = (("ά", "ώ"), ("א", "ת"), ("ا", "غ"), ("ف", "ي"), ("अ", "ह"), ("ก", "ฮ"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龥"), ("가", "힣"), ("ა", "ჰ"), ("ա", "ֆ"), ("Ա", "Ֆ"))
+_JOINTS = re.compile(r"([-'’])")
 _HEX = "0123456789abcdef"
 # Calling codes have one, two or three digits, none the start of another.
 _COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})|")
@@ -119,9 +123,8 @@ def _body(value: str) -> str:
     return value[len(_HEAD.match(value)[0]) :]
 
 
-def _words(value: str) -> str:
-    title, *names = value.split()
-    return " ".join([title.rstrip("."), *names]).casefold()
+def _folded(value: str) -> str:
+    return value.casefold().replace("’", "'")
 
 
 def _card(value: str, canonical: str, draw: _Stream) -> str:
@@ -167,25 +170,68 @@ def _secret(value: str, canonical: str, draw: _Stream) -> str:
     return keep + _alike(body, draw) + _letters(draw)
 
 
-def _gender(value: str) -> str:
-    title = value.split(maxsplit=1)[0].rstrip(".").casefold()
+def _gender(title: str) -> str:
+    title = title.rstrip(".").casefold()
     return next((g for g, titles in TITLES.items() if title in map(str.casefold, titles)), "n")
 
 
-def _name(value: str, canonical: str, draw: _Stream) -> str:
-    """Title stays; the first of several names becomes one of the same gender, others invented surnames of the same script."""
-    words = value.split()
-    cyrillic = any("а" <= c <= "я" for c in canonical)
-    firsts, parts = (CYRILLIC_FIRST, CYRILLIC_SYLLABLES) if cyrillic else (FIRST, SYLLABLES)
-    out = words[:1]
-    for k, word in enumerate(words[1:]):
-        if k == 0 and len(words) > 2:
-            new = firsts[_gender(canonical)][draw.below(len(firsts[_gender(canonical)]))]
+def _cased(new: str, like: str) -> str:
+    """Capitals as in the word that is replaced, where its script has them."""
+    if like.isupper() and len(like) > 1:
+        return new.upper()
+    return new[:1].upper() + new[1:] if like[:1].isupper() else new
+
+
+def _in_script(word: str, draw: _Stream) -> str:
+    """Letters of the scripts of the word's own letters; attempts add more."""
+    longer = word + word[-1] * draw.longer
+    return "".join(_letter_like(c, draw) for c in longer)
+
+
+def _letter_like(c: str, draw: _Stream) -> str:
+    if c in _WITHIN:
+        return _WITHIN[c][draw.below(len(_WITHIN[c]))]
+    for first, last in SCRIPTS:
+        if first <= c <= last:
+            return chr(ord(first) + draw.below(ord(last) - ord(first) + 1))
+    return c if not c.isalpha() else chr(ord("a") + draw.below(26))
+
+
+def _is_latin(word: str) -> bool:
+    return all(c < "\u0250" for c in word)
+
+
+def _is_cyrillic(word: str) -> bool:
+    return any("а" <= c <= "я" or c == "ё" for c in word)
+
+
+def _surname(value: str, canonical: str, draw: _Stream) -> str:
+    """An invented surname of the same script, with the hyphens and apostrophes of the name."""
+    pieces = _JOINTS.split(canonical)
+    longest = max(range(0, len(pieces), 2), key=lambda k: len(pieces[k]))
+    out = []
+    for k, (piece, like) in enumerate(zip(pieces, _JOINTS.split(value))):
+        if k % 2:
+            out.append(like)
+        elif len(piece) < 3 and k != longest:
+            out.append(_cased("".join(_letter_like(c, draw) for c in piece), like))
+        elif _is_latin(piece) or _is_cyrillic(piece):
+            parts = CYRILLIC_SYLLABLES if _is_cyrillic(piece) else SYLLABLES
+            count = 4 + draw.longer if k == longest else 2
+            out.append(_cased("".join(parts[draw.below(len(parts))] for _ in range(count)), like))
         else:
-            new = "".join(parts[draw.below(len(parts))] for _ in range(4 + draw.longer)).capitalize()
-        out.append(new.upper() if word.isupper() and len(word) > 1 else new)
-    gaps = re.findall(r"\s+", value)
-    return "".join(w + g for w, g in zip(out, [*gaps, ""]))
+            out.append(_cased(_in_script(piece, draw), like))
+    return "".join(out)
+
+
+def _given(value: str, canonical: str, draw: _Stream) -> str:
+    """A first name of the same gender and script; attempts make it longer."""
+    gender, _, name = canonical.partition(":")
+    if not (_is_latin(name) or _is_cyrillic(name)):
+        return _in_script(name, draw)
+    firsts, parts = (CYRILLIC_FIRST, CYRILLIC_SYLLABLES) if _is_cyrillic(name) else (FIRST, SYLLABLES)
+    new = firsts[gender][draw.below(len(firsts[gender]))] + "".join(parts[draw.below(len(parts))] for _ in range(draw.longer))
+    return new.upper() if value.isupper() and len(value) > 1 else new
 
 
 class Kind(NamedTuple):
@@ -196,6 +242,10 @@ class Kind(NamedTuple):
     valid: Callable[[str], bool] = lambda value: True
 
 
+# A word of a name begins with a letter that is not a small Latin one; hyphens and apostrophes join its parts.
+_JOINED = r"(?:[-'’][^\W\d_]{2,})"  # not the one letter of a genitive
+_FIRST_WORD = rf"[^\W\d_a-zà-ÿ][^\W\d_]*{_JOINED}*"
+_NEXT_WORD = rf"[^\W\d_a-zà-ÿ](?:[^\W\d_]+{_JOINED}*|{_JOINED}+)"
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 # Earlier kinds win where two meet. The patterns.
 KINDS = (
@@ -207,8 +257,10 @@ KINDS = (
     Kind("SSN", r"\b\d{3}-\d{2}-\d{4}\b", _digits, _ssn),
     Kind("PHONE", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\b\d{2,4}[ .-])\d{3}[ .-]\d{4}\b", _number, _phone),
     Kind("PHONE", r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}\b", _number, _phone, lambda v: len(_digits(v)) >= 8),
-    Kind("NAME", rf"\b(?:{_TITLE})\.?[ \t]+[^\W\d_a-zà-ÿ][^\W\d_]*(?:[ \t]+[^\W\d_a-zà-ÿ][^\W\d_]+)?", _words, _name),
+    Kind("NAME", rf"\b(?:{_TITLE})\.?[ \t]+{_FIRST_WORD}(?:[ \t]+{_NEXT_WORD})?", _folded, _surname),
 )
+# What a name is made of: each part is replaced by itself, so that one surname is one surrogate wherever it stands.
+PARTS = {"SURNAME": Kind("SURNAME", "", _folded, _surname), "GIVEN": Kind("GIVEN", "", _folded, _given)}
 # Signs without which a kind cannot occur, so that most texts are passed over at once.
 _NEEDS = {
     "EMAIL": re.compile("@"), "SECRET": re.compile("(?i:passw|secret|token|api_?key|AKIA|ghp_|sk-)"), "IBAN": re.compile(r"[A-Z]{2}\d{2}"),
@@ -222,15 +274,30 @@ def _compiled() -> list[tuple[Kind, re.Pattern]]:
     return [(k, re.compile(k.pattern)) for k in KINDS]
 
 
+class Part(NamedTuple):
+    """What one surrogate is drawn for: an entity, or the first name or surname in one."""
+
+    kind: Kind
+    canonical: str
+    value: str
+
+    @property
+    def slot(self) -> tuple[str, str]:
+        return self.kind.name, self.canonical
+
+
 class Entity(NamedTuple):
     start: int
     end: int
     kind: Kind
     value: str
 
-    @property
-    def canonical(self) -> str:
-        return self.kind.canonical(self.value)
+    def parts(self) -> list[Part]:
+        if self.kind.name != "NAME":
+            return [Part(self.kind, self.kind.canonical(self.value), self.value)]
+        title, *names = self.value.split()
+        given = [Part(PARTS["GIVEN"], f"{_gender(title)}:{_folded(n)}", n) for n in names[:-1]]
+        return [*given, Part(PARTS["SURNAME"], _folded(names[-1]), names[-1])]
 
 
 def find_entities(text: str) -> list[Entity]:
@@ -254,28 +321,45 @@ def find_entities(text: str) -> list[Entity]:
     return kept
 
 
-def surrogate(e: Entity, key: bytes, attempt: int = 0) -> str:
-    """The surrogate in the entity's own spelling; never the entity itself."""
+def part_surrogate(part: Part, key: bytes, attempt: int = 0) -> str:
+    """The surrogate in the part's own spelling; never the part itself."""
     for turn in range(100):
-        new = e.kind.make(e.value, e.canonical, _Stream(key, e.kind.name, e.canonical, str(attempt), str(turn), longer=attempt))
-        if e.kind.canonical(new) != e.canonical:
+        new = part.kind.make(part.value, part.canonical, _Stream(key, part.kind.name, part.canonical, str(attempt), str(turn), longer=attempt))
+        if made_canonical(part, new) != part.canonical:
             return new
-    raise ValueError(f"no other value of the form of a {e.kind.name}")
+    raise ValueError(f"no other value of the form of a {part.kind.name}")
+
+
+def made_canonical(part: Part, new: str) -> str:
+    """The canonical form of a surrogate, to be compared with those of parts."""
+    gender = part.canonical.partition(":")[0] + ":" if part.kind.name == "GIVEN" else ""
+    return gender + part.kind.canonical(new)
+
+
+def surrogate(e: Entity, key: bytes, attempts: Mapping[tuple[str, str], int]) -> str:
+    """An entity's surrogate: of a name the title stays and every part is replaced."""
+    made = [part_surrogate(p, key, attempts.get(p.slot, 0)) for p in e.parts()]
+    if e.kind.name != "NAME":
+        return made[0]
+    words = re.split(r"(\s+)", e.value)
+    for k, new in enumerate(made):
+        words[2 + 2 * k] = new
+    return "".join(words)
 
 
 _ENTITY = "kind string, canonical string, value string, hits long"
 
 
 def list_entities(docs: DataFrame) -> DataFrame:
-    """Distinct entities of all texts: ``kind, canonical, value`` (its least spelling) and ``hits``."""
+    """Distinct entities of all texts, names by their parts: ``kind, canonical, value`` (its least spelling) and ``hits``."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, str], list] = {}
             for text in batch.column("text").to_pylist():
-                for e in find_entities(text or ""):
-                    slot = seen.setdefault((e.kind.name, e.canonical), [e.value, 0])
-                    slot[0] = min(slot[0], e.value)
+                for part in (p for e in find_entities(text or "") for p in e.parts()):
+                    slot = seen.setdefault(part.slot, [part.value, 0])
+                    slot[0] = min(slot[0], part.value)
                     slot[1] += 1
             rows = [(k, c, v, n) for (k, c), (v, n) in seen.items()]
             yield pa.RecordBatch.from_arrays(
@@ -291,12 +375,12 @@ def _with_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     names = ["kind", "canonical", "value", "attempt"]
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_name = {k.name: k for k in reversed(KINDS)}
+        by_name = {k.name: k for k in reversed(KINDS)} | PARTS
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                kind = by_name[row["kind"]]
-                made.append(kind.canonical(surrogate(Entity(0, 0, kind, row["value"]), key, row["attempt"])))
+                part = Part(by_name[row["kind"]], row["canonical"], row["value"])
+                made.append(made_canonical(part, part_surrogate(part, key, row["attempt"])))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(made, pa.string())], [*names, "made"])
 
     return entities.select(*names).mapInArrow(task, "kind string, canonical string, value string, attempt int, made string")
@@ -336,8 +420,9 @@ def resolve_collisions(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced, and ``n_entities`` and ``kinds`` added.
 
-    Other columns pass through. NULL and empty texts stay as they are with no entity; repeated
-    rows give repeated rows; an empty table gives no row.
+    Other columns pass through; input columns named ``n_entities`` or ``kinds`` give way to the
+    result's. NULL and empty texts stay as they are with no entity; repeated rows give repeated
+    rows; an empty table gives no row.
     """
     moved = cut_lineage(resolve_collisions(cut_lineage(list_entities(docs)), key))
     few = moved.limit(CLOSURE_ENTITIES + 1).collect()
@@ -345,23 +430,24 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     table: dict[tuple[str, str], int] = {}
+    own_column = f"moved_{uuid.uuid4().hex}"
     if len(few) <= CLOSURE_ENTITIES:
         table = {(r["kind"], r["canonical"]): r["attempt"] for r in few}
-        rows = rows.withColumn("__moved", F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
+        rows = rows.withColumn(own_column, F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:int>>"))
     else:
-        rows = _with_moved(rows, moved)
+        rows = _with_moved(rows, moved, own_column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, kinds = [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("__moved").to_pylist()):
+            for text, own in zip(batch.column("text").to_pylist(), batch.column(own_column).to_pylist()):
                 attempts = {(m["kind"], m["canonical"]): m["attempt"] for m in own} if own else table
                 found = find_entities(text) if text else []
                 if found:
                     parts, at = [], 0
                     for e in found:
-                        parts += [text[at : e.start], surrogate(e, key, attempts.get((e.kind.name, e.canonical), 0))]
+                        parts += [text[at : e.start], surrogate(e, key, attempts)]
                         at = e.end
                     text = "".join([*parts, text[at:]])
                 texts.append(text)
@@ -373,16 +459,18 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     return rows.mapInArrow(task, f"{schema}, n_entities int, kinds array<string>")
 
 
-def _with_moved(rows: DataFrame, moved: DataFrame) -> DataFrame:
+def _with_moved(rows: DataFrame, moved: DataFrame, column: str) -> DataFrame:
     """Rows with the re-keyed entities of their text, joined by a digest of the text."""
+    theirs, ours = f"{column}_theirs", f"{column}_ours"
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(d, e.kind.name, e.canonical) for d, t in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist()) for e in find_entities(t or "")}
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in sorted(found)], pa.string()) for i in range(3)], ["digest", "kind", "canonical"])
+            texts = zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist())
+            found = sorted({(d, *p.slot) for d, t in texts for e in find_entities(t or "") for p in e.parts()})
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], ["digest", "kind", "canonical"])
 
     digest = F.sha2(F.col("text").cast("binary"), 256)
     uses = rows.select(digest.alias("digest"), "text").mapInArrow(task, "digest string, kind string, canonical string").distinct()
-    each = uses.join(moved, ["kind", "canonical"]).groupBy("digest")
-    each = each.agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("__moved"))
-    return rows.withColumn("digest__", digest).join(each, F.col("digest__") == F.col("digest"), "left").drop("digest", "digest__")
+    each = uses.join(moved, ["kind", "canonical"]).groupBy(F.col("digest").alias(theirs))
+    each = each.agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(column))
+    return rows.withColumn(ours, digest).join(each, F.col(ours) == F.col(theirs), "left").drop(ours, theirs)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from filelake.session import cut_lineage
 from filelake.llm import counts, hnsw, jaccard, langid, merkle, mixing, packing, queries, records, suffix_dedup, surrogates, warc
 
 FOLDER = "/root/testdata/sf0.001"
@@ -158,7 +160,7 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     kinds = (few._replace(pattern=r"\b40\d\d0000\b", valid=lambda v: True),)
     assert kinds[0].name == "CARD"
     made = [surrogates.Entity(0, 8, kinds[0], w) for w in text.split()]
-    assert all(surrogates.surrogate(e, b"k") != e.value for e in made)
+    assert all(surrogates.surrogate(e, b"k", {}) != e.value for e in made)
     rows = spark.createDataFrame([("CARD", f"45391488034364{k:02d}", f"45391488034364{k:02d}", 1) for k in range(30)], surrogates._ENTITY)
     assert surrogates.resolve_collisions(rows, b"k").where("attempt < 1").count() == 0
 
@@ -177,8 +179,54 @@ def test_spellings_share_a_surrogate(kind, one, other):
     (a,), (b,) = surrogates.find_entities(one), surrogates.find_entities(other)
     assert a.kind.name == b.kind.name == kind
     for attempt in range(3):
-        x, y = (surrogates.surrogate(e, b"k", attempt) for e in (a, b))
-        assert a.canonical == b.canonical and a.kind.canonical(x) == b.kind.canonical(y) != a.canonical
+        for one_part, other_part in zip(a.parts(), b.parts(), strict=True):
+            x, y = (surrogates.made_canonical(p, surrogates.part_surrogate(p, b"k", attempt)) for p in (one_part, other_part))
+            assert one_part.slot == other_part.slot and x == y != one_part.canonical
+
+
+NAMES = [
+    "Mr 李明", "Mr Παπαδόπουλος", "Mr محمد علي", "Mr Jean-Luc Picard", "Mr O'Neil", "Ms Mary O’Neil-Smith", "Dr. Иванов-Петров", "Herr MEIER", "Mme Élodie Dupré",
+    "Mr עמית כהן", "Prof 田中",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_keep_script_and_form_and_leak_nothing(name):
+    """Every part is replaced whole, in its own script, with its hyphens, apostrophes and capitals."""
+    (entity,) = surrogates.find_entities(f"so {name}, he said")
+    assert entity.value == name
+    new = surrogates.surrogate(entity, b"k", {})
+    old_words, new_words = name.split(), new.split()
+    assert new_words[0] == old_words[0] and len(new_words) == len(old_words)
+    script = lambda w: {unicodedata.name(c).split()[0] for c in w if c.isalpha()}
+    for a, b in zip(old_words[1:], new_words[1:]):
+        assert script(a) == script(b) and a.isupper() == b.isupper()
+        assert not {x.casefold() for x in re.split("[-'’]", a) if len(x) > 2} & {x.casefold() for x in re.split("[-'’]", b)}
+    if len(old_words) == 2:
+        assert [c for c in name if c in "-'’"] == [c for c in new if c in "-'’"]
+
+
+def test_one_surname_is_one_surrogate(spark):
+    """A person named in several ways keeps one surname, and people with different names stay apart."""
+    texts = ["Mr. John Smith met Mr Smith and Mrs Anna Smith's friend Dr Jane O'Neil.", "Mr Jack Smith, Mr John Miller and Miss Jane O’Neil", "Mr Smith-Jones"]
+    rows = [(i, t, "mine", 5, "d") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __moved string, n_entities int, digest string")
+    found = by_id(surrogates.replace_entities(df, b"key"))
+    assert [found[0][c] for c in ("__moved", "digest", "n_entities")] == ["mine", "d", 4]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+) and Mrs (\w+) (\w+)'s friend Dr (\w+) (.+)\.", found[0]["text"])
+    john, smith, jane, neil = m[1], m[2], m[6], m[7]
+    assert m[3] == m[5] == smith and "smith" not in found[0]["text"].lower()
+    n = re.fullmatch(r"Mr (\w+) (\w+), Mr (\w+) (\w+) and Miss (\w+) (.+)", found[1]["text"])
+    assert n[2] == smith and n[3] == john and n[1] != john and n[4] != smith and n[6].replace("’", "'") == neil
+
+
+def test_rekeyed_names_by_join(spark, monkeypatch):
+    """More re-keyed entities than a closure holds give the same texts."""
+    texts = [f"Mr {a}{b} {c}" for a in ("Tom", "Tim", "Jon", "Jim", "Ben") for b in ("my", "my-Lee", "o") for c in ("Gray", "Wood", "Hale")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, b"key").collect()}
+    monkeypatch.setattr(surrogates, "CLOSURE_ENTITIES", 0)
+    assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, b"key").collect()} == held and len(set(held.values())) == len(texts)
 
 
 def test_secret_of_signs_alone_is_none(spark):
@@ -191,15 +239,17 @@ def test_secret_of_signs_alone_is_none(spark):
 def test_more_entities_than_short_forms(spark):
     """More names of one title than four syllables give, and nearly all addresses and secrets of one form."""
     n = 16**4 + 4000
-    names = spark.range(n).selectExpr("'NAME' AS kind", "concat('mr x', translate(id, '0123456789', 'abcdefghij')) AS canonical", "concat('Mr X', translate(id, '0123456789', 'abcdefghij')) AS value", "1L AS hits")
+    names = spark.range(n).selectExpr("'SURNAME' AS kind", "concat('x', translate(id, '0123456789', 'abcdefghij')) AS canonical", "concat('X', translate(id, '0123456789', 'abcdefghij')) AS value", "1L AS hits")
     letters = "abcdefghijklmnopqrstuvwxyz"
     few = [("EMAIL", f"{a}@{b}.com", f"{a}@{b}.com", 1) for a in letters for b in letters]
     few += [("SECRET", f"_______{a}", f"token=_______{a}", 1) for a in letters]
-    entities = names.unionByName(spark.createDataFrame(few, surrogates._ENTITY)).localCheckpoint()
+    entities = names.unionByName(spark.createDataFrame(few, surrogates._ENTITY))
+    entities = cut_lineage(entities)
     moved = {(r["kind"], r["canonical"]): r["attempt"] for r in surrogates.resolve_collisions(entities, b"k").collect()}
-    kinds = {k.name: k for k in surrogates.KINDS}
+    kinds = {k.name: k for k in surrogates.KINDS} | surrogates.PARTS
     rows = entities.collect()
-    made = {(r["kind"], kinds[r["kind"]].canonical(surrogates.surrogate(surrogates.Entity(0, 0, kinds[r["kind"]], r["value"]), b"k", moved.get((r["kind"], r["canonical"]), 0)))) for r in rows}
+    parts = [surrogates.Part(kinds[r["kind"]], r["canonical"], r["value"]) for r in rows]
+    made = {(p.kind.name, surrogates.made_canonical(p, surrogates.part_surrogate(p, b"k", moved.get(p.slot, 0)))) for p in parts}
     assert len(made) == len(rows) == n + 702 and not made & {(r["kind"], r["canonical"]) for r in rows}
 
 
