@@ -245,6 +245,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), -1)
 
 
+def _to_size(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with a largest component between one half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     # Scaled by the largest component first, so that squares neither overflow nor vanish.
     scaled = vectors / np.abs(vectors).max(1, keepdims=True)
@@ -316,9 +321,11 @@ def _search(threshold: float, scan: bool = False):
         graph = Graph(_unit(vectors), levels, row["entry"])
         asked = asked.sort_by("vec_id")
         own_ids, own = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"))
+        keys, own_keys = _keys(ids, vectors), _keys(own_ids, own)
+        # Brought to size by powers of two, which loses nothing, so that products neither overflow nor vanish.
+        vectors, own = _to_size(vectors), _to_size(own)
         norms, own_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(own, axis=1)
         links = np.zeros(len(own_ids), np.int64)
-        keys, own_keys = _keys(ids, vectors), _keys(own_ids, own)
         # The exclusive or of the pairs of a node, once as query and once as found: nothing is left if both are the same.
         asked_sign, met_sign = np.zeros(len(own_ids), np.uint64), np.zeros(len(ids), np.uint64)
         tied: list[tuple[np.ndarray, np.ndarray]] = []

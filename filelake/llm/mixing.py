@@ -12,6 +12,7 @@ rows, is spread over as many blocks as it needs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -164,13 +165,16 @@ def take_mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: flo
     Rows alike in id, source and text share their copies: every one of them appears with the
     mean of what they were given, rounded down, and the rest goes to the first of them.
     """
-    given = mix_sources(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id", "source", "h")
-    given = given.agg(F.sum("copies").cast("int").alias("copies")).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "h", "copies")])
-    names = docs.columns
-    alike = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__h"))
-    turn = Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(0))
-    shared = alike.join(given, same).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source", "__text")))
-    shared = shared.withColumn("__turn", F.row_number().over(turn))
-    own = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__turn") == 1, F.col("__copies") % F.col("__n")).otherwise(0)
-    return shared.withColumn("__copy", F.explode(F.sequence(F.lit(0), own.cast("int")))).where("__copy > 0").select(*[F.col(f"`{c}`") for c in names])
+    # Names that no input column has.
+    own_name = f"mix_{uuid.uuid4().hex}_".__add__
+    doc_id, source, h, given_copies, text, n, turn, copy = map(own_name, ("doc_id", "source", "h", "copies", "text", "n", "turn", "copy"))
+    given = mix_sources(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id", "source", "h").agg(F.sum("copies").cast("int").alias("copies"))
+    given = given.select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("h").alias(h), F.col("copies").alias(given_copies))
+    alike = docs.withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(text) == F.col(h))
+    group = Window.partitionBy("doc_id", "source", text)
+    shared = alike.join(given, same).withColumn(n, F.count(F.lit(1)).over(group))
+    shared = shared.withColumn(turn, F.row_number().over(group.orderBy(F.lit(0))))
+    own = F.floor(F.col(given_copies) / F.col(n)) + F.when(F.col(turn) == 1, F.col(given_copies) % F.col(n)).otherwise(0)
+    dealt = shared.withColumn(copy, F.explode(F.sequence(F.lit(0), own.cast("int")))).where(F.col(copy) > 0)
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -305,6 +305,25 @@ def test_archives(spark):
         warc.decode_record(warc.encode_record("response", "urn:page:1", {}, b"abc")[:-1])
 
 
+def test_near_vectors_of_extreme_lengths(spark):
+    base = np.array([0.3, -0.7, 0.2, 0.5])
+    rows = [(i, (size * (base + 1e-6 * i)).tolist()) for i, size in enumerate((1e200, 1.0, 1e-200, 1e300, 1e-300))]
+    found = by_id_of(hnsw.near_duplicates(spark.createDataFrame([*rows, (9, [0.0, 1e-310, 0.0, 0.0])], "vec_id long, embedding array<double>")), "vec_id")
+    assert [found[i]["n_links"] for i in range(5)] == [4] * 5 and found[9]["n_links"] == 0
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    rows = [(i, f"word {i}", "s", "t", i, "c") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __text string, __n int, __copy string")
+    taken = mixing.take_mixture(df)
+    assert taken.columns == df.columns and {(r["__text"], r["__copy"]) for r in taken.collect()} == {("t", "c")}
+    assert all(r["__n"] == r["doc_id"] for r in taken.collect())
+
+
+def by_id_of(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 16))
