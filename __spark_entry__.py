@@ -21,7 +21,9 @@ from filelake.session import cut_lineage, ship_package
 try:
     from filelake.llm.queries import ORACLE as LLM_ORACLE
     from filelake.llm.queries import QUERIES as LLM_QUERIES
-except ModuleNotFoundError:
+except ModuleNotFoundError as missing:
+    # A library that is missing takes them away as well, so its name is said.
+    print(f"training-data queries left out: no module {missing.name}", file=sys.stderr)
     LLM_ORACLE, LLM_QUERIES = {}, {}
 try:
     import corpus_pipeline
