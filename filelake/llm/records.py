@@ -26,6 +26,8 @@ from filelake.llm.tokens import encoder
 from filelake.session import cut_lineage
 
 _BLOCK = 4096
+# Up to this many bytes a loop is faster than a gather.
+_SHORT = 32
 _HEAD = struct.Struct("<BBq")  # flags (1: no id), bytes per token id, document id
 INDEX_ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
 READ_RECORDS = 4096
@@ -45,19 +47,26 @@ def _crc_table() -> np.ndarray:
     return rows
 
 
+@cache
+def _crc_tables() -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The table as one row, where each of its rows starts, and the row of a last byte."""
+    table = _crc_table()
+    return table.ravel(), np.arange(_BLOCK, dtype=np.int32) * 256, table[-1].tolist()
+
+
 def crc32c(data: bytes) -> int:
     """CRC-32C (Castagnoli); the register is linear, so a block is one gather and one XOR over its bytes."""
-    table, state = _crc_table(), 0xFFFFFFFF
-    flat = table.ravel()
+    flat, rows, single = _crc_tables()
+    state = 0xFFFFFFFF
     array = np.frombuffer(data, np.uint8)
     for start in range(0, len(array), _BLOCK):
-        part = array[start : start + _BLOCK].astype(np.int64)
-        if len(part) < 4:
-            for b in part.tolist():
-                state = (state >> 8) ^ int(table[-1][(state ^ b) & 0xFF])
+        size = min(_BLOCK, len(array) - start)
+        if size <= _SHORT:
+            for b in data[start:]:
+                state = (state >> 8) ^ single[(state ^ b) & 0xFF]
             continue
-        part[:4] ^= np.frombuffer(struct.pack("<I", state), np.uint8)
-        part += np.arange(_BLOCK - len(part), _BLOCK) * 256
+        part = array[start : start + size] + rows[_BLOCK - size :]
+        part[:4] = rows[_BLOCK - size : _BLOCK - size + 4] + [array[start + k] ^ (state >> 8 * k & 0xFF) for k in range(4)]
         state = int(np.bitwise_xor.reduce(flat[part]))
     return state ^ 0xFFFFFFFF
 
@@ -108,6 +117,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
         shard = TaskContext.get().partitionId()
         encode = encoder(tokenizer)
         width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
+        end = np.array([end_id], f"<u{width}").tobytes()
         out = None
         offset = records = tokens = 0
         entries: list[np.ndarray] = []
@@ -121,7 +131,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
             found = encode.encode(batch.column("text").to_pylist())
             entries = np.zeros(len(found), INDEX_ENTRY)
             for k, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), found)):
-                data = frame(pack_ids(doc_id, np.append(ids, np.uint32(end_id)), width))
+                data = frame(pack_ids(doc_id, ids, width) + end)
                 out.write(data)
                 entries[k] = (offset, len(data), tokens)
                 offset += len(data)
