@@ -9,10 +9,13 @@ from a bounded cache; only new pieces reach the library.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 import sys
+import threading
+import time
 from array import array
 from collections.abc import Sequence
 from functools import cache
@@ -35,6 +38,17 @@ def _pieces(text: str) -> list[str]:
     return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
 
 
+# After this time without a text an encoder's pieces are forgotten.
+IDLE_SECONDS = 5.0
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class PieceEncoder:
     """Ids of whole texts; ``cache_pieces`` bounds what is remembered between calls."""
 
@@ -50,6 +64,7 @@ class PieceEncoder:
         # Texts with tokens that depend on what is beside them go to the library whole.
         self._whole = any(t.single_word or t.lstrip or t.rstrip for t in added)
         self._limit = cache_pieces
+        self._lock, self._used, self._watch = threading.Lock(), 0.0, None
         self._known: dict[str, bytes] = {}
         # What was known before the cache was last full; pieces in use move back.
         self._before: dict[str, bytes] = {}
@@ -86,10 +101,25 @@ class PieceEncoder:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            with self._lock:
+                return self._encode(texts)
         finally:
             if collecting:
                 gc.enable()
+            self._used = time.monotonic()
+            if self._watch is None:
+                self._watch = threading.Thread(target=self._let_go, daemon=True)
+                self._watch.start()
+
+    def _let_go(self) -> None:
+        """Forget all pieces once the encoder has rested: a worker lives on into stages that need the memory."""
+        while True:
+            time.sleep(IDLE_SECONDS)
+            with self._lock:
+                if time.monotonic() - self._used >= IDLE_SECONDS:
+                    self._known, self._before, self._watch = {}, {}, None
+                    _trim()
+                    return
 
     def _encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         split = [self._split(t or "") for t in texts]

@@ -1,10 +1,12 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from filelake.llm import tokens
 from filelake.llm.tokens import PieceEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,3 +46,15 @@ def test_added_tokens_are_those_of_the_library(library, limit):
 def test_null_is_empty():
     assert PieceEncoder(PATH).encode([None, ""])[0].dtype == np.dtype("<u4")
     assert [len(x) for x in PieceEncoder(PATH).encode([None, ""])] == [0, 0]
+
+
+def test_a_resting_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.1)
+    encoder = tokens.PieceEncoder(PATH)
+    first = [x.tolist() for x in encoder.encode(["some words here", None])]
+    assert encoder._known
+    for _ in range(100):
+        time.sleep(0.05)
+        if not encoder._known:
+            break
+    assert not encoder._known and [x.tolist() for x in encoder.encode(["some words here", None])] == first
