@@ -239,6 +239,11 @@ def test_members_are_told_like_files(spark, tmp_path, monkeypatch):
     assert len({r.perceptual_hash for r in rows.values() if r.filename.endswith("png")}) == 1
 
 
+def test_named_references_need_their_semicolon():
+    page = "<title>and&amp;&amp</title><p>&ampere; &copy &copy;&quot;&eacute;&nosuch; &ampé; &am &#65;&</p>".encode()
+    assert text.html_text(page) == 'and&&amp\n&ampere; &copy ©"é&nosuch; &ampé; &am A&'
+
+
 @pytest.mark.parametrize("from_disk", [False, True])
 def test_extraction(spark, tmp_path, from_disk):
     cases = [
