@@ -23,6 +23,7 @@ fixed names with the same content on every attempt, so a lost executor costs rep
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count as count_from
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +40,10 @@ from filelake.llm.counts import chunked, pack, pack_bits, pack_sorted, unpack, u
 from filelake.llm.hashing import mix
 
 ROUNDS, BURN_IN = 5, 2
-# Customers of a cell that are seated again in a round, at most: a random scan.
-STEPS = 12
+# How often each customer is seated again in a round.
+SWEEPS = 1
+# With fewer cells than this left, they are walked one by one.
+FEW_CELLS = 200
 STRENGTH = 1.0
 # Tokens whose cells, and words of chunks that, meet in one task on average.
 BUCKET_TOKENS = 1 << 21
@@ -275,41 +278,89 @@ def expected_seats(customers: np.ndarray, fresh: np.ndarray, discount: float, rn
     return Seats(tables, sizes)
 
 
-def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, steps: int, rng: np.random.Generator) -> Seats:
-    """Gibbs steps: in each, a random customer of every cell is taken off its table and seated again.
+def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, sweeps: int, rng: np.random.Generator) -> Seats:
+    """Gibbs sweeps: in each, every customer of every cell is taken off its table in turn and seated again.
 
-    ``customers`` falls, and cells with fewer than ``steps`` take as many steps as they have
-    customers. ``fresh_of(change)`` gives the weight of a new table after a change in tables.
+    ``customers`` falls and is 2 at least. ``fresh_of(change)`` gives the weight of a new table
+    after a change in tables, and is linear in it. All cells take a step together; the few with
+    very many customers end alone. A step costs the same however many tables a cell has: a table
+    of n others is met by way of a random customer, and taken with chance (n - d) / n.
     """
     if not len(customers):
         return seats
-    slots = np.minimum(customers, seats.tables + steps)
-    ends = np.cumsum(slots)
-    first = ends - slots
-    held = np.zeros(int(ends[-1]), np.int64)
-    owner = np.repeat(np.arange(len(slots)), seats.tables)
-    held[np.arange(len(owner)) - np.repeat(np.cumsum(seats.tables) - seats.tables, seats.tables) + first[owner]] = seats.sizes
-    tables = seats.tables.copy()
-    for step in range(min(steps, int(customers[0]))):
-        live = int(np.searchsorted(-customers, -step, "left"))  # more customers than steps so far
-        size, begin, end = int(ends[live - 1]), first[:live], ends[:live]
-        now = held[:size]
-        sums = np.concatenate(([0], np.cumsum(now)))
-        seat = np.searchsorted(sums, sums[begin] + rng.integers(0, customers[:live]), "right") - 1
-        now[seat] -= 1
-        tables[:live] -= now[seat] == 0
-        weights = np.concatenate(([0.0], np.cumsum(np.maximum(now - discount, 0))))
-        joined = weights[end] - weights[begin]
-        pick = rng.random(live) * (joined + fresh_of(tables[:live] - seats.tables[:live], live))
-        seat = np.clip(np.searchsorted(weights, weights[begin] + pick, "right") - 1, begin, end - 1)
-        new = (pick >= joined) | (now[seat] == 0)
-        if new.any():
-            empty = np.concatenate(([0], np.cumsum(now == 0)))
-            seat[new] = np.searchsorted(empty, empty[begin[new]] + 1, "left") - 1
-        now[seat] += 1
-        tables[:live] += new
-    taken = held > 0
-    return Seats(tables, held[taken])
+    ends = np.cumsum(customers)
+    first = ends - customers
+    # A cell has as many places for tables as customers; those that are empty lie on its stack.
+    rank = np.arange(int(ends[-1])) - np.repeat(first, customers)
+    used = rank < np.repeat(seats.tables, customers)
+    size = np.zeros(len(rank), np.int64)
+    size[used] = seats.sizes
+    seat = np.repeat(np.flatnonzero(used), seats.sizes)
+    empty, tables = np.zeros(len(rank), np.int64), seats.tables.copy()
+    bare = np.flatnonzero(~used)
+    empty[bare - np.repeat(seats.tables, customers - seats.tables)] = bare
+    turns, step = sweeps * customers, 0
+    while (live := int(np.searchsorted(-turns, -step, "left"))) >= FEW_CELLS:  # more turns than steps so far
+        begin, many = first[:live], customers[:live]
+        mine = begin + step % many
+        old = seat[mine]
+        size[old] -= 1
+        left = np.flatnonzero(size[old] == 0)
+        empty[begin[left] + many[left] - tables[left]] = old[left]
+        tables[left] -= 1
+        joined = many - 1 - discount * tables[:live]
+        new = rng.random(live) * (joined + fresh_of(tables[:live] - seats.tables[:live], live)) >= joined
+        left = np.flatnonzero(new)
+        tables[left] += 1
+        taken = np.empty(live, np.int64)
+        taken[left] = empty[begin[left] + many[left] - tables[left]]
+        left = np.flatnonzero(~new)
+        while len(left):
+            other = begin[left] + rng.integers(0, many[left])
+            table = seat[other]
+            agreed = (other != mine[left]) & (rng.random(len(left)) * size[table] < size[table] - discount)
+            taken[left[agreed]] = table[agreed]
+            left = left[~agreed]
+        size[taken] += 1
+        seat[mine] = taken
+        step += 1
+    weight = fresh_of(np.zeros(live, np.int64), live)
+    slope = fresh_of(np.ones(live, np.int64), live) - weight
+    for i in range(live):
+        own = slice(int(first[i]), int(ends[i]))
+        stack = empty[own][: customers[i] - tables[i]] - own.start
+        size[own] = _walk(seat[own] - own.start, size[own], stack, float(weight[i] + slope[i] * (tables[i] - seats.tables[i])), float(slope[i]), discount, range(step, int(turns[i])), rng)
+        tables[i] = np.count_nonzero(size[own])
+    return Seats(tables, size[size > 0])
+
+
+def _walk(seat: np.ndarray, size: np.ndarray, empty: np.ndarray, weight: float, slope: float, discount: float, steps: range, rng: np.random.Generator) -> list[int]:
+    """The steps of one cell: the sizes of its tables after them."""
+    seat, size, empty = seat.tolist(), size.tolist(), empty.tolist()
+    count = len(seat)
+    joined = count - 1 - discount * (count - len(empty))
+    chances = (u for _ in count_from(0) for u in rng.random(8192).tolist())
+    for step in steps:
+        mine = step % count
+        table = seat[mine]
+        size[table] -= 1
+        if not size[table]:
+            empty.append(table)
+            joined += discount
+            weight -= slope
+        if next(chances) * (joined + weight) >= joined:
+            table = empty.pop()
+            joined -= discount
+            weight += slope
+        else:
+            while True:
+                other = int(next(chances) * count)
+                table = seat[other]
+                if other != mine and next(chances) * size[table] < size[table] - discount:
+                    break
+        size[table] += 1
+        seat[mine] = table
+    return size
 
 
 def _resized(seats: Seats, customers: np.ndarray) -> Seats:
@@ -366,7 +417,7 @@ def _seat_cells(folder: str, round_: int, root: Root, word_buckets: int, sampled
         def fresh(change: np.ndarray, live: int) -> np.ndarray:
             return (STRENGTH + discount * (open_tables[:live] + change)) * chance[:live]
 
-        seats = reseat(seats, customers, fresh, discount, STEPS, rng)
+        seats = reseat(seats, customers, fresh, discount, SWEEPS, rng)
         if sampled:
             sampled_tables = sampled_tables + seats.tables
         _write(folder, f"seats-{round_}-{bucket}", _close(pack_bits(seats.tables), pack_bits(seats.sizes), pack_bits(sampled_tables)))
@@ -467,7 +518,7 @@ def _seat_words(folder: str, round_: int, root: Root):
         def fresh(change: np.ndarray, live: int) -> np.ndarray:
             return (STRENGTH + root.discount * (root.tables + change)) * rest
 
-        seats = reseat(seats, customers[moving], fresh, root.discount, STEPS, rng)
+        seats = reseat(seats, customers[moving], fresh, root.discount, SWEEPS, rng)
         tables = np.minimum(customers, 1)
         tables[moving] = seats.tables
         _write(folder, f"parent-{round_}-{bucket}", _close(pack_bits(moving), pack_bits(seats.tables), pack_bits(seats.sizes)))

@@ -49,6 +49,16 @@ def test_steps_keep_the_distribution_of_seats(count, chance, discount):
     assert all(abs(found[t] - weights[t] / total) < 0.015 for t in range(1, count + 1))
 
 
+@pytest.mark.parametrize("cells", [3, 300])
+def test_a_round_seats_every_customer_of_large_cells_again(cells):
+    # All start at one table; a new one weighs so much that each customer seated again takes one.
+    customers = np.full(cells, 3000)
+    start = pitman_yor.Seats(np.ones(cells, np.int64), customers.copy())
+    seats = pitman_yor.reseat(start, customers, lambda change, live: np.full(live, 1e9) + change, 0.5, pitman_yor.SWEEPS, np.random.default_rng(3))
+    assert (np.add.reduceat(seats.sizes, np.cumsum(seats.tables) - seats.tables) == 3000).all() and (seats.sizes > 0).all()
+    assert (seats.tables > 2990).all()
+
+
 def test_start_and_change_of_seats():
     rng = np.random.default_rng(1)
     customers = -np.sort(-rng.integers(2, 4000, 300))
