@@ -348,3 +348,21 @@ def test_media_tables_fill_exif_data(spark):
     got = {r.path: (r.w, r.artist, r.make, r.odd, r.none) for r in rows.select("path", media.exif_value(F.col("exif_data"), "width", "int").alias("w"), media.exif_value(F.col("exif_data"), "artist").alias("artist"), media.exif_value(F.col("exif_data"), "Make").alias("make"), media.exif_value(F.col("exif_data"), "99999").alias("odd"), media.exif_value(F.col("exif_data"), "no'ne").alias("none")).collect()}
     assert got == {"/v": (640, None, None, None, None), "/a": (None, "Jo", None, None, None), "/p": (None, None, "Maker", "x", None)}
     assert media.media_json(media.MediaTables()) is None
+
+
+def test_rules_are_tried_only_on_texts_with_their_sign(spark):
+    rules = [pii.PiiRule("A", "a+", sign="b"), pii.PiiRule("C", "c", sign="b"), pii.PiiRule("D", "d")]
+    rows = spark.createDataFrame([("aaa",), ("ab",), ("bcd",), ("d",), (None,)], "text string")
+    found = [r[0] for r in rows.select(pii.pii_types(rows.text, rules=rules)).collect()]
+    assert found == [None, ["A"], ["C", "D"], ["D"], None]
+    # One text per rule that hardly has its sign, and is found all the same.
+    least = {
+        "4111-1111-1111-1111": "CREDIT_CARD", "3782 822463 10005": "CREDIT_CARD", "0x" + "aB" * 20: "CRYPTO", "a@b.io": "EMAIL_ADDRESS",
+        "bc1" + "q" * 30: "CRYPTO", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2": "CRYPTO", "GB82WEST12345698765432": "IBAN_CODE", "1.2.3.4": "IP_ADDRESS",
+        "a:b:c:d:e:f:a:b": "IP_ADDRESS", "fe::cd": "IP_ADDRESS", "(555) 123-4567": "PHONE_NUMBER", "http://a.io": "URL", "123-45-6789": "US_SSN",
+        "943 476 5919": "UK_NHS", "12345678Z": "ES_NIF", "1 84 12 76 451 089 46": "FR_NIR", "Passport A12345678": "US_PASSPORT",
+        "account 12345678": "US_BANK_NUMBER", "driver's license D1234": "US_DRIVER_LICENSE", "912-70-1234": "US_ITIN",
+    }
+    texts = spark.createDataFrame([(t,) for t in least], "text string")
+    found = texts.select("text", pii.pii_types(texts.text, ["en", "es", "fr"])).collect()
+    assert [t for t, kinds in found if least[t] not in (kinds or [])] == []
