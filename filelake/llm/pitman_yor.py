@@ -43,7 +43,7 @@ ROUNDS, BURN_IN = 5, 2
 # How often each customer is seated again in a round.
 SWEEPS = 1
 # With fewer cells than this left, they are walked one by one.
-FEW_CELLS = 200
+FEW_CELLS = 64
 STRENGTH = 1.0
 # Tokens whose cells, and words of chunks that, meet in one task on average.
 BUCKET_TOKENS = 1 << 21
