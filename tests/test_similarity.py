@@ -221,6 +221,35 @@ def test_components_equal_closure(spark, shape):
     assert len(got) == len(want) and set(got) == want
 
 
+def mixed_graph():
+    """Stars, chains with stars at them, pairs with only each other, double and turned edges."""
+    edges = [("hub", f"n{i:04d}") for i in range(300)] + [(f"n{i:04d}", "hub") for i in range(9)] + [("x", "x")]
+    edges += [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(20)] + [("c07", f"leaf{i}") for i in range(5)] + [("a", "b"), ("z", "y"), ("y", "z"), ("b", "a")]
+    return edges + [("t1", "t2"), ("t2", "t3"), ("t3", "t1"), ("t3", "t4")]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_components_of_a_mixed_graph(spark, monkeypatch, alike):
+    """Also where the hashes of two nodes are the same."""
+    if alike:
+        monkeypatch.setattr(components, "_hash", lambda node: F.pmod(F.xxhash64(node), F.lit(50)))
+    df = spark.createDataFrame(mixed_graph(), "src string, dst string")
+    got = [(r.group_id, r.node, r.group_size) for r in components.connected_components(df).collect()]
+    want = closure([e for e in mixed_graph() if e[0] != e[1]])
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Only edges between nodes of several neighbours go through the rounds."""
+    seen = []
+    rounds = components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges, n: seen.append(edges.count()) or rounds(edges, n))
+    stars = spark.createDataFrame([(f"c{i % 7}", f"o{i}") for i in range(500)], "src string, dst string")
+    assert components.connected_components(stars).count() == 507 and not seen
+    chain = spark.createDataFrame([("t1", "t2"), ("t2", "t3"), ("t3", "t4"), ("t4", "t5")], "src string, dst string")
+    assert components.connected_components(stars.unionByName(chain)).count() == 512 and seen == [2]
+
+
 def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
