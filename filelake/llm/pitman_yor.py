@@ -300,23 +300,26 @@ def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, sweep
     bare = np.flatnonzero(~used)
     empty[bare - np.repeat(seats.tables, customers - seats.tables)] = bare
     turns, step = sweeps * customers, 0
+    weight = fresh_of(np.zeros(len(customers), np.int64), len(customers))
+    slope = fresh_of(np.ones(len(customers), np.int64), len(customers)) - weight
+    # Weight of all tables and a new one: this much, and so much for each table.
+    whole, each = customers - 1 + weight - slope * seats.tables, slope - discount
     while (live := int(np.searchsorted(-turns, -step, "left"))) >= FEW_CELLS:  # more turns than steps so far
-        begin, many = first[:live], customers[:live]
-        mine = begin + step % many
+        begin, many, now = first[:live], customers[:live], tables[:live]
+        mine = begin + (step if sweeps == 1 else step % many)
         old = seat[mine]
         size[old] -= 1
         left = np.flatnonzero(size[old] == 0)
-        empty[begin[left] + many[left] - tables[left]] = old[left]
-        tables[left] -= 1
-        joined = many - 1 - discount * tables[:live]
-        new = rng.random(live) * (joined + fresh_of(tables[:live] - seats.tables[:live], live)) >= joined
+        empty[begin[left] + many[left] - now[left]] = old[left]
+        now[left] -= 1
+        new = rng.random(live) * (whole[:live] + each[:live] * now) >= many - 1 - discount * now
         left = np.flatnonzero(new)
-        tables[left] += 1
+        now[left] += 1
         taken = np.empty(live, np.int64)
-        taken[left] = empty[begin[left] + many[left] - tables[left]]
+        taken[left] = empty[begin[left] + many[left] - now[left]]
         left = np.flatnonzero(~new)
         while len(left):
-            other = begin[left] + rng.integers(0, many[left])
+            other = begin[left] + (rng.random(len(left)) * many[left]).astype(np.int64)
             table = seat[other]
             agreed = (other != mine[left]) & (rng.random(len(left)) * size[table] < size[table] - discount)
             taken[left[agreed]] = table[agreed]
@@ -324,8 +327,6 @@ def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, sweep
         size[taken] += 1
         seat[mine] = taken
         step += 1
-    weight = fresh_of(np.zeros(live, np.int64), live)
-    slope = fresh_of(np.ones(live, np.int64), live) - weight
     for i in range(live):
         own = slice(int(first[i]), int(ends[i]))
         stack = empty[own][: customers[i] - tables[i]] - own.start

@@ -207,3 +207,18 @@ def test_without_rows_and_without_training_rows(spark):
     found = pitman_yor.score_documents(docs, docs.doc_id > 5).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in found) == [(1, 3, 0, 0), (2, 1, 0, 0)]
     assert all(abs(r["score"]) < 1e-9 and abs(r["base_score"]) < 1e-9 for r in found)
+
+
+def test_weights_of_new_tables_are_asked_for_once():
+    """They are linear in the tables, so a step of all cells needs no new ones; all customers stay seated."""
+    rng, asked = np.random.default_rng(3), []
+    customers = np.sort(rng.integers(2, 200, 300))[::-1].astype(np.int64)
+    fresh = pitman_yor.expected_seats(customers, np.full(300, 2.0), 0.6, rng)
+
+    def fresh_of(change, live):
+        asked.append(live)
+        return (1.0 + 0.6 * (50 + change)) * np.full(live, 0.1)
+
+    seats = pitman_yor.reseat(fresh, customers, fresh_of, 0.6, 2, rng)
+    assert asked == [300, 300]
+    assert (np.add.reduceat(seats.sizes, np.cumsum(seats.tables) - seats.tables) == customers).all() and seats.sizes.min() >= 1
