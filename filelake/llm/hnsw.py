@@ -36,8 +36,10 @@ SEARCH_BEAM = 48
 AUDIT_QUERIES = 64
 AUDIT_RECALL = 0.99
 _MARGIN = 1e-4  # single precision in the search, double in the check
-_STEP = 4  # nodes of a beam opened at once
+_STEP = 4  # nodes of a beam opened at once, at least; wide beams are opened in about so many steps
+_STEPS = 12
 _BLOCK = 1024
+_BEAMS = 256  # queries searched at once, whose marks and vectors stay in a core's cache
 # A beam gathers some 32 nodes for each of its own one by one, which costs as much as a product
 # with about this many nodes of the shard in their order.
 _SCAN = 512
@@ -51,55 +53,65 @@ class Graph(NamedTuple):
     entry: int
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, opened: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if ids.shape[1] > width:
-        keep = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-        ids, sims, opened = (np.take_along_axis(x, keep, 1) for x in (ids, sims, opened))
-    return ids, sims, opened
+def _taken(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The elements ``at`` of every row."""
+    return x.ravel().take(at + np.arange(len(x))[:, None] * x.shape[1])
 
 
 def beam_search(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Best ``width`` nodes of one level for all queries at once, started at ``entries``; ids (-1 for none) and cosines."""
     count = len(queries)
-    visited = np.zeros((count, len(unit)), bool)
-    rows = np.arange(count)
-    ids = entries.reshape(count, -1).astype(links.dtype)
-    sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", queries, unit[np.maximum(ids, 0)]), -np.inf)
-    visited[rows[:, None], np.maximum(ids, 0)] = True
+    entries = entries.reshape(count, -1).astype(links.dtype)
+    held = max(width, entries.shape[1])
+    ids, sims = np.full((count, held), -1, links.dtype), np.full((count, held), -np.inf, np.float32)
+    ids[:, : entries.shape[1]] = entries
+    sims[:, : entries.shape[1]] = np.where(entries >= 0, np.einsum("bd,bkd->bk", queries, unit[np.maximum(entries, 0)]), -np.inf)
     opened = ids < 0
-    step = min(_STEP, width)
-    active = rows
-    while len(active):
-        waiting = np.where(opened[active], -np.inf, sims[active])
-        if waiting.shape[1] > step:
+    # A query and a node in one number, which is also the place of their mark.
+    bits = len(unit).bit_length()
+    base = np.arange(count, dtype=np.int64) << bits
+    visited = np.zeros(count << bits, bool)
+    visited[(base[:, None] + entries)[entries >= 0]] = True
+    step = min(max(_STEP, width // _STEPS), width)
+    active, place = np.arange(count), np.empty(count, np.int64)
+    while True:
+        mine, own, now = ids[active], sims[active], opened[active]
+        waiting = np.where(now, -np.inf, own)
+        if held > step:
             pick = np.argpartition(-waiting, step - 1, axis=1)[:, :step]
         else:
-            pick = np.broadcast_to(np.arange(waiting.shape[1]), waiting.shape)
-        real = np.take_along_axis(waiting, pick, 1) > -np.inf
+            pick = np.broadcast_to(np.arange(held), waiting.shape)
+        real = _taken(waiting, pick) > -np.inf
         more = real.any(1)
-        active, pick, real = active[more], pick[more], real[more]
-        if not len(active):
+        if not more.any():
             break
-        nodes = np.take_along_axis(ids[active], pick, 1)
-        now = opened[active]
+        active, mine, own, now, pick, real = (x[more] for x in (active, mine, own, now, pick, real))
         np.put_along_axis(now, pick, True, 1)
-        near = np.where(real[:, :, None], links[nodes], -1).reshape(len(active), -1)
-        near.sort(axis=1)
-        fresh = (near >= 0) & ~visited[active[:, None], np.maximum(near, 0)]
-        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        a, k = np.nonzero(fresh)
-        visited[active[a], near[a, k]] = True
-        found = np.full(near.shape, -np.inf, np.float32)
-        found[a, k] = np.einsum("nd,nd->n", queries[active[a]], unit[near[a, k]])
-        near = np.where(fresh, near, -1)
-        wide = ids.shape[1]
-        merged = _top(np.concatenate((ids[active], near), 1), np.concatenate((sims[active], found), 1), np.concatenate((now, ~fresh), 1), width)
-        if merged[0].shape[1] > wide:
-            pad = merged[0].shape[1] - wide
-            ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1)
-            sims = np.pad(sims, ((0, 0), (0, pad)), constant_values=-np.inf)
-            opened = np.pad(opened, ((0, 0), (0, pad)), constant_values=True)
-        ids[active], sims[active], opened[active] = merged
+        row, k = np.nonzero(real)
+        near = links.take(mine[row, pick[row, k]], axis=0)
+        keys = (near + base[active[row]][:, None])[near >= 0]
+        keys = keys[~visited.take(keys)]
+        keys.sort()  # a sort and a comparison take a fraction of the time of np.unique
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        visited[keys] = True
+        query, node = keys >> bits, keys & ((1 << bits) - 1)
+        found = np.einsum("nd,nd->n", queries.take(query, axis=0), unit.take(node, axis=0))
+        place[active] = np.arange(len(active))
+        row = place[query]
+        # What is no better than the last of a full beam would leave it at once.
+        good = found > own.min(1)[row]
+        row, node, found = row[good], node[good], found[good]
+        many = np.bincount(row, minlength=len(active))
+        if len(row):
+            wide = held + int(many.max())
+            at = row * wide + held + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            merged = np.full((len(active), wide), -1, links.dtype), np.full((len(active), wide), -np.inf, np.float32), np.ones((len(active), wide), bool)
+            for all_of, old, fresh in zip(merged, (mine, own, now), (node, found, False)):
+                all_of[:, :held] = old
+                all_of.ravel()[at] = fresh
+            keep = np.argpartition(-merged[1], held - 1, axis=1)[:, :held]
+            ids[active], sims[active], now = (_taken(x, keep) for x in merged)
+        opened[active] = now
     return np.where(sims > -np.inf, ids, -1), sims
 
 
@@ -185,14 +197,14 @@ def search_graph(graph: Graph, queries: np.ndarray, width: int) -> tuple[np.ndar
     return beam_search(graph.unit, graph.levels[0], queries, at, width)
 
 
-def _in_parts(rows: np.ndarray, width: int) -> list[np.ndarray]:
+def _in_parts(rows: np.ndarray, width: int, most: int = _BLOCK) -> list[np.ndarray]:
     """Rows in parts that keep a matrix of ``width`` columns below a few million entries."""
-    each = max(16, min(_BLOCK, (1 << 21) // max(1, width)))
+    each = max(16, min(most, (1 << 21) // max(1, width)))
     return [rows[k : k + each] for k in range(0, len(rows), each)]
 
 
 def _audited_width(graph: Graph, queries: np.ndarray, least: float) -> int:
-    """The narrowest beam, doubling, with which the sample finds its true links and nearest nodes."""
+    """The narrowest beam, by halves wider each time, with which the sample finds its true links and nearest nodes."""
     sample = queries[:: max(1, len(queries) // AUDIT_QUERIES)][:AUDIT_QUERIES]
     truth = sample @ graph.unit.T
     near = truth >= np.minimum(np.partition(truth, -min(10, truth.shape[1]), axis=1)[:, [-min(10, truth.shape[1])]], least)
@@ -207,7 +219,7 @@ def _audited_width(graph: Graph, queries: np.ndarray, least: float) -> int:
         found, wanted = (hit & links).sum(1), np.minimum(links.sum(1), width)
         if (found >= AUDIT_RECALL * wanted).all() and (hit & near).sum() >= 0.9 * np.minimum(near.sum(1), width).sum():
             break
-        width *= 2
+        width += width // 2
     return width
 
 
@@ -229,7 +241,7 @@ def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float, own: np.nd
                     yield rows[a], k
                 break
             still = []
-            for rows in _in_parts(open_rows, width):
+            for rows in _in_parts(open_rows, width, _BEAMS):
                 ids, sims = search_graph(graph, queries[rows], width)
                 full = (sims >= least).sum(1) >= min(width, ids.shape[1]) * 3 // 4
                 # A beam that does not meet the query itself has stalled elsewhere.

@@ -363,6 +363,21 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best, true)]) >= 0.9
 
 
+def test_wide_beams_take_few_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, cut, calls = hnsw.build_graph(x), np.argpartition, []
+    monkeypatch.setattr(np, "argpartition", lambda *a, **b: calls.append(1) or cut(*a, **b))
+    ids, sims = hnsw.beam_search(x, graph.levels[0], x[:100], np.full((100, 1), graph.entry), 192)
+    # Two cuts a step; four nodes a step would take 48 steps at least.
+    assert len(calls) < 60
+    assert all(len(set(row)) == 192 for row in ids.tolist())
+    assert np.allclose(sims, np.einsum("bd,bkd->bk", x[:100], x[ids]), atol=1e-5)
+    true = np.argsort(-(x[:100] @ x.T), 1)[:, :10]
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(true, ids)]) >= 0.99
+
+
 def hidden_group():
     """A graph whose dense group is not reached from outside it, and the group's nodes."""
     rng = np.random.default_rng(6)
