@@ -3,9 +3,12 @@
 Each context, the word before, is a restaurant; its tables are the customers of one parent
 restaurant that all contexts share, and the parent's base is uniform over the known words and
 one unknown. Every distinct pair (context, word) is a *cell*: how many customers have that
-dish, and how they sit at tables. Gibbs steps take a customer off its table and seat it again,
-at a table of n others in proportion to n - d, at a new one in proportion to
-(theta + d * tables of the restaurant) * probability of the dish in the parent.
+dish, and how they sit at tables. A Gibbs step seats customers again given all others: at a
+table of n others in proportion to n - d, at a new one in proportion to
+(theta + d * tables of the restaurant) * probability of the dish in the parent. All customers of a cell
+are seated again together: only the number of their tables counts elsewhere, and its distribution
+is known (Teh, 2006; Buntine and Hutter, 2010). The few cells with very many customers take them off
+one by one.
 
 Given the number of tables of its restaurant and the parent's probability of its dish, a cell
 does not depend on any other. That is what makes the sampler fit many machines: cells are
@@ -23,7 +26,6 @@ fixed names with the same content on every attempt, so a lost executor costs rep
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import count as count_from
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +46,12 @@ ROUNDS, BURN_IN = 5, 2
 SWEEPS = 1
 # With fewer cells than this left, they are walked one by one.
 FEW_CELLS = 64
+# Cells of up to so many customers draw their number of tables at once; the others step customer by
+# customer, since the numbers of ways to seat c customers cost c * c / 2 ratios.
+DRAWN = 4096
+# Ratios held at a time, which stay in a core's cache, and steps whose chances are drawn at a time.
+_HELD = 1 << 16
+_WALKED = 1 << 13
 STRENGTH = 1.0
 # Tokens whose cells, and words of chunks that, meet in one task on average.
 BUCKET_TOKENS = 1 << 21
@@ -266,7 +274,11 @@ def expected_seats(customers: np.ndarray, fresh: np.ndarray, discount: float, rn
         more = np.minimum(np.maximum(1, np.floor(seated * 0.1)), customers - seated)
         tables = tables + more * fresh / (seated - discount * tables + fresh)
         seated = seated + more
-    tables = np.clip(np.floor(tables + rng.random(len(customers))), 1, customers).astype(np.int64)
+    return _spread(np.clip(np.floor(tables + rng.random(len(customers))), 1, customers).astype(np.int64), customers, discount)
+
+
+def _spread(tables: np.ndarray, customers: np.ndarray, discount: float) -> Seats:
+    """Customers at so many tables, of sizes that fall by a power law."""
     first = np.cumsum(tables) - tables
     rank = np.arange(tables.sum()) - np.repeat(first, tables) + 1
     share = rank ** (-1.0 / discount)
@@ -296,6 +308,8 @@ def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, sweep
     size = np.zeros(len(rank), np.int64)
     size[used] = seats.sizes
     seat = np.repeat(np.flatnonzero(used), seats.sizes)
+    # Seats are kept by table; customers taken off table by table would leave too many tables.
+    seat = seat[np.argsort(np.repeat(np.arange(len(customers)), customers) + rng.random(len(seat)))]
     empty, tables = np.zeros(len(rank), np.int64), seats.tables.copy()
     bare = np.flatnonzero(~used)
     empty[bare - np.repeat(seats.tables, customers - seats.tables)] = bare
@@ -337,33 +351,93 @@ def reseat(seats: Seats, customers: np.ndarray, fresh_of, discount: float, sweep
 
 def _walk(seat: np.ndarray, size: np.ndarray, empty: np.ndarray, weight: float, slope: float, discount: float, steps: range, rng: np.random.Generator) -> list[int]:
     """The steps of one cell: the sizes of its tables after them."""
-    seat, size, empty = seat.tolist(), size.tolist(), empty.tolist()
+    names = list(range(len(seat)))  # customers of one table share its number, which stays in the cache
+    seat, size, empty = [names[k] for k in seat.tolist()], size.tolist(), [names[k] for k in empty.tolist()]
     count = len(seat)
     joined = count - 1 - discount * (count - len(empty))
-    chances = (u for _ in count_from(0) for u in rng.random(8192).tolist())
-    for step in steps:
-        mine = step % count
-        table = seat[mine]
-        size[table] -= 1
-        if not size[table]:
-            empty.append(table)
-            joined += discount
-            weight -= slope
-        if next(chances) * (joined + weight) >= joined:
-            table = empty.pop()
-            joined -= discount
-            weight += slope
-        else:
-            while True:
-                other = int(next(chances) * count)
+    for begin in range(steps.start, steps.stop, _WALKED):
+        part = range(begin, min(steps.stop, begin + _WALKED))
+        opens, agrees = rng.random((2, len(part))).tolist()
+        others = rng.integers(count, size=len(part)).tolist()
+        for step, opened, other, agreed in zip(part, opens, others, agrees):
+            mine = step % count
+            table = seat[mine]
+            size[table] -= 1
+            if not size[table]:
+                empty.append(table)
+                joined += discount
+                weight -= slope
+            if opened * (joined + weight) >= joined:
+                table = empty.pop()
+                joined -= discount
+                weight += slope
+            else:
                 table = seat[other]
-                if other != mine and next(chances) * size[table] < size[table] - discount:
-                    break
-        size[table] += 1
-        seat[mine] = table
+                while other == mine or agreed * size[table] >= size[table] - discount:
+                    other, agreed = int(rng.integers(count)), rng.random()
+                    table = seat[other]
+            size[table] += 1
+            seat[mine] = table
     return size
 
 
+def draw_tables(customers: np.ndarray, tables: np.ndarray, weight: np.ndarray, slope: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of all cells, drawn given all else: every customer of a cell is seated again.
+
+    ``customers`` falls; ``weight`` is that of a new table at ``tables``, which changes by ``slope`` with each.
+    c customers sit at t tables in S(c, t) ways, weighed by the sizes of the tables; S(c + 1, t) =
+    S(c, t - 1) + (c - t * d) * S(c, t). Ratios S(c, t) / S(c, t - 1) follow from those for c - 1.
+    """
+    drawn = np.ones(len(customers), np.int64)
+    most = int(customers.max(initial=1))
+    edges = np.searchsorted(-customers, -np.arange(most + 2), "left")  # where cells of at most so many customers begin
+    steps = np.arange(1.0, most + 1)
+    share, ratio = discount * steps, np.empty(0)
+    for count in range(2, most + 1):
+        others = count - 1
+        above, below = np.ones(others), others - share[:others]
+        above[:-1] += below[1:] * ratio
+        below[1:] += 1.0 / ratio
+        ratio = np.divide(above, below, out=above)
+        start, end = int(edges[count]), int(edges[count - 1])
+        each = max(1, _HELD // count)
+        for a in range(start, end, each):
+            b = min(end, a + each)
+            # One column a cell, from two tables on; one table weighs 1.
+            logs = np.log(ratio[:, None] * (weight[a:b] + slope[a:b] * (steps[:others, None] - tables[a:b])))
+            np.cumsum(logs, axis=0, out=logs)
+            top = np.maximum(logs.max(0), 0.0)
+            sums = np.exp(logs - top)
+            np.cumsum(sums, axis=0, out=sums)
+            one = np.exp(-top)
+            chance = rng.random(b - a) * (one + sums[-1]) - one
+            drawn[a:b] += (chance >= 0) + (chance >= sums[:-1]).sum(0)
+    return drawn
+
+
+def _large(customers: np.ndarray) -> int:
+    """How many of falling numbers of customers are too many to be drawn at once."""
+    return int(np.searchsorted(-customers, -DRAWN, "left"))
+
+
+def seat_again(seats: Seats, customers: np.ndarray, fresh_of, discount: float, rng: np.random.Generator) -> Seats:
+    """A round of all cells; ``seats`` has the sizes of tables for the large cells alone. See :func:`reseat`."""
+    many = len(customers)
+    large = _large(customers)
+    few = reseat(Seats(seats.tables[:large], seats.sizes), customers[:large], fresh_of, discount, SWEEPS, rng)
+    weight = fresh_of(np.zeros(many, np.int64), many)
+    slope = fresh_of(np.ones(many, np.int64), many) - weight
+    tables = draw_tables(customers[large:], seats.tables[large:], weight[large:], slope[large:], discount, rng)
+    return Seats(np.concatenate((few.tables, tables)), few.sizes)
+
+
+def first_seats(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> Seats:
+    """A start: one table a cell, as the sums before the first round have it, but expected seats in large cells."""
+    large = _large(customers)
+    few = expected_seats(customers[:large], fresh[:large], discount, rng)
+    return Seats(np.concatenate((few.tables, np.ones(len(customers) - large, np.int64))), few.sizes)
+
+
 def _resized(seats: Seats, customers: np.ndarray) -> Seats:
     """Seats for other numbers of customers: the change is made at the first table, the largest at the start."""
     first = np.cumsum(seats.tables) - seats.tables
@@ -409,7 +483,7 @@ def _seat_cells(folder: str, round_: int, root: Root, word_buckets: int, sampled
         rng = np.random.default_rng([round_, bucket])
         discount = root.context_discount
         if round_ == 1:
-            seats = expected_seats(customers, (STRENGTH + discount * open_tables) * chance, discount, rng)
+            seats = first_seats(customers, (STRENGTH + discount * open_tables) * chance, discount, rng)
             sampled_tables = np.zeros(len(customers), np.int64)
         else:
             tables, sizes, sampled_tables = (unpack_bits(x).astype(np.int64) for x in _open(_read(folder, f"seats-{round_ - 1}-{bucket}")))
@@ -418,7 +492,7 @@ def _seat_cells(folder: str, round_: int, root: Root, word_buckets: int, sampled
         def fresh(change: np.ndarray, live: int) -> np.ndarray:
             return (STRENGTH + discount * (open_tables[:live] + change)) * chance[:live]
 
-        seats = reseat(seats, customers, fresh, discount, SWEEPS, rng)
+        seats = seat_again(seats, customers, fresh, discount, rng)
         if sampled:
             sampled_tables = sampled_tables + seats.tables
         _write(folder, f"seats-{round_}-{bucket}", _close(pack_bits(seats.tables), pack_bits(seats.sizes), pack_bits(sampled_tables)))
@@ -511,15 +585,15 @@ def _seat_words(folder: str, round_: int, root: Root):
         rest = 1.0 / (root.words + 1)
         start = np.full(len(moving), (STRENGTH + root.discount * root.tables) * rest)
         if round_ == 1:
-            seats = expected_seats(customers[moving], start, root.discount, rng)
+            seats = first_seats(customers[moving], start, root.discount, rng)
         else:
             places, tables, sizes = (unpack_bits(x).astype(np.int64) for x in _open(_read(folder, f"parent-{round_ - 1}-{bucket}")))
-            seats = _moved(places, Seats(tables, sizes), moving, customers)
+            seats = _moved(places, Seats(tables, sizes), moving, customers, root.discount)
 
         def fresh(change: np.ndarray, live: int) -> np.ndarray:
             return (STRENGTH + root.discount * (root.tables + change)) * rest
 
-        seats = reseat(seats, customers[moving], fresh, root.discount, SWEEPS, rng)
+        seats = seat_again(seats, customers[moving], fresh, root.discount, rng)
         tables = np.minimum(customers, 1)
         tables[moving] = seats.tables
         _write(folder, f"parent-{round_}-{bucket}", _close(pack_bits(moving), pack_bits(seats.tables), pack_bits(seats.sizes)))
@@ -531,19 +605,22 @@ def _seat_words(folder: str, round_: int, root: Root):
     return task
 
 
-def _moved(places: np.ndarray, seats: Seats, moving: np.ndarray, customers: np.ndarray) -> Seats:
-    """The parent's seats of the last round in this round's order and with its customers."""
-    size = len(customers)
-    tables = np.zeros(size, np.int64)
+def _moved(places: np.ndarray, seats: Seats, moving: np.ndarray, customers: np.ndarray, discount: float) -> Seats:
+    """The parent's seats of the last round in this round's order, and with its customers where sizes are kept."""
+    tables = np.ones(len(customers), np.int64)
     tables[places] = seats.tables
-    start = np.zeros(size, np.int64)
-    start[places] = np.cumsum(seats.tables) - seats.tables
-    many = np.maximum(tables[moving], 1)
-    index = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    owner = np.repeat(moving, many)
-    old = np.concatenate((seats.sizes, [0]))
-    sizes = np.where(tables[owner] > 0, old[np.minimum(start[owner] + index, len(seats.sizes))], 1)
-    return _resized(Seats(many, sizes), customers[moving]) if len(moving) else Seats(many[:0], sizes[:0])
+    ends = np.cumsum(seats.tables)
+    held = int(np.searchsorted(ends, len(seats.sizes), "right"))
+    sizes_of = dict(zip(places[:held].tolist(), np.split(seats.sizes, ends[:held])))
+    own = moving[: _large(customers[moving])]
+    parts = [
+        sizes_of[place] if place in sizes_of else _spread(np.minimum(tables[[place]], customers[[place]]), customers[[place]], discount).sizes
+        for place in own.tolist()
+    ]
+    if not parts:
+        return Seats(tables[moving], np.empty(0, np.int64))
+    few = _resized(Seats(np.array([len(p) for p in parts]), np.concatenate(parts)), customers[own])
+    return Seats(np.concatenate((few.tables, tables[moving[len(own) :]])), few.sizes)
 
 
 # Scores.

@@ -222,3 +222,56 @@ def test_weights_of_new_tables_are_asked_for_once():
     seats = pitman_yor.reseat(fresh, customers, fresh_of, 0.6, 2, rng)
     assert asked == [300, 300]
     assert (np.add.reduceat(seats.sizes, np.cumsum(seats.tables) - seats.tables) == customers).all() and seats.sizes.min() >= 1
+
+
+@pytest.mark.parametrize("count, chance, discount", [(2, 0.3, 0.5), (5, 0.6, 0.3), (7, 40.0, 0.8)])
+def test_a_round_draws_seats_whatever_they_were_before(count, chance, discount):
+    weights = Counter()
+    for seats in partitions(list(range(count))):
+        weight = math.prod((1 + discount * k) * chance for k in range(len(seats)))
+        weights[len(seats)] += weight * math.prod(math.prod(i - discount for i in range(1, len(table))) for table in seats)
+    cells, rng = 40_000, np.random.default_rng(count)
+    customers = np.concatenate(([9, 8], np.full(cells, count), [2]))
+    tables = rng.integers(1, 3, len(customers))
+
+    def fresh_of(change, live):
+        return (1 + discount * (tables[:live] + change)) * chance
+
+    seats = pitman_yor.seat_again(pitman_yor.Seats(tables, np.empty(0, np.int64)), customers, fresh_of, discount, rng)
+    assert len(seats.sizes) == 0 and (seats.tables >= 1).all() and (seats.tables <= customers).all()
+    found = np.bincount(seats.tables[2:-1], minlength=count + 1) / cells
+    total = sum(weights.values())
+    assert all(abs(found[t] - weights[t] / total) < 0.012 for t in range(1, count + 1))
+
+
+def test_cells_drawn_at_once_and_those_that_step_have_the_exact_mean(monkeypatch):
+    count, discount = 90, 0.7
+    ways = [0.0, 1.0]
+    for c in range(1, count):
+        ways = [0.0] + [ways[t - 1] + (c - discount * t) * (ways[t] if t <= c else 0) for t in range(1, c + 2)]
+    weights = [w * math.prod(0.2 * (3 + discount * k) for k in range(t)) for t, w in enumerate(ways)]
+    exact = sum(t * w for t, w in enumerate(weights)) / sum(weights)
+    customers = np.full(1000, count)
+
+    def mean_tables(drawn, rounds):
+        monkeypatch.setattr(pitman_yor, "DRAWN", drawn)
+        rng = np.random.default_rng(5)
+        seats = pitman_yor.first_seats(customers, np.full(1000, 0.8), discount, rng)
+        for _ in range(rounds):
+            own = seats.tables
+            seats = pitman_yor.seat_again(seats, customers, lambda change, live: 0.2 * (3 + discount * (own[:live] + change)), discount, rng)
+        assert len(seats.sizes) == (0 if drawn >= count else seats.tables.sum())
+        return seats.tables.mean()
+
+    assert abs(mean_tables(count, 1) - exact) < 0.2
+    assert abs(mean_tables(count - 1, 80) - exact) < 0.2
+
+
+def test_words_that_become_large_or_small_keep_their_tables(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "DRAWN", 20)
+    # Word 0 stays large, 1 becomes large, 2 becomes small, 3 is new.
+    places, seats = np.array([0, 2, 1]), pitman_yor.Seats(np.array([3, 4, 5]), np.array([20, 6, 4, 10, 5, 5, 5]))
+    customers = np.array([33, 25, 9, 2])
+    moved = pitman_yor._moved(places, seats, np.array([0, 1, 2, 3]), customers, 0.6)
+    assert moved.tables.tolist() == [3, 5, 4, 1]
+    assert moved.sizes[:3].tolist() == [23, 6, 4] and moved.sizes[3:].sum() == 25 and moved.sizes.min() >= 1 and len(moved.sizes) == 8
