@@ -378,6 +378,17 @@ def test_wide_beams_take_few_steps(monkeypatch):
     assert np.mean([np.isin(a, b).mean() for a, b in zip(true, ids)]) >= 0.99
 
 
+def test_the_audit_widens_by_quarters(monkeypatch):
+    x = hnsw._unit(np.random.default_rng(4).normal(size=(400, 8)))
+
+    def search(graph, queries, width):
+        order = np.argsort(-(queries @ x.T), 1)[:, :width]
+        return order if width >= 60 else np.full_like(order, -1), None
+
+    monkeypatch.setattr(hnsw, "search_graph", search)
+    assert hnsw._audited_width(hnsw.Graph(x, [], 0), x, 0.9) == 60
+
+
 def hidden_group():
     """A graph whose dense group is not reached from outside it, and the group's nodes."""
     rng = np.random.default_rng(6)
