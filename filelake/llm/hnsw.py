@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
-Distinct vectors are dealt to shards of bounded size and a graph is built in each. Every
-vector is then searched in every shard, in blocks of queries, with a beam that is widened
-until an audit against a scan of the shard finds the recall high enough, and for single
+Distinct vectors are dealt to shards of bounded size and a graph is built in each. Shards and
+graphs are written once to the shared folder, and a task reads the one graph and the one block
+of vectors it compares, so neither goes through a shuffle or the JVM again. Every vector is
+searched in every shard, in blocks of queries, with a beam that is widened until an audit against a scan of the shard finds the recall high enough, and for single
 queries until the beam reaches below the threshold and, in its own shard, meets the query
 itself; a beam that nears the size of the shard is a scan. What is found is verified in double
 precision. A block returns links to the least vector of each group it sees, never all pairs of
@@ -12,25 +13,28 @@ the signs of both ends; the components it lies in are scanned.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import pairwise
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm.common import stored
+from filelake.llm.common import open_file_system, stored
 from filelake.operators import skew
 from filelake.operators.components import connected_components
-from filelake.session import cut_lineage
+from filelake.session import cut_lineage, shared_folder
 
 COSINE = 0.9
 # A search takes steps with the logarithm of a shard and is made once per shard, so shards are
 # as large as a task's memory lets them be. Queries of a shard are dealt to several tasks.
 SHARD_ROWS = 65_536
 QUERY_ROWS = 8192
+MAX_TASKS = 20_000  # further pairs of a graph and a block of queries share the tasks
 NEIGHBOURS = 16
 # A wide beam at the build costs once what it saves every query: the audit then passes narrow beams.
 BUILD_BEAM = 128
@@ -41,6 +45,7 @@ _MARGIN = 1e-4  # single precision in the search, double in the check
 _STEP = 4  # nodes of a beam opened at once, at least; wide beams are opened in about so many steps
 _STEPS = 12
 _BLOCK = 1024
+_CHOICES = 256  # lists chosen anew at once, whose candidates are compared with each other
 _BEAMS = 256  # queries searched at once, whose marks and vectors stay in a core's cache
 # A beam gathers some 32 nodes for each of its own one by one, which costs as much as a product
 # with about this many nodes of the shard in their order.
@@ -128,7 +133,7 @@ def beam_search(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entrie
 
 def _choose(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, count: int) -> np.ndarray:
     """Per row up to ``count`` neighbours: candidates nearer to the node than to a chosen one, then the nearest left."""
-    return np.concatenate([_choose_rows(unit, *(x[k : k + _BLOCK] for x in (own, ids, sims)), count) for k in range(0, len(ids), _BLOCK)])
+    return np.concatenate([_choose_rows(unit, *(x[k : k + _CHOICES] for x in (own, ids, sims)), count) for k in range(0, len(ids), _CHOICES)])
 
 
 def _choose_rows(unit: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, count: int) -> np.ndarray:
@@ -169,9 +174,11 @@ def _link_back(unit: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen: n
     keep = over[row] & (rank < 2 * width)
     extra = np.full((len(full), min(int(counts[over].max()), 2 * width)), -1, np.int64)
     extra[place[row[keep]], rank[keep]] = source[keep]
-    ids = np.concatenate((links[full], extra), 1)
-    sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", unit[full], unit[np.maximum(ids, 0)]), -np.inf)
-    links[full] = _choose(unit, full, ids, sims, width)
+    for k in range(0, len(full), _BLOCK):
+        some = full[k : k + _BLOCK]
+        ids = np.concatenate((links[some], extra[k : k + _BLOCK]), 1)
+        sims = np.where(ids >= 0, np.einsum("bd,bkd->bk", unit[some], unit[np.maximum(ids, 0)]), -np.inf)
+        links[some] = _choose(unit, some, ids, sims, width)
 
 
 def build_graph(unit: np.ndarray, seed: int = 0) -> Graph:
@@ -265,7 +272,7 @@ def linked_pairs(graph: Graph, queries: np.ndarray, threshold: float, own: np.nd
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks()
-    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), -1)
+    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(array), -1)
 
 
 def _to_size(vectors: np.ndarray) -> np.ndarray:
@@ -279,20 +286,69 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
-_GRAPH = "dim int, shard int, ids binary, copies binary, vectors binary, links array<binary>, entry long"
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers, numbers of copies and vectors, by rising identifier."""
+    ids = table.column("vec_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], table.column("copies").to_numpy()[order], _matrix(table.column("embedding"))[order]
 
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.sort_by("vec_id")
-    vectors = _matrix(table.column("embedding"))
-    graph = build_graph(_unit(vectors))
-    row = {
-        "dim": table.column("dim")[0].as_py(), "shard": table.column("shard")[0].as_py(),
-        "ids": table.column("vec_id").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(),
-        "vectors": vectors.tobytes(), "links": [x.tobytes() for x in graph.levels], "entry": graph.entry,
-    }
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
-    return pa.Table.from_pylist([row], pa.schema(list(zip(row, types))))
+def _write_blocks(file: str, columns: dict[str, np.ndarray]) -> None:
+    """Rows of arrays to a file of batches of ``QUERY_ROWS`` rows, each of which can be read alone."""
+    folder, name = file.rsplit("/", 1)
+    system, path = open_file_system(folder)
+    system.create_dir(path, recursive=True)
+    schema = pa.schema([(c, pa.binary(x[:1].nbytes)) for c, x in columns.items()])
+    with system.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for k in range(0, len(next(iter(columns.values()))), QUERY_ROWS):
+            parts = [np.ascontiguousarray(x[k : k + QUERY_ROWS]) for x in columns.values()]
+            arrays = [pa.FixedSizeBinaryArray.from_buffers(f.type, len(x), [None, pa.py_buffer(x)]) for f, x in zip(schema, parts)]
+            writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=schema))
+
+
+def _read_blocks(file: str, block: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The bytes of every column, batch by batch, or those of one batch."""
+    folder, name = file.rsplit("/", 1)
+    system, path = open_file_system(folder)
+    with system.open_input_file(f"{path}/{name}") as source, pa.ipc.open_file(source) as reader:
+        for k in range(reader.num_record_batches) if block is None else [block]:
+            batch = reader.get_batch(k)
+            yield [np.frombuffer(x.buffers()[1], np.uint8, len(x) * x.type.byte_width, x.offset * x.type.byte_width).reshape(len(x), -1) for x in batch.columns]
+
+
+_FILE_DDL = "dim int, shard int, file string, n long"
+
+
+def _file_row(table: pa.Table, file: str) -> pa.Table:
+    dim, shard = (table.column(c)[0].as_py() for c in ("dim", "shard"))
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "file": [file], "n": pa.array([len(table)], pa.int64())})
+
+
+def _write_vectors(folder: str):
+    """A block of vectors to a file, named by the attempt that writes it, so that rows and files always belong together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        row = _file_row(table, f"{folder}/{TaskContext.get().taskAttemptId()}-{table.column('dim')[0].as_py()}-{table.column('shard')[0].as_py()}")
+        ids, copies, vectors = _in_order(table)
+        _write_blocks(f"{row.column('file')[0].as_py()}-vectors", {"ids": ids, "copies": copies, "vectors": vectors})
+        return row
+
+    return run
+
+
+def _build(folder: str):
+    """A shard to a file of its vectors and one of the levels of its graph."""
+    write = _write_vectors(folder)
+
+    def run(table: pa.Table) -> pa.Table:
+        row = write(table)
+        file = row.column("file")[0].as_py()
+        unit = np.concatenate([_unit(block[2].view(np.float64)) for block in _read_blocks(f"{file}-vectors")])
+        graph = build_graph(unit)
+        _write_blocks(f"{file}-links", {f"level {k}": x for k, x in enumerate(graph.levels)} | {"entry": np.full(len(unit), graph.entry)})
+        return row
+
+    return run
 
 
 _FOUND = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("links", pa.int64()), ("sign", pa.int64())])
@@ -333,53 +389,95 @@ def _least_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         labels = new
 
 
-def _search(threshold: float, scan: bool = False):
-    def task(graphs: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(graphs) or not len(asked):
-            return _FOUND.empty_table()
-        row = graphs.slice(0, 1).to_pylist()[0]
-        ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-        vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-        levels = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row["links"]]
-        graph = Graph(_unit(vectors), levels, row["entry"])
-        asked = asked.sort_by("vec_id")
-        own_ids, own = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"))
-        keys, own_keys = _keys(ids, vectors), _keys(own_ids, own)
-        # Brought to size by powers of two, which loses nothing, so that products neither overflow nor vanish.
-        vectors, own = _to_size(vectors), _to_size(own)
-        norms, own_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(own, axis=1)
-        links = np.zeros(len(own_ids), np.int64)
-        # The exclusive or of the pairs of a node, once as query and once as found: nothing is left if both are the same.
-        asked_sign, met_sign = np.zeros(len(own_ids), np.uint64), np.zeros(len(ids), np.uint64)
-        tied: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, k in linked_pairs(graph, _unit(own), threshold, _places(keys, own_keys), scan):
-            keep = np.zeros(len(a), bool)
-            for s in range(0, len(a), 1 << 16):
-                p, q = a[s : s + (1 << 16)], k[s : s + (1 << 16)]
-                keep[s : s + (1 << 16)] = np.einsum("nd,nd->n", own[p], vectors[q]) / (own_norms[p] * norms[q]) >= threshold
-            keep &= own_ids[a] != ids[k]
-            a, k = a[keep], k[keep]
-            np.add.at(links, a, copies[k])
-            signs = _mixed(_mixed(np.minimum(own_keys[a], keys[k])) + np.maximum(own_keys[a], keys[k]))
-            np.bitwise_xor.at(asked_sign, a, signs)
-            np.bitwise_xor.at(met_sign, k, signs)
-            if len(a):
-                # Pairs of a block become stars at once, so groups never pile up as pairs.
-                tied.append(_least_ids(own_ids[a], ids[k]))
-        hit = np.flatnonzero(links)
-        met = np.flatnonzero(met_sign)
-        src, dst, n = [own_ids[hit], ids[met]], [own_ids[hit], ids[met]], [links[hit], np.zeros(len(met), np.int64)]
-        sign = [asked_sign[hit].view(np.int64), met_sign[met].view(np.int64)]
-        if tied:
-            nodes, least = _least_ids(*(np.concatenate([t[i] for t in tied]) for i in range(2)))
-            moved = nodes != least
-            src.append(nodes[moved])
-            dst.append(least[moved])
-            n.append(np.zeros(int(moved.sum()), np.int64))
-            sign.append(n[-1])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, n, sign)], schema=_FOUND)
-
-    return task
+class _Vectors(NamedTuple):
+    """Vectors of a file, made ready for the search block by block."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    keys: np.ndarray
+    unit: np.ndarray
+    vectors: np.ndarray  # brought to size by powers of two, which loses nothing, so that products neither overflow nor vanish
+    norms: np.ndarray
+
+    @classmethod
+    def read(cls, file: str, n: int, block: int | None = None) -> _Vectors:
+        whole, at = None, 0
+        for ids, copies, vectors in _read_blocks(f"{file}-vectors", block):
+            ids, copies, vectors = ids.view(np.int64)[:, 0], copies.view(np.int64)[:, 0], vectors.view(np.float64)
+            sized = _to_size(vectors)
+            part = cls(ids, copies, _keys(ids, vectors), _unit(vectors), sized, np.linalg.norm(sized, axis=1))
+            if block is not None:
+                return part
+            whole = whole or cls(*(np.empty((n, *x.shape[1:]), x.dtype) for x in part))
+            for all_of, x in zip(whole, part):
+                all_of[at : at + len(x)] = x
+            at += len(ids)
+        return whole
+
+
+def _read_graph(file: str, vectors: _Vectors) -> Graph:
+    levels, at, entry = [], 0, 0
+    for *links, start in _read_blocks(f"{file}-links"):
+        links = [x.view(np.int32) for x in links]
+        levels = levels or [np.empty((len(vectors.ids), x.shape[1]), np.int32) for x in links]
+        for level, x in zip(levels, links):
+            level[at : at + len(x)] = x
+        at, entry = at + len(links[0]), int(start.view(np.int64)[0, 0])
+    return Graph(vectors.unit, levels, entry)
+
+
+def _search(shards: list[tuple[str, int]], blocks: list[tuple[str, int]], starts: list[int], offsets: list[int], threshold: float, scan: bool):
+    """Links between the vectors of a shard and a block of queries; a task is the number of such a pair.
+
+    The pairs of shard ``k`` and the blocks from ``offsets[k]`` on have the numbers from
+    ``starts[k]`` on, so that following numbers share a graph.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard, graph = -1, None, None
+        for task in (n for batch in batches for n in batch.column(0).to_pylist()):
+            k = bisect_right(starts, task) - 1
+            if k != held:
+                held, shard, graph = k, None, None  # before the next is read
+                shard = _Vectors.read(*shards[k])
+                graph = _read_graph(shards[k][0], shard)
+            file, block = blocks[offsets[k] + task - starts[k]]
+            yield _links(shard, graph, _Vectors.read(file, 0, block), threshold, scan)
+
+    return run
+
+
+def _links(shard: _Vectors, graph: Graph, asked: _Vectors, threshold: float, scan: bool) -> pa.RecordBatch:
+    links = np.zeros(len(asked.ids), np.int64)
+    # The exclusive or of the pairs of a node, once as query and once as found: nothing is left if both are the same.
+    asked_sign, met_sign = np.zeros(len(asked.ids), np.uint64), np.zeros(len(shard.ids), np.uint64)
+    tied: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, k in linked_pairs(graph, asked.unit, threshold, _places(shard.keys, asked.keys), scan):
+        keep = np.zeros(len(a), bool)
+        for s in range(0, len(a), QUERY_ROWS):
+            p, q = a[s : s + QUERY_ROWS], k[s : s + QUERY_ROWS]
+            keep[s : s + QUERY_ROWS] = np.einsum("nd,nd->n", asked.vectors[p], shard.vectors[q]) / (asked.norms[p] * shard.norms[q]) >= threshold
+        keep &= asked.ids[a] != shard.ids[k]
+        a, k = a[keep], k[keep]
+        np.add.at(links, a, shard.copies[k])
+        signs = _mixed(_mixed(np.minimum(asked.keys[a], shard.keys[k])) + np.maximum(asked.keys[a], shard.keys[k]))
+        np.bitwise_xor.at(asked_sign, a, signs)
+        np.bitwise_xor.at(met_sign, k, signs)
+        if len(a):
+            # Pairs of a block become stars at once, so groups never pile up as pairs.
+            tied.append(_least_ids(asked.ids[a], shard.ids[k]))
+    hit = np.flatnonzero(links)
+    met = np.flatnonzero(met_sign)
+    src, dst = [asked.ids[hit], shard.ids[met]], [asked.ids[hit], shard.ids[met]]
+    n, sign = [links[hit], np.zeros(len(met), np.int64)], [asked_sign[hit].view(np.int64), met_sign[met].view(np.int64)]
+    if tied:
+        nodes, least = _least_ids(*(np.concatenate([t[i] for t in tied]) for i in range(2)))
+        moved = nodes != least
+        src.append(nodes[moved])
+        dst.append(least[moved])
+        n.append(np.zeros(int(moved.sum()), np.int64))
+        sign.append(n[-1])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, n, sign)], schema=_FOUND)
 
 
 def settle_links(found: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +500,7 @@ def settle_links(found: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> tu
         todo = cut_lineage(todo)
         if todo.isEmpty():
             break
-        more = cut_lineage(scan(todo))
+        more = scan(todo)
         sums = more.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
         counted = todo.join(sums, "rep", "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"))
         exact = cut_lineage(counted if exact is None else exact.unionByName(counted))
@@ -435,27 +533,32 @@ def near_duplicates(rows: DataFrame, threshold: float = COSINE, shard_rows: int
     for dim, count in counts.items():
         shards = F.when(F.col("dim") == dim, max(1, -(-count // shard_rows))).otherwise(shards)
     placed = reps.withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
-    graphs = stored(placed.select("dim", "shard", "vec_id", "copies", "embedding").groupBy("dim", "shard").applyInArrow(_build, _GRAPH), "graphs")
-
-    # A task holds one graph and one group of queries.
-    groups = F.lit(1)
-    for dim, count in counts.items():
-        groups = F.when(F.col("dim") == dim, -(-count // QUERY_ROWS)).otherwise(groups)
-    asked = placed.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), groups).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asked = asked.select("dim", "shard", "part", "vec_id", "embedding")
-    keys = ["dim", "shard", "part"]
-
-    def search(asked: DataFrame, groups: Column, scan: bool) -> DataFrame:
-        spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
-        return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(threshold, scan), _FOUND_DDL)
+    folder = shared_folder(rows.sparkSession, "graphs")
+    dealt = placed.select("dim", "shard", "vec_id", "copies", "embedding")
+    built = stored(dealt.groupBy("dim", "shard").applyInArrow(_build(folder), _FILE_DDL), "shards")
+    shards = sorted(tuple(r) for r in built.collect())
+
+    def search(asked: list[tuple], name: str, scan: bool) -> DataFrame:
+        """What the vectors of the files ``asked`` find in all shards of their length."""
+        spans, blocks = {}, []
+        for dim, _, file, n in sorted(asked):
+            start, _ = spans.get(dim, (len(blocks), 0))
+            blocks += [(file, k) for k in range(-(-n // QUERY_ROWS))]
+            spans[dim] = (start, len(blocks) - start)
+        mine = [(file, n, *spans[dim]) for dim, _, file, n in shards if dim in spans]
+        *starts, tasks = accumulate([0, *(x[3] for x in mine)])
+        pairs = _search([x[:2] for x in mine], blocks, starts, [x[2] for x in mine], threshold, scan)
+        numbers = rows.sparkSession.range(0, tasks, 1, max(1, min(tasks, MAX_TASKS)))
+        # Written, not checkpointed: a checkpoint computes its rows twice.
+        return stored(numbers.mapInArrow(pairs, _FOUND_DDL), name)
 
     def scan(todo: DataFrame) -> DataFrame:
-        parts = F.lit(-(-todo.count() // QUERY_ROWS))
-        again = asked.join(todo, asked.vec_id == todo.rep, "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit("scan"), "vec_id"), parts).cast("int"))
-        return search(again, parts, True)
+        parts = F.lit(max(1, -(-todo.count() // QUERY_ROWS)))
+        again = dealt.join(todo, dealt.vec_id == todo.rep, "left_semi").withColumn("shard", F.pmod(F.xxhash64(F.lit("scan"), "vec_id"), parts).cast("int"))
+        files = stored(again.groupBy("dim", "shard").applyInArrow(_write_vectors(folder), _FILE_DDL), "queries")
+        return search([tuple(r) for r in files.collect()], "scanned", True)
 
-    links, joined = settle_links(cut_lineage(search(asked, groups, False)), scan)
+    links, joined = settle_links(search(shards, "found", False), scan)
     facts = reps.select("embedding", F.col("vec_id").alias("rep"), "copies")
     facts = facts.join(links, "rep", "left").join(joined, "rep", "left")
     facts = facts.select(

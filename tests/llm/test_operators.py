@@ -13,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from conftest import plan_of
 from filelake.session import cut_lineage
 from filelake.llm import counts, hnsw, jaccard, langid, merkle, mixing, packing, queries, records, suffix_dedup, surrogates, warc
 
@@ -343,6 +344,24 @@ def test_near_vectors(spark):
     assert all((by[i]["n_links"], by[i]["component_id"]) == (0, i) for i, _ in bad)
 
 
+def test_graphs_lie_in_files_not_in_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, linked = [], {}
+    for first, dim, n in ((0, 8, 300), (1000, 12, 90)):
+        x = rng.normal(size=(n, dim))
+        x[n // 2 :] = x[: n - n // 2] + 0.1 * rng.normal(size=(n - n // 2, dim))
+        rows += [(first + i, p.tolist()) for i, p in enumerate(x)]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        linked |= {first + i: int(c) - 1 for i, c in enumerate((unit @ unit.T >= 0.9).sum(1))}
+    tables, stored = [], hnsw.stored
+    monkeypatch.setattr(hnsw, "stored", lambda df, name: tables.append(df.schema) or stored(df, name))
+    found = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=60)
+    assert {r["vec_id"]: r["n_links"] for r in found.collect()} == linked
+    # A row of a graph is as large as a shard, and several of them fill an executor.
+    assert tables and not any("binary" in f.dataType.simpleString() for t in tables for f in t)
+    assert "CoGroup" not in plan_of(found)
+
+
 def hnsw_labels(linked):
     labels = np.arange(len(linked))
     while True:
